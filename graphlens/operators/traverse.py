@@ -103,26 +103,22 @@ def impact_upstream(
 ) -> DataFrame:
     """Dependents of a node or of anything it contains; ``depth`` is 1, ``hops`` is the distance."""
     inside = reach(steps(graph.edges, ["CONTAINS"]), self_seeds(fqns), 10, include_start=True)
-    found = reach(steps(graph.edges, kinds, "in"), inside.select("seed", "node"), max_depth, include_start=True)
-    # A contained node is itself a dependent when it reaches another contained node.
-    found = found.filter("depth > 0").unionByName(_inside_dependents(graph, inside, kinds))
-    found = found.filter("node <> seed")
+    hops = steps(graph.edges, kinds, "in")
+    found = reach(hops, inside.select("seed", "node"), max_depth, include_start=True)
+    # A contained node starts at distance 0, yet it is a dependent too when a
+    # path leads from it back to the contained set.
+    back = (
+        inside.select("seed", "node").join(hops, F.col("node") == F.col("b"))
+        .select("seed", F.col("node").alias("member"), F.col("a").alias("node"))
+        .join(found.filter(F.col("depth") < max_depth), ["seed", "node"])
+        .groupBy("seed", F.col("member").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+    )
+    found = found.filter("depth > 0").unionByName(back).filter("node <> seed")
     if exclude_members:
         found = found.filter(~F.col("node").startswith(F.concat("seed", F.lit("."))))
     return found.select("seed", "node", F.lit(1).alias("depth"), F.col("depth").alias("hops"))
 
 
-def _inside_dependents(graph: Graph, inside: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
-    """Contained nodes with an edge of ``kinds`` to another contained node of the same seed."""
-    member = inside.select("seed", "node")
-    hops = steps(graph.edges, kinds)
-    return (
-        member.join(hops, F.col("node") == F.col("a")).select("seed", "node", "b")
-        .join(member.select("seed", F.col("node").alias("b")), ["seed", "b"], "left_semi")
-        .select("seed", "node", F.lit(1).alias("depth")).distinct()
-    )
-
-
 def impact(
     graph: Graph, fqns: DataFrame, direction: str = "both", max_depth: int = 5,
     down_kinds: Sequence[str] | None = DOWNSTREAM, up_kinds: Sequence[str] | None = UPSTREAM,
