@@ -73,6 +73,14 @@ def _union(layers: list[DataFrame]) -> DataFrame:
     return out
 
 
+def between(edges: DataFrame, fqns: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Edges whose both ends are among ``fqns``; run ahead of a join that fans out."""
+    known = fqns.select("fqn").distinct()
+    return edges.join(known.withColumnRenamed("fqn", src), src, "left_semi").join(
+        known.withColumnRenamed("fqn", dst), dst, "left_semi"
+    )
+
+
 def self_seeds(fqns: DataFrame) -> DataFrame:
     """Seeds that start at themselves; ``fqns(fqn)``."""
     return fqns.select(F.col("fqn").alias("seed"), F.col("fqn").alias("node"))
@@ -189,6 +197,7 @@ def trace_route(graph: Graph, fqns: DataFrame, max_depth: int = 5) -> tuple[Data
     edges = graph.edges.filter(F.col("kind").isin(*TRACE)).select(
         F.col("src").alias("source"), F.col("dst").alias("target"), F.col("kind").alias("type")
     ).distinct()
+    edges = between(edges, members.select(F.col("node").alias("fqn")), "source", "target")
     inner = materialize(
         members.withColumnRenamed("node", "source").join(edges, "source")
         .join(members.withColumnRenamed("node", "target"), ["seed", "target"], "left_semi"),

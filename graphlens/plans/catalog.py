@@ -1,6 +1,6 @@
 """Importing the query modules fills the catalogue."""
 
-from graphlens.plans import enrich_queries, traverse_queries  # noqa: F401
+from graphlens.plans import enrich_queries, traverse_queries, view_queries  # noqa: F401
 from graphlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -40,26 +40,37 @@ EDGE_KINDS = [
 LOW, MEDIUM, HIGH = 1, 2, 3
 CONFIDENCE_NAMES = {LOW: "LOW", MEDIUM: "MEDIUM", HIGH: "HIGH"}
 
-_PARAM = "struct<name:string,type:string,annotations:array<string>,qualifier:string>"
-
-NODE_SCHEMA = T.StructType.fromDDL(
-    "app_name string, fqn string, name string, kind string, language string, path string, "
-    "line int, end_line int, loc int, complexity int, visibility string, "
-    "annotations array<string>, annotation_args map<string,string>, usings array<string>, "
-    f"implements array<string>, params array<{_PARAM}>, type string, value string, base_class string, "
-    "return_type string, is_constructor boolean, layer string, framework string, module string, method string, "
-    "http_calls array<struct<method:string,url:string>>, "
-    "mq_produces array<struct<topic:string,broker:string>>, "
-    "mq_consumes array<struct<topic:string,broker:string>>, "
-    "tagged_strings array<string>, props map<string,string>, seq bigint"
+_TEXTS = T.ArrayType(T.StringType())
+_MAP = T.MapType(T.StringType(), T.StringType())
+
+
+def _record(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+def _topic_list() -> T.ArrayType:
+    return T.ArrayType(_record(topic=T.StringType(), broker=T.StringType()))
+
+
+PARAM_TYPE = _record(name=T.StringType(), type=T.StringType(), annotations=_TEXTS, qualifier=T.StringType())
+
+NODE_SCHEMA = _record(
+    app_name=T.StringType(), fqn=T.StringType(), name=T.StringType(), kind=T.StringType(), language=T.StringType(),
+    path=T.StringType(), line=T.IntegerType(), end_line=T.IntegerType(), loc=T.IntegerType(),
+    complexity=T.IntegerType(), visibility=T.StringType(), annotations=_TEXTS, annotation_args=_MAP, usings=_TEXTS,
+    implements=_TEXTS, params=T.ArrayType(PARAM_TYPE), type=T.StringType(), value=T.StringType(),
+    base_class=T.StringType(), return_type=T.StringType(), is_constructor=T.BooleanType(), layer=T.StringType(),
+    framework=T.StringType(), module=T.StringType(), method=T.StringType(),
+    http_calls=T.ArrayType(_record(method=T.StringType(), url=T.StringType())),
+    mq_produces=_topic_list(), mq_consumes=_topic_list(), tagged_strings=_TEXTS, props=_MAP, seq=T.LongType(),
 )
 
-EDGE_SCHEMA = T.StructType.fromDDL(
-    "app_name string, src string, dst string, kind string, confidence tinyint, evidence string, "
-    "weight bigint, props map<string,string>, seq bigint"
+EDGE_SCHEMA = _record(
+    app_name=T.StringType(), src=T.StringType(), dst=T.StringType(), kind=T.StringType(), confidence=T.ByteType(),
+    evidence=T.StringType(), weight=T.LongType(), props=_MAP, seq=T.LongType(),
 )
 
-ENTRY_POINT_SCHEMA = T.StructType.fromDDL("fqn string, kind string, metadata map<string,string>")
+ENTRY_POINT_SCHEMA = _record(fqn=T.StringType(), kind=T.StringType(), metadata=_MAP)
 
 HUNK_TYPE = "array<struct<old_start:int,old_count:int,new_start:int,new_count:int>>"
 
