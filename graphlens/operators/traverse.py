@@ -509,11 +509,11 @@ def transactions(graph: Graph, entry_points: DataFrame, max_depth: int = 15) ->
 # --- reach across technologies -----------------------------------------------------------
 
 
-def cross_technology(graph: Graph, fqns: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(seed, kind, name, detail): endpoints, topics and tables behind each start node."""
+def cross_technology(graph: Graph, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(seed, kind, name, detail): endpoints, topics and tables behind each of ``seeds(seed, node)``."""
     functions = graph.of_kind("FUNCTION").select(F.col("fqn").alias("node"))
-    injected = reach(steps(graph.edges, ["CALLS", "INJECTS"]), self_seeds(fqns), max_depth, include_start=True)
-    called = reach(steps(graph.edges, ["CALLS"]), self_seeds(fqns), max_depth, include_start=True)
+    injected = reach(steps(graph.edges, ["CALLS", "INJECTS"]), seeds, max_depth, include_start=True)
+    called = reach(steps(graph.edges, ["CALLS"]), seeds, max_depth, include_start=True)
 
     def last_step(found, edge_kinds, node_kind, label, name, detail):
         ends = graph.edges_of(*edge_kinds).select(F.col("src").alias("node"), F.col("dst").alias("fqn"), F.col("kind").alias("edge")).distinct()
@@ -525,7 +525,7 @@ def cross_technology(graph: Graph, fqns: DataFrame, max_depth: int = 5) -> DataF
         )
 
     return (
-        last_step(injected, ["HANDLES"], "API_ENDPOINT", "api_endpoint", F.concat_ws(" ", "method", "path"), F.concat(F.lit("via "), "node"))
+        last_step(injected, ["HANDLES"], "API_ENDPOINT", "api_endpoint", F.concat_ws(" ", "method", F.coalesce(F.col("props")["path"], "path")), F.concat(F.lit("via "), "node"))
         .unionByName(last_step(called, ["PRODUCES", "CONSUMES"], "MESSAGE_TOPIC", "message_topic", F.col("name"), F.col("edge")))
         .unionByName(last_step(called, ["READS", "WRITES"], "TABLE", "database_table", F.col("name"), F.col("edge")))
     )

@@ -209,6 +209,13 @@ CYCLE_CTE = """walk(start, last, cycle, used, len) AS (
   closed AS (SELECT DISTINCT array_to_string(cycle, ',') AS cycle, len AS cycle_length FROM walk WHERE start = last AND len >= 2)"""
 
 
+REGION_DEP = """dep AS MATERIALIZED (SELECT DISTINCT a.r_name AS src, b.r_name AS dst FROM lineitem
+      JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+      JOIN nation x ON c_nationkey = x.n_nationkey JOIN nation y ON s_nationkey = y.n_nationkey
+      JOIN region a ON a.r_regionkey = x.n_regionkey JOIN region b ON b.r_regionkey = y.n_regionkey WHERE a.r_name < b.r_name
+      UNION SELECT b.r_name, a.r_name FROM region a JOIN region b ON b.r_regionkey = a.r_regionkey + 1)"""
+
+
 def _dep_graph(spark, d):
     return Graph(shop_nodes(spark, d), nation_dependencies(spark, d))
 
@@ -230,17 +237,19 @@ def _(spark, d):
 
 @query(
     "g7_module_cycles",
-    """WITH RECURSIVE dep AS MATERIALIZED (SELECT DISTINCT a.r_name AS src, b.r_name AS dst FROM lineitem
-      JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-      JOIN nation x ON c_nationkey = x.n_nationkey JOIN nation y ON s_nationkey = y.n_nationkey
-      JOIN region a ON a.r_regionkey = x.n_regionkey JOIN region b ON b.r_regionkey = y.n_regionkey WHERE a.r_name < b.r_name
-      UNION SELECT b.r_name, a.r_name FROM region a JOIN region b ON b.r_regionkey = a.r_regionkey + 1),
+    f"""WITH RECURSIVE {REGION_DEP},
     walk(start, last, cycle, used, len) AS (SELECT src, dst, [src, dst], [src || '>' || dst], 1 FROM dep
       UNION ALL SELECT start, e.dst, list_append(cycle, e.dst), list_append(used, e.src || '>' || e.dst), len + 1
       FROM walk w JOIN dep e ON e.src = w.last WHERE len < 6 AND NOT list_contains(used, e.src || '>' || e.dst))
     SELECT DISTINCT array_to_string(cycle, ',') AS cycle, len AS cycle_length FROM walk WHERE start = last AND len >= 2""",
 )
 def _(spark, d):
+    found = traverse.cycles(Graph(shop_nodes(spark, d), region_imports(spark, d)), "module", limit=None)
+    return found.select(F.concat_ws(",", "cycle").alias("cycle"), "cycle_length")
+
+
+def region_imports(spark, d):
+    """IMPORTS between regions: along the trade between them by name, and one step back by key."""
     region, nation = table(spark, d, "region"), table(spark, d, "nation")
     pairs = (
         table(spark, d, "lineitem").join(table(spark, d, "orders"), F.expr("l_orderkey = o_orderkey"))
@@ -255,13 +264,10 @@ def _(spark, d):
         .join(named.selectExpr("n_nationkey AS s_nationkey", "n_regionkey AS b", "r_name AS bn"), "s_nationkey")
         .filter("an < bn").selectExpr("concat('r:', a) AS src", "concat('r:', b) AS dst")
     )
-    largest = region.agg(F.max("r_regionkey").alias("top"))
-    back = region.join(largest, F.expr("r_regionkey < top")).selectExpr(
-        "concat('r:', r_regionkey + 1) AS src", "concat('r:', r_regionkey) AS dst"
-    )
-    edges = edge_rows(forward.union(back).distinct().withColumn("kind", F.lit("IMPORTS"))).withColumn("app_name", F.lit(APP))
-    found = traverse.cycles(Graph(shop_nodes(spark, d), edges), "module", limit=None)
-    return found.select(F.concat_ws(",", "cycle").alias("cycle"), "cycle_length")
+    nxt = region.selectExpr("r_regionkey - 1 AS k", "concat('r:', r_regionkey) AS src")
+    back = region.join(nxt, F.expr("r_regionkey = k")).selectExpr("src", "concat('r:', r_regionkey) AS dst")
+    edges = edge_rows(forward.union(back).distinct().withColumn("kind", F.lit("IMPORTS")))
+    return edges.withColumn("app_name", F.lit(APP))
 
 
 # --- transaction flows -----------------------------------------------------------------------
@@ -354,5 +360,4 @@ def _(spark, d):
 )
 def _(spark, d):
     g = flow_graph(spark, d)
-    g = Graph(g.nodes.withColumn("path", F.coalesce("path", F.col("props")["path"])), g.edges)
-    return traverse.cross_technology(g, g.of_kind("FUNCTION").filter("fqn LIKE 'api.%'").select("fqn"))
+    return traverse.cross_technology(g, traverse.self_seeds(g.of_kind("FUNCTION").filter("fqn LIKE 'api.%'")))
