@@ -1,6 +1,6 @@
 """Importing the query modules fills the catalogue."""
 
-from graphlens.plans import change_queries, enrich_queries, link_queries, traverse_queries, view_queries  # noqa: F401
+from graphlens.plans import change_queries, enrich_queries, link_queries, resolve_queries, traverse_queries, usage_queries, view_queries  # noqa: F401
 from graphlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
