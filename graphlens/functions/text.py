@@ -159,46 +159,59 @@ def third_segment(fqn: Column) -> Column:
 _PARAMETER_END = r"\(\)\.(\(.+\)|\[.+\])$"
 
 
-def _descriptors(symbol: Column) -> Column:
-    parts = F.split(symbol, " ", -1)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(symbol: Column) -> Column:
+    return F.split(F.coalesce(symbol, F.lit("")), " ", -1)
+
+
+def _descriptors(parts: Column) -> Column:
     return (
-        F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, 5, F.greatest(F.size(parts) - 4, F.lit(1))), " "))
-        .when(F.size(parts) == 4, F.element_at(parts, 4))
+        F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, F.lit(5), F.size(parts)), " "))
+        .when(F.size(parts) == 4, F.get(parts, F.lit(3)))
         .otherwise(F.lit(""))
     )
 
 
-def scip_symbol_to_fqn(symbol: Column) -> Column:
-    """Dotted name of an indexer symbol; empty for locals, parameters and broken input."""
-    symbol = F.coalesce(symbol, F.lit(""))
-    parts = F.split(symbol, " ", -1)
+def _symbol_base(parts: Column) -> Column:
+    """Package part of the name; Java symbols carry the package in their descriptors."""
     full = F.size(parts) >= 5
-    manager = F.when(full, F.get(parts, F.lit(1))).otherwise(F.lit(""))
     package = F.when(full, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(1)))
-    maven = (manager == "maven") | (F.get(parts, F.lit(0)) == "semanticdb") | package.startswith("maven/")
-    base = F.when(maven, F.lit("")).otherwise(
-        F.replace(F.regexp_replace(package, "^@+", ""), F.lit("/"), F.lit("."))
+    maven = (full & (F.get(parts, F.lit(1)) == "maven")) | (F.get(parts, F.lit(0)) == "semanticdb") | package.startswith("maven/")
+    return F.when(maven, F.lit("")).otherwise(F.replace(F.regexp_replace(package, "^@+", ""), F.lit("/"), F.lit(".")))
+
+
+def _symbol_name(parts: Column) -> Column:
+    def named(text):
+        member = F.translate(F.regexp_replace(text, r"(?:\(\)\.)?#*\.*$", ""), "#/", "..")
+        joined = F.concat(_symbol_base(parts), F.lit("."), member)
+        clean = F.regexp_replace(F.regexp_replace(joined, r"\.{2,}", "."), r"^\.+|\.+$", "")
+        return F.when(text.rlike(_PARAMETER_END), F.lit("")).otherwise(clean)
+
+    return _let(F.replace(_descriptors(parts), F.lit("`"), F.lit("")), named)
+
+
+def scip_symbol_to_fqn(symbol: Column) -> Column:
+    """Dotted name of an indexer symbol; empty for locals, parameters and broken input."""
+    return _let(
+        _parts(symbol),
+        lambda parts: F.when((F.size(parts) < 4) | (F.get(parts, F.lit(0)) == "local"), F.lit("")).otherwise(_symbol_name(parts)),
     )
-    text = F.replace(_descriptors(symbol), F.lit("`"), F.lit(""))
-    member = F.regexp_replace(text, r"\(\)\.$", "")
-    member = F.regexp_replace(F.regexp_replace(member, "#+$", ""), r"\.+$", "")
-    member = F.translate(member, "#/", "..")
-    joined = F.when(member == "", base).when(base == "", member).otherwise(F.concat_ws(".", base, member))
-    joined = F.regexp_replace(F.regexp_replace(joined, r"\.{2,}", "."), r"^\.+|\.+$", "")
-    stable = (F.size(parts) >= 4) & ~symbol.startswith("local ") & ~text.rlike(_PARAMETER_END)
-    return F.when(stable, joined).otherwise(F.lit(""))
 
 
 def scip_descriptor_kind(symbol: Column) -> Column:
     """What a symbol names: class, function, field, module, parameter, local or NULL."""
-    text = _descriptors(symbol)
-    return (
-        F.when(symbol.startswith("local "), "local")
+    return _let(
+        _descriptors(_parts(symbol)),
+        lambda text: F.when(symbol.startswith("local "), "local")
         .when(text.rlike(_PARAMETER_END), "parameter")
         .when(text.rlike(r"\(\)\.?$"), "function")
         .when(text.endswith("#"), "class")
         .when(text.endswith(":"), "module")
-        .when(text.endswith("."), "field")
+        .when(text.endswith("."), "field"),
     )
 
 

@@ -141,9 +141,9 @@ PLACE = "'./nation:' || c_nationkey"
 
 @query(
     "jn12_enclosing_function",
-    f"""WITH {SHOP}, o AS (SELECT DISTINCT 'nation:' || c_nationkey AS file, o_orderkey % 10000 AS at FROM orders JOIN customer ON o_custkey = c_custkey)
-    SELECT file, at, min_by(fqn, struct_pack(a := at - line, b := fqn)) AS fqn FROM o JOIN g_nodes n ON n.path = file AND kind = 'FUNCTION'
-      AND at BETWEEN line AND end_line GROUP BY 1, 2""",
+    f"""WITH {SHOP}, o AS (SELECT DISTINCT 'nation:' || c_nationkey AS file, o_orderkey % 10000 AS pos FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT file, pos AS "at", min_by(fqn, struct_pack(a := pos - line, b := fqn)) AS fqn FROM o JOIN g_nodes n ON n.path = file AND kind = 'FUNCTION'
+      AND pos BETWEEN line AND end_line GROUP BY 1, 2""",
 )
 def _(spark, d):
     places = table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).selectExpr(
@@ -164,11 +164,11 @@ def definitions(spark, d):
     )
 
 
-MATCH = f"""def AS (SELECT c_custkey, {SYMBOL} AS symbol, c_mktsegment, 'nation:' || c_nationkey AS file, {START} AS at,
+MATCH = f"""def AS (SELECT c_custkey, {SYMBOL} AS symbol, c_mktsegment, 'nation:' || c_nationkey AS file, {START} AS pos,
     'com.n' || c_nationkey || '.F' || c_custkey AS base FROM customer),
   hit AS MATERIALIZED (SELECT symbol, 'c:' || c_custkey AS scip_fqn, 'c:' || c_custkey AS fqn, TRUE AS direct, c_custkey FROM def WHERE c_mktsegment = 'AUTOMOBILE'
     UNION ALL SELECT symbol, base || CASE c_mktsegment WHEN 'BUILDING' THEN '' ELSE '.run' END, min(n.fqn), FALSE, c_custkey FROM def JOIN g_nodes n ON n.path = file
-      AND n.line IN (at, at + 1) AND n.kind = CASE c_mktsegment WHEN 'BUILDING' THEN 'CLASS' ELSE 'FUNCTION' END
+      AND n.line IN (pos, pos + 1) AND n.kind = CASE c_mktsegment WHEN 'BUILDING' THEN 'CLASS' ELSE 'FUNCTION' END
     WHERE c_mktsegment <> 'AUTOMOBILE' GROUP BY symbol, base, c_mktsegment, c_custkey)"""
 
 
@@ -203,11 +203,11 @@ def _(spark, d):
 
 @query(
     "jn14_confirmed_edges",
-    f"""WITH {SHOP}, {RENAME}, ref AS (SELECT DISTINCT 'nation:' || c_nationkey AS file, c_custkey % 1000 * 10 + 2 AS at, 's:' || l_suppkey AS callee
+    f"""WITH {SHOP}, {RENAME}, ref AS (SELECT DISTINCT 'nation:' || c_nationkey AS file, c_custkey % 1000 * 10 + 2 AS pos, 's:' || l_suppkey AS callee
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-    caller AS (SELECT file, at, min_by(fqn, struct_pack(a := at - line, b := fqn)) AS fqn FROM (SELECT DISTINCT file, at FROM ref) r
-      JOIN now n ON n.path = file AND kind = 'FUNCTION' AND at BETWEEN line AND end_line GROUP BY 1, 2)
-    SELECT DISTINCT c.fqn AS src, callee AS dst, 'CALLS' AS kind FROM ref r JOIN caller c ON c.file = r.file AND c.at = r.at
+    caller AS (SELECT file, pos, min_by(fqn, struct_pack(a := pos - line, b := fqn)) AS fqn FROM (SELECT DISTINCT file, pos FROM ref) r
+      JOIN now n ON n.path = file AND kind = 'FUNCTION' AND pos BETWEEN line AND end_line GROUP BY 1, 2)
+    SELECT DISTINCT c.fqn AS src, callee AS dst, 'CALLS' AS kind FROM ref r JOIN caller c ON c.file = r.file AND c.pos = r.pos
       WHERE callee IN (SELECT fqn FROM now WHERE kind = 'FUNCTION')
         OR (c.fqn, callee) IN (SELECT coalesce(new_fqn, src), dst FROM g_edges LEFT JOIN rename ON fqn = src WHERE kind = 'CALLS')
     UNION ALL SELECT DISTINCT 'c:' || c_custkey, 's:' || (c_custkey % 100), 'IMPLEMENTS' FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
