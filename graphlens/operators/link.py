@@ -107,32 +107,46 @@ def http_links(graph: Graph) -> DataFrame:
 # --- topics ------------------------------------------------------------------------------
 
 _ANCHOR = 8
+_GRAM = 3
 _SALTS = 32
 
 
 def glob_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """(name, pattern) for ``names(name)`` that fit the shell ``patterns(pattern)``.
 
-    A pattern is looked up by its literal head, else its literal tail. Patterns
-    with neither must meet every name; names are then spread over salts, so the
-    work stays even. No side is broadcast and nothing is cross-joined.
+    A pattern is looked up by one literal piece of it: its head or tail, else the
+    end of its longest literal run anywhere. Only patterns with no literal of
+    three characters meet names by shorter anchors, and those with no anchored
+    literal at all meet every name, spread over salts so the work stays even. No
+    side is broadcast and nothing is cross-joined.
     """
     head = F.substring(F.regexp_extract("pattern", r"^[^*?\[\]]+", 0), 1, _ANCHOR)
     tail = F.regexp_extract("pattern", rf"[^*?\[\]]{{1,{_ANCHOR}}}$", 0)
+    runs = F.split("pattern", r"\[[^\]]*\]|[*?\[\]]", -1)
+    longest_run = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    keyed = patterns.select("pattern").distinct().select("pattern", head.alias("head"), tail.alias("tail"), longest_run.alias("run"))
     keys = (
-        F.when(head != "", F.array(F.concat(F.lit("h:"), head)))
-        .when(tail != "", F.array(F.concat(F.lit("t:"), tail)))
+        F.when(F.length("head") >= _GRAM, F.array(F.concat(F.lit("h:"), "head")))
+        .when(F.length("tail") >= _GRAM, F.array(F.concat(F.lit("t:"), "tail")))
+        .when(F.length("run") >= _GRAM, F.array(F.concat(F.lit("g:"), F.right("run", F.lit(_GRAM)))))
+        .when(F.col("head") != "", F.array(F.concat(F.lit("h:"), "head")))
+        .when(F.col("tail") != "", F.array(F.concat(F.lit("t:"), "tail")))
         .otherwise(F.transform(F.sequence(F.lit(0), F.lit(_SALTS - 1)), lambda s: F.concat(F.lit("a:"), s.cast("string"))))
     )
-    wanted = patterns.select("pattern").distinct().select("pattern", glob_regex_column(F.col("pattern")).alias("regex"), F.explode(keys).alias("key"))
+    wanted = keyed.select("pattern", glob_regex_column(F.col("pattern")).alias("regex"), F.explode(keys).alias("key"))
     longest = F.least(F.length("name"), F.lit(_ANCHOR))
-    sizes = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    sizes = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(none)
+    starts = F.when(F.length("name") >= _GRAM, F.sequence(F.lit(1), F.length("name") - (_GRAM - 1))).otherwise(none)
     anchors = F.concat(
         F.transform(sizes, lambda n: F.concat(F.lit("h:"), F.substring(F.col("name"), F.lit(1), n))),
         F.transform(sizes, lambda n: F.concat(F.lit("t:"), F.right(F.col("name"), n))),
+        F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit("g:"), F.substring(F.col("name"), i, F.lit(_GRAM))))),
         F.array(F.concat(F.lit("a:"), F.pmod(F.xxhash64("name"), F.lit(_SALTS)).cast("string"))),
     )
+    # Only keys that some pattern asks for leave the names' side.
     offered = names.select("name").distinct().select("name", F.explode(anchors).alias("key"))
+    offered = offered.join(wanted.select("key").distinct(), "key", "left_semi")
     return offered.join(wanted, "key").filter(F.rlike("name", F.col("regex"))).select("name", "pattern").distinct()
 
 
