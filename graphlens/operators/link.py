@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.functions.scale import first_by
+from graphlens.functions.scale import first_by, materialize
 from graphlens.functions.text import glob_regex_column, normalize_url_path, third_segment
 from graphlens.graph import Graph, edge_rows, node_rows
 from graphlens.schema import HIGH, MEDIUM
@@ -114,40 +114,46 @@ _SALTS = 32
 def glob_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """(name, pattern) for ``names(name)`` that fit the shell ``patterns(pattern)``.
 
-    A pattern is looked up by one literal piece of it: its head or tail, else the
-    end of its longest literal run anywhere. Only patterns with no literal of
-    three characters meet names by shorter anchors, and those with no anchored
-    literal at all meet every name, spread over salts so the work stays even. No
-    side is broadcast and nothing is cross-joined.
+    A pattern is looked up by one literal piece of it: its head, its tail or a
+    three-character piece of any literal run, whichever the fewest names share. A
+    pattern with a piece that no name has is dropped at once. Patterns without any
+    literal meet every name, spread over salts. No side is broadcast and nothing
+    is cross-joined.
     """
+    def grams(text):
+        starts = F.when(F.length(text) >= _GRAM, F.sequence(F.lit(1), F.length(text) - (_GRAM - 1)))
+        starts = F.coalesce(starts, F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit("g:"), F.substring(text, i, F.lit(_GRAM))))
+
     head = F.substring(F.regexp_extract("pattern", r"^[^*?\[\]]+", 0), 1, _ANCHOR)
     tail = F.regexp_extract("pattern", rf"[^*?\[\]]{{1,{_ANCHOR}}}$", 0)
     runs = F.split("pattern", r"\[[^\]]*\]|[*?\[\]]", -1)
-    longest_run = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
-    keyed = patterns.select("pattern").distinct().select("pattern", head.alias("head"), tail.alias("tail"), longest_run.alias("run"))
-    keys = (
-        F.when(F.length("head") >= _GRAM, F.array(F.concat(F.lit("h:"), "head")))
-        .when(F.length("tail") >= _GRAM, F.array(F.concat(F.lit("t:"), "tail")))
-        .when(F.length("run") >= _GRAM, F.array(F.concat(F.lit("g:"), F.right("run", F.lit(_GRAM)))))
-        .when(F.col("head") != "", F.array(F.concat(F.lit("h:"), "head")))
-        .when(F.col("tail") != "", F.array(F.concat(F.lit("t:"), "tail")))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.lit(_SALTS - 1)), lambda s: F.concat(F.lit("a:"), s.cast("string"))))
-    )
-    wanted = keyed.select("pattern", glob_regex_column(F.col("pattern")).alias("regex"), F.explode(keys).alias("key"))
+    pieces = F.concat(
+        F.when(head != "", F.array(F.concat(F.lit("h:"), head))).otherwise(F.array().cast("array<string>")),
+        F.when(tail != "", F.array(F.concat(F.lit("t:"), tail))).otherwise(F.array().cast("array<string>")),
+        F.flatten(F.transform(runs, grams)),
+    )
+    wanted = materialize(patterns.select("pattern").distinct().withColumn("pieces", F.array_distinct(pieces)), "patterns")
+    pieces = wanted.select("pattern", F.explode("pieces").alias("key"))
     longest = F.least(F.length("name"), F.lit(_ANCHOR))
-    none = F.array().cast("array<int>")
-    sizes = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(none)
-    starts = F.when(F.length("name") >= _GRAM, F.sequence(F.lit(1), F.length("name") - (_GRAM - 1))).otherwise(none)
+    sizes = F.coalesce(F.when(longest > 0, F.sequence(F.lit(1), longest)), F.array().cast("array<int>"))
     anchors = F.concat(
         F.transform(sizes, lambda n: F.concat(F.lit("h:"), F.substring(F.col("name"), F.lit(1), n))),
         F.transform(sizes, lambda n: F.concat(F.lit("t:"), F.right(F.col("name"), n))),
-        F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit("g:"), F.substring(F.col("name"), i, F.lit(_GRAM))))),
-        F.array(F.concat(F.lit("a:"), F.pmod(F.xxhash64("name"), F.lit(_SALTS)).cast("string"))),
+        F.array_distinct(grams(F.col("name"))),
     )
+    names = names.select("name").distinct()
     # Only keys that some pattern asks for leave the names' side.
-    offered = names.select("name").distinct().select("name", F.explode(anchors).alias("key"))
-    offered = offered.join(wanted.select("key").distinct(), "key", "left_semi")
-    return offered.join(wanted, "key").filter(F.rlike("name", F.col("regex"))).select("name", "pattern").distinct()
+    offered = materialize(
+        names.select("name", F.explode(anchors).alias("key")).join(pieces.select("key").distinct(), "key", "left_semi"), "offered"
+    )
+    counts = offered.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = pieces.join(counts, "key", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
+    anchored = rarest.filter("k.n > 0").select("pattern", "k.key").join(offered, "key").select("name", "pattern")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    bare = wanted.filter(F.size("pieces") == 0).select("pattern", salts.alias("salt"))
+    spread = names.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(_SALTS)).cast("int")).join(bare, "salt").select("name", "pattern")
+    return anchored.unionByName(spread).filter(F.rlike("name", glob_regex_column(F.col("pattern")))).distinct()
 
 
 def topic_links(graph: Graph) -> Graph:
