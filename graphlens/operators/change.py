@@ -72,8 +72,11 @@ def map_diffs(graph: Graph, diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_hunk = live.filter(has_hunks).select("pr_id", "path", "status", "query_path", F.explode("hunks").alias("h")).select(
         "pr_id", "path", "status", "query_path", F.col("h.new_start").alias("new_start"),
         (F.col("h.new_start") + F.col("h.new_count") - 1).alias("new_end"),
-    )
-    whole = diffs.filter((F.col("status") == "deleted") | (~F.col("status").isin("added", "deleted") & ~has_hunks))
+    ).distinct()
+    # Equal hunks and repeated files fold before they meet the nodes.
+    whole = diffs.filter((F.col("status") == "deleted") | (~F.col("status").isin("added", "deleted") & ~has_hunks)).select(
+        "pr_id", "path", "status", "query_path"
+    ).distinct()
     changed = materialize(
         nodes_in_hunks(graph, by_hunk).select(*keep).unionByName(nodes_in_files(graph, whole).select(*keep)).distinct(), "changed"
     )
