@@ -10,6 +10,7 @@ from graphlens.llm.near_duplicates import near_duplicates
 from graphlens.llm.packing import packed
 from graphlens.llm.substring_dedup import repeated
 from graphlens.llm.token_counts import token_counts
+from graphlens.llm.toxicity import score_documents
 
 TOKEN_LIMIT = 1024
 
@@ -23,6 +24,11 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(_table(spark, folder, "documents"), default_tokenizer())
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Calibrated toxicity of every document."""
+    return score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie inside a benchmark window."""
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -44,7 +50,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_decontamination, op5_token_counts, op7_substring_dedup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_decontamination, op5_token_counts, op7_substring_dedup, op9_simhash)}
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": r"""
