@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphlens.llm.decontamination import contamination
 from graphlens.llm.encoding import default_tokenizer
+from graphlens.llm.language_model import backoff_scores
+from graphlens.llm.license_scan import license_scan
 from graphlens.llm.near_duplicates import near_duplicates
 from graphlens.llm.packing import packed
+from graphlens.llm.sharding import SHARDS, SLOTS, lookup_table, place
 from graphlens.llm.substring_dedup import repeated
 from graphlens.llm.token_counts import token_counts
 from graphlens.llm.toxicity import score_documents
+from graphlens.llm.vector_search import nearest_neighbours
 
 TOKEN_LIMIT = 1024
 
@@ -34,23 +39,50 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op4_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Trigram score of every document under the counts of all others."""
+    scored = backoff_scores(_table(spark, folder, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document, from an empty cache."""
     counts = token_counts(_table(spark, folder, "documents"), default_tokenizer())
     return counts.withColumn("over_limit", counts["n_tokens"] > TOKEN_LIMIT)
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in every document."""
+    return license_scan(_table(spark, folder, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words that every document keeps once passages of smaller documents are gone."""
     return repeated(_table(spark, folder, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return nearest_neighbours(_table(spark, folder, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_decontamination, op5_token_counts, op7_substring_dedup, op9_simhash)}
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return place(_table(spark, folder, "documents"), "doc_id").select("doc_id", "slot", "shard")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_toxicity, op3_decontamination, op4_stupid_backoff, op5_token_counts,
+        op6_license_scan, op7_substring_dedup, op8_nearest_neighbours, op9_simhash, op10_sharding,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": r"""
@@ -87,5 +119,50 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op4_stupid_backoff": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (SELECT r, unnest(w) AS w3, unnest(range(1, len(w) + 1)) AS i FROM d
+), g AS (
+  SELECT r, i, w3, lag(w3, 1) OVER doc AS w2, lag(w3, 2) OVER doc AS w1 FROM p WINDOW doc AS (PARTITION BY r ORDER BY i)
+), keys AS (
+  SELECT r, i, w3 AS g1, w2 || ' ' || w3 AS g2, w1 || ' ' || w2 || ' ' || w3 AS g3, w2 AS c2, w1 || ' ' || w2 AS c3 FROM g
+), grams AS (SELECT r, unnest([g1, g2, g3]) AS t FROM keys
+), per_doc AS (SELECT r, t, count(*) AS own FROM grams WHERE t IS NOT NULL GROUP BY r, t
+), counts AS (SELECT r, t, sum(own) OVER (PARTITION BY t) - own AS n FROM per_doc
+), size AS (SELECT r, len(w) AS words, sum(len(w)) OVER () - len(w) AS others FROM d
+), s AS (
+  SELECT k.r, others, CAST(a.n AS DOUBLE) AS n1, CAST(b.n AS DOUBLE) AS n2, CAST(c.n AS DOUBLE) AS n3, CAST(d2.n AS DOUBLE) AS m2, CAST(d3.n AS DOUBLE) AS m3, g2, g3
+  FROM keys k JOIN size USING (r) JOIN counts a ON a.r = k.r AND a.t = g1 LEFT JOIN counts b ON b.r = k.r AND b.t = g2 LEFT JOIN counts c ON c.r = k.r AND c.t = g3
+  LEFT JOIN counts d2 ON d2.r = k.r AND d2.t = c2 LEFT JOIN counts d3 ON d3.r = k.r AND d3.t = c3
+), logs AS (
+  SELECT r, CASE
+    WHEN n3 > 0 THEN ln(n3 / m3)
+    WHEN n2 > 0 THEN ln(n2 / m2) + (g3 IS NOT NULL)::INT * ln(0.4)
+    WHEN n1 > 0 THEN ln(n1 / others) + ((g3 IS NOT NULL)::INT + (g2 IS NOT NULL)::INT) * ln(0.4)
+    ELSE -ln(others + 1) + ((g3 IS NOT NULL)::INT + (g2 IS NOT NULL)::INT + 1) * ln(0.4) END AS x
+  FROM s
+), sums AS (SELECT r, sum(x) AS x FROM logs GROUP BY r)
+SELECT doc_id, words AS n_words, round(coalesce(x, 0), 6) AS log_score, round(x / words, 6) AS mean_log_score
+FROM d JOIN size USING (r) LEFT JOIN sums USING (r)
+""",
+    "op8_nearest_neighbours": r"""
+WITH v AS (
+  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda k: (q.v[k] - c.v[k]) * (q.v[k] - c.v[k])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank, vec_id, score FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op10_sharding": f"""
+WITH owners AS (SELECT string_split('{",".join(map(str, lookup_table(SHARDS, SLOTS)))}', ',') AS o, string_split('{",".join(SHARDS)}', ',') AS names
+), placed AS (
+  SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {SLOTS} AS INTEGER) AS slot FROM documents
+)
+SELECT doc_id, slot, names[o[slot + 1]::INTEGER + 1] AS shard FROM placed, owners
 """,
 }
