@@ -5,8 +5,8 @@ longest increasing run of anchors is kept, and the gaps between them are
 aligned in the same way. Coverage is the share of template words aligned.
 
 A template is short and a text may be long and repeat a notice, so stretches of
-the text that hold enough of the template's words, over twice its length at
-most, are aligned one after the other.
+the text that begin at a template word and hold enough of them, over twice the
+template's length at most, are aligned, and the best of overlapping ones counts.
 """
 
 from __future__ import annotations
@@ -110,10 +110,14 @@ class Scanner:
         return sorted(out)
 
     def _notices(self, text, template):
-        """Aligned stretches: from a template word, over twice the template's length at most, until all its words are in."""
+        """Aligned stretches, the best of those that overlap the first that reaches the threshold."""
         wanted, need = Counter(template), self.coverage * len(template) - 1e-9
-        at, begin = [i for i, w in enumerate(text) if w in wanted], 0
+        at, begin, best = [i for i, w in enumerate(text) if w in wanted], 0, None
         while begin < len(at):
+            if best and (at[begin] >= best[2] or best[0] == 1):
+                yield best
+                begin, best = bisect_left(at, best[2]), None
+                continue
             held, total, end = Counter(), 0, begin
             while end < len(at) and at[end] < at[begin] + 2 * len(template) and total < len(template):
                 w = text[at[end]]
@@ -121,12 +125,11 @@ class Scanner:
                 held[w] += 1
                 end += 1
             pairs = align(text[at[begin] : at[end - 1] + 1], template) if total >= need else []
-            if pairs and len(pairs) >= need:
-                first, last = at[begin] + pairs[0][0], at[begin] + pairs[-1][0]
-                yield len(pairs) / len(template), first, last + 1
-                begin = bisect_left(at, last + 1)
-            else:
-                begin += 1
+            if pairs and len(pairs) >= need and (best is None or len(pairs) / len(template) > best[0]):
+                best = (len(pairs) / len(template), at[begin] + pairs[0][0], at[begin] + pairs[-1][0] + 1)
+            begin += 1
+        if best:
+            yield best
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

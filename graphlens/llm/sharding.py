@@ -69,5 +69,6 @@ def place(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int
     """
     if any("," in name for name in shards):
         raise ValueError("shard names must not hold commas")
-    rows = df.drop("slot", "shard").withColumn("slot", slot_of(df[key], slots))
+    kept = [F.col(c) for c in df.columns if c.lower() not in ("slot", "shard")]
+    rows = df.select(*kept, slot_of(F.col(key), slots).alias("slot"))
     return rows.join(F.broadcast(table(df.sparkSession, shards, slots)), "slot").select(*rows.columns, "shard")
