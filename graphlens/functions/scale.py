@@ -69,38 +69,27 @@ def _pick(df, keys, order, cols, chooser):
     )
 
 
-def numbered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    out: str,
-    start: int = 0,
-    group_limit: int = 1_000_000,
-) -> DataFrame:
-    """Exact consecutive numbers inside each group, also for a hot group.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str, start: int = 0) -> DataFrame:
+    """Exact consecutive BIGINT numbers inside each group, also for a hot group and for NULL keys.
 
-    While the largest group fits one task a plain window does the work. Beyond
-    ``group_limit`` rows the data is range-partitioned on (keys, order), each
-    slice is numbered alone and shifted by the sizes of the slices before it.
+    The rows are range-partitioned on (keys, order), so a group of any size lies
+    in consecutive slices; each slice is numbered alone and shifted by the sizes
+    of the slices before it. Only one row per group and slice is shuffled again.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    df = materialize(df, "numbered")
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_limit:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, rank + F.lit(start - 1))
-    ranged = materialize(
-        df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), "ranged"
-    )
+    ranged = materialize(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
-    return (
-        ranged.join(offsets, [*keys, "_slice"])
-        .withColumn(out, (rank + F.col("_before") + F.lit(start - 1)).cast("int"))
-        .drop("_slice", "_before")
+    offsets = sizes.select(
+        *[F.col(c).alias(f"_key_{c}") for c in keys], F.col("_slice").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
+    rank = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)).cast("long")
+    placed = ranged.withColumn("_rank", rank)
+    same = F.col("_slice") == F.col("_of")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    joined = placed.join(offsets, same)
+    return joined.withColumn(out, F.col("_rank") + F.col("_before") + F.lit(start - 1)).select(*df.columns, out)
 
 
 def with_next(df: DataFrame, keys: Sequence[str], position: str, cols: dict[str, str]) -> DataFrame:

@@ -338,7 +338,7 @@ def merge_runs(counts: dict[int, int], target: int) -> list[list[tuple[int, int,
     return out
 
 
-def merged_batches(batches: DataFrame, max_agents: int = 8, reserved: int = 3, chunk: int = 5) -> DataFrame:
+def merged_batches(batches: DataFrame, max_agents: int = 8, reserved: int = 3) -> DataFrame:
     """(pr_id, batch, merged): batches per pull request merged down to the agents left for code.
 
     The driver of the merge is one row per request, the number of batches of each
@@ -346,14 +346,14 @@ def merged_batches(batches: DataFrame, max_agents: int = 8, reserved: int = 3, c
     """
     sizes = batches.groupBy("pr_id", "batch").agg(F.count("*").cast("int").alias("size"))
     ranked = materialize(numbered(sizes, ["pr_id", "size"], ["batch"], "rank"), "ranked")
-    counts = ranked.groupBy("pr_id").agg(*[F.count_if(F.col("size") == s).alias(f"n{s}") for s in range(1, chunk + 1)])
+    counts = ranked.groupBy("pr_id", "size").agg(F.count("*").alias("n")).groupBy("pr_id").agg(F.collect_list("size").alias("sizes"), F.collect_list("n").alias("counts"))
     target = max_agents - reserved
 
     def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for row in frame.to_dict("records"):
-                groups = merge_runs({s: row[f"n{s}"] for s in range(1, chunk + 1)}, target)
+                groups = merge_runs(dict(zip(map(int, row["sizes"]), map(int, row["counts"]))), target)
                 rows += [(row["pr_id"], i, c, lo, hi) for i, group in enumerate(groups) for c, lo, hi in group]
             yield pd.DataFrame(rows, columns=["pr_id", "merged", "size", "lo", "hi"])
 

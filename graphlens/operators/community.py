@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,21 +34,21 @@ def modularity(links: DataFrame, members: DataFrame) -> float:
     return row["inside"] / row["m2"] - row["squares"] / (row["m2"] * row["m2"])
 
 
-def louvain(graph: Graph, max_levels: int = 5, max_sweeps: int = 8, tolerance: float = 1e-6) -> DataFrame:
+def louvain(graph: Graph, tolerance: float = 1e-6) -> DataFrame:
     """(fqn, community): communities of the classes by modularity gain.
 
     A sweep lets every node look at the communities of its neighbours and move to
     the best gain, ties to the smallest name. Moves of one sweep are simultaneous,
     so only nodes whose hash parity matches the sweep may move: two neighbours
     rarely swap places. When sweeps stop improving, communities become the nodes
-    of the next level. Only scalars reach the driver.
+    of the next level, until a level gains nothing. Only scalars reach the driver.
     """
     classes = graph.of_kind("CLASS").select(F.col("fqn").alias("node"))
     links = materialize(class_links(graph), "links")
     mapping = materialize(classes.withColumn("community", F.col("node")), "level")
     level_links = links
     best = modularity(links, mapping)
-    for _ in range(max_levels):
+    while True:
         nodes = level_links.select(F.col("a").alias("node")).distinct()
         placed = materialize(nodes.withColumn("community", F.col("node")), "sweep")
         degrees = materialize(level_links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "degree")
@@ -54,13 +56,15 @@ def louvain(graph: Graph, max_levels: int = 5, max_sweeps: int = 8, tolerance: f
         if not m2:
             break
         score = modularity(level_links, placed)
-        for sweep in range(max_sweeps):
+        idle = 0
+        for sweep in count():
             moved = materialize(_sweep(level_links, placed, degrees, m2, sweep), "sweep")
             now = modularity(level_links, moved)
-            if now > score + tolerance:
-                placed, score = moved, now
-            elif sweep % 2 == 1:
+            idle = idle + 1 if now <= score + tolerance else 0
+            if idle == 2:  # neither half of the nodes gains anything
                 break
+            if not idle:
+                placed, score = moved, now
         lifted = mapping.join(placed.select(F.col("node").alias("community"), F.col("community").alias("next")), "community", "left")
         candidate = materialize(lifted.select("node", F.coalesce("next", "community").alias("community")), "level")
         reached = modularity(links, candidate)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.scale import first_by, materialize
-from graphlens.functions.text import glob_regex_column, normalize_url_path, third_segment
+from graphlens.functions.text import GLOB_CLASS, glob_regex_column, normalize_url_path, third_segment
 from graphlens.graph import Graph, edge_rows, node_rows
 from graphlens.schema import HIGH, MEDIUM
 
@@ -126,8 +126,8 @@ def glob_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
         return F.transform(starts, lambda i: F.concat(F.lit("g:"), F.substring(text, i, F.lit(_GRAM))))
 
     head = F.substring(F.regexp_extract("pattern", r"^[^*?\[\]]+", 0), 1, _ANCHOR)
-    tail = F.regexp_extract("pattern", rf"[^*?\[\]]{{1,{_ANCHOR}}}$", 0)
-    runs = F.split("pattern", r"\[[^\]]*\]|[*?\[\]]", -1)
+    tail = F.regexp_extract(F.regexp_replace("pattern", GLOB_CLASS, "*"), rf"[^*?\[\]]{{1,{_ANCHOR}}}$", 0)
+    runs = F.split("pattern", rf"{GLOB_CLASS}|[*?\[\]]", -1)
     pieces = F.concat(
         F.when(head != "", F.array(F.concat(F.lit("h:"), head))).otherwise(F.array().cast("array<string>")),
         F.when(tail != "", F.array(F.concat(F.lit("t:"), tail))).otherwise(F.array().cast("array<string>")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -322,7 +324,7 @@ def declared_interfaces(graph: Graph) -> DataFrame:
     return declared.join(interfaces, "name").select(F.col("fqn").alias("iface"), "impl").filter("iface <> impl").distinct()
 
 
-def method_bridges(graph: Graph, pairs: DataFrame, max_depth: int = 64) -> DataFrame:
+def method_bridges(graph: Graph, pairs: DataFrame) -> DataFrame:
     """IMPLEMENTS edges from interface methods to the methods that serve them.
 
     ``pairs(iface, impl)``. Inherited methods count; the class nearest to the
@@ -334,7 +336,7 @@ def method_bridges(graph: Graph, pairs: DataFrame, max_depth: int = 64) -> DataF
         first_by(graph.edges_of("INHERITS").select("src", "dst", "seq"), ["src"], ["seq", "dst"], ["dst"]), "parents"
     )
     layers = [materialize(pairs.select("impl", F.col("impl").alias("cls"), F.lit(0).alias("depth")).distinct(), "lineage")]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):  # classes already in a lineage are left out, so it ends, rings included
         step = (
             layers[-1].join(parents, F.col("cls") == F.col("src")).select("impl", F.col("dst").alias("cls"), F.lit(depth).alias("depth"))
             .join(_union(layers).select("impl", "cls"), ["impl", "cls"], "left_anti")

@@ -33,14 +33,32 @@ BINDINGS = {"FromBody": "body", "FromQuery": "query", "FromRoute": "route"}
 CONTROLLER_BASES = ["ControllerBase", "Controller", "ODataController"]
 HUB_LIFECYCLE = ["OnConnectedAsync", "OnDisconnectedAsync"]
 HTTP_METHOD_NAMES = ["get", "post", "put", "delete", "patch", "options", "head"]
-# Patterns of route declarations.
-ROUTE_DECORATOR = r"(?i)^(\w+)\.(get|post|put|delete|patch|options|head)\(\s*[\"']([^\"']+)[\"']"
-ROUTER_PREFIX = r"APIRouter\([^)]*prefix\s*=\s*[\"'](.[^\"']+)[\"']"
-FLASK_ROUTE = r"^@?(\w+)\.route\(\s*[\"']([^\"']*)[\"']"
-FLASK_METHODS = r"methods\s*=\s*\[([^\]]*)\]"
-URL_RULE = r"(?s)^add_url_rule\(\s*[\"']([^\"']+)[\"'].*?view_func\s*=\s*(\w+)"
-BLUEPRINT_PREFIX = r"Blueprint\([^)]*url_prefix\s*=\s*[\"']([^\"']+)[\"']"
-REGISTER_PREFIX = r"register_blueprint\(\s*(\w+)\s*(?:,[^)]*?url_prefix\s*=\s*[\"']([^\"']+)[\"'])?"
+# Route declarations, from the grammar of calls: a Python string has either quote (two groups, one of them empty).
+STRING = r"""[rRbBuU]?(?:"([^"]*)"|'([^']*)')"""
+IDENTIFIER = r"([A-Za-z_]\w*)"
+ARGUMENTS = r"(?:[^()]|\([^()]*\))*?"
+
+
+def _keyword(call: str, keyword: str) -> str:
+    """A string given to ``keyword`` anywhere in the arguments of ``call``."""
+    return rf"\b{call}\s*\({ARGUMENTS}\b{keyword}\s*=\s*{STRING}"
+
+
+def _leading(keyword: str) -> str:
+    """A string as first argument, or given to ``keyword``."""
+    return rf"\((?:{ARGUMENTS}\b{keyword}\s*=)?\s*{STRING}"
+
+
+ROUTE_DECORATOR = rf"(?i)^\s*@?\s*{IDENTIFIER}\s*\.\s*({'|'.join(HTTP_METHOD_NAMES)})\s*{_leading('path')}"
+ROUTER_PREFIX = _keyword("APIRouter", "prefix")
+FLASK_ROUTE = rf"^\s*@?\s*{IDENTIFIER}\s*\.\s*route\s*{_leading('rule')}"
+FLASK_METHODS = r"\bmethods\s*=\s*[\[({]([^\])}]*)[\])}]"
+URL_RULE = rf"^\s*(?:\w+\s*\.\s*)*add_url_rule\s*{_leading('rule')}"
+VIEW_FUNCTION = rf"\bview_func\s*=\s*{IDENTIFIER}"
+BLUEPRINT_PREFIX = _keyword("Blueprint", "url_prefix")
+REGISTRATION = r"\bregister_blueprint\s*\((?:[^()]|\([^()]*\))*\)"
+REGISTERED = rf"\(\s*(?:blueprint\s*=\s*)?(?:\w+\s*\.\s*)*{IDENTIFIER}"
+GIVEN_PREFIX = rf"\burl_prefix\s*=\s*{STRING}"
 SERVICE_BASE = r"^(\w+)\.\1Base$"
 # Generated actions per viewset type as (action, verb, path suffix).
 VIEWSET_ACTIONS = {
@@ -88,6 +106,11 @@ def endpoint_result(
     return RuleResult(nodes=nodes, edges=edges, layers=layers, entry_points=points)
 
 
+def _string(text, pattern: str, group: int = 1) -> Column:
+    """The string that ``pattern`` captures in ``group`` or, with the other quote, the next one."""
+    return F.concat(F.regexp_extract(text, pattern, group), F.regexp_extract(text, pattern, group + 1))
+
+
 def _arg(name: str) -> Column:
     return F.coalesce(F.col("annotation_args")[name], F.lit(""))
 
@@ -189,22 +212,22 @@ def socket_hubs(graph: Graph, mapped: DataFrame) -> RuleResult:
 
 def decorated_routes(graph: Graph) -> RuleResult:
     """Functions under ``@router.verb("path")``; the router's prefix is found by its variable name."""
-    fields = graph.of_kind("FIELD").filter("language = 'python'").select("name", F.regexp_extract("value", ROUTER_PREFIX, 1).alias("prefix"), "seq", "fqn")
+    fields = graph.of_kind("FIELD").filter("language = 'python'").select("name", _string("value", ROUTER_PREFIX).alias("prefix"), "seq", "fqn")
     prefixes = last_by(fields.filter("prefix <> ''"), ["name"], ["seq", "fqn"], ["prefix"])
     routes = graph.of_kind("FUNCTION").filter("language = 'python'").select("fqn", F.explode("annotations").alias("d")).filter(F.col("d").rlike(ROUTE_DECORATOR))
     rows = routes.select(
         F.col("fqn").alias("owner"), F.col("fqn").alias("handler"), F.regexp_extract("d", ROUTE_DECORATOR, 1).alias("name"),
-        F.upper(F.regexp_extract("d", ROUTE_DECORATOR, 2)).alias("verb"), F.regexp_extract("d", ROUTE_DECORATOR, 3).alias("path"),
+        F.upper(F.regexp_extract("d", ROUTE_DECORATOR, 2)).alias("verb"), _string("d", ROUTE_DECORATOR, 3).alias("path"),
     ).join(prefixes, "name", "left").withColumn("url", F.concat(F.coalesce("prefix", F.lit("")), "path"))
     return endpoint_result(rows, "fastapi", prefixed=False, handler_entry=False, exposes=False, layer_of="handler")
 
 
 def blueprint_prefixes(graph: Graph, files: DataFrame) -> DataFrame:
     """(name, prefix): the prefix given at registration wins over the constructor's; ``files(path, text)``."""
-    built = graph.of_kind("FIELD").filter("language = 'python'").select("name", F.regexp_extract("value", BLUEPRINT_PREFIX, 1).alias("prefix"), F.lit(0).alias("rank"), F.col("fqn").alias("at"))
-    calls = files.filter(F.endswith("path", F.lit(".py"))).select("path", F.posexplode(F.regexp_extract_all("text", F.lit(REGISTER_PREFIX), F.lit(0))).alias("pos", "c"))
+    built = graph.of_kind("FIELD").filter("language = 'python'").select("name", _string("value", BLUEPRINT_PREFIX).alias("prefix"), F.lit(0).alias("rank"), F.col("fqn").alias("at"))
+    calls = files.filter(F.endswith("path", F.lit(".py"))).select("path", F.posexplode(F.regexp_extract_all("text", F.lit(REGISTRATION), F.lit(0))).alias("pos", "c"))
     given = calls.select(
-        F.regexp_extract("c", REGISTER_PREFIX, 1).alias("name"), F.regexp_extract("c", REGISTER_PREFIX, 2).alias("prefix"), F.lit(1).alias("rank"),
+        F.regexp_extract("c", REGISTERED, 1).alias("name"), _string("c", GIVEN_PREFIX).alias("prefix"), F.lit(1).alias("rank"),
         F.concat_ws("#", "path", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("at"),
     )
     return last_by(built.unionByName(given).filter("prefix <> ''"), ["name"], ["rank", "at"], ["prefix"])
@@ -221,10 +244,10 @@ def blueprint_routes(graph: Graph, files: DataFrame) -> RuleResult:
     prefixes = blueprint_prefixes(graph, files)
     routes = graph.of_kind("FUNCTION").filter("language = 'python'").select("fqn", F.explode("annotations").alias("d")).filter(F.col("d").rlike(FLASK_ROUTE))
     rows = routes.select(
-        F.col("fqn").alias("handler"), F.regexp_extract("d", FLASK_ROUTE, 1).alias("name"), F.regexp_extract("d", FLASK_ROUTE, 2).alias("path"), _methods(F.col("d")).alias("verbs")
+        F.col("fqn").alias("handler"), F.regexp_extract("d", FLASK_ROUTE, 1).alias("name"), _string("d", FLASK_ROUTE, 2).alias("path"), _methods(F.col("d")).alias("verbs")
     ).join(prefixes.filter("name <> 'app'"), "name", "left").select("handler", "verbs", join_paths(F.col("prefix"), F.col("path")).alias("url"))
-    rules = graph.of_kind("FIELD").filter("language = 'python'").filter(F.col("value").rlike(URL_RULE)).select(
-        owner_name(F.col("fqn")).alias("scope"), F.regexp_extract("value", URL_RULE, 2).alias("ref"), F.regexp_extract("value", URL_RULE, 1).alias("url"), _methods(F.col("value")).alias("verbs")
+    rules = graph.of_kind("FIELD").filter("language = 'python'").filter(F.col("value").rlike(URL_RULE) & F.col("value").rlike(VIEW_FUNCTION)).select(
+        owner_name(F.col("fqn")).alias("scope"), F.regexp_extract("value", VIEW_FUNCTION, 1).alias("ref"), _string("value", URL_RULE).alias("url"), _methods(F.col("value")).alias("verbs")
     )
     bound = rules.join(resolve_references(graph, rules), ["scope", "ref"]).select(F.col("fqn").alias("handler"), "verbs", "url")
     both = rows.unionByName(bound.select("handler", "verbs", "url")).select(F.col("handler").alias("owner"), "handler", F.explode("verbs").alias("verb"), "url")
@@ -335,17 +358,21 @@ def url_patterns(graph: Graph, prefixes: DataFrame) -> RuleResult:
     return RuleResult(nodes=nodes, edges=edges)
 
 
-def include_prefixes(includes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(module, prefix) of ``includes(module, included, prefix)``, nested includes joined to a fixpoint."""
+def include_prefixes(includes: DataFrame) -> DataFrame:
+    """(module, prefix) of ``includes(module, included, prefix)``, nested includes joined to a fixpoint.
+
+    An include of a module that already lies above on its own path ends that
+    path, as a ring of includes has no finite prefix.
+    """
     from graphlens.functions.scale import materialize
 
     steps = materialize(includes.select("module", "included", "prefix").distinct(), "includes")
     roots = steps.select("module").distinct().join(steps.select(F.col("included").alias("module")), "module", "left_anti")
-    layer = materialize(roots.withColumn("prefix", F.lit("")), "prefix")
+    layer = materialize(roots.select("module", F.lit("").alias("prefix"), F.array("module").alias("path")), "prefix")
     layers = [layer]
-    for _ in range(max_depth):
-        nxt = layer.withColumnRenamed("prefix", "above").join(steps, "module").select(
-            F.col("included").alias("module"), join_paths(F.col("above"), F.col("prefix")).alias("prefix")
+    while True:
+        nxt = layer.withColumnRenamed("prefix", "above").join(steps, "module").filter(~F.array_contains("path", F.col("included"))).select(
+            F.col("included").alias("module"), join_paths(F.col("above"), F.col("prefix")).alias("prefix"), F.array_append("path", F.col("included")).alias("path")
         )
         layer = materialize(nxt.distinct(), "prefix")
         if layer.isEmpty():
@@ -354,4 +381,4 @@ def include_prefixes(includes: DataFrame, max_depth: int = 16) -> DataFrame:
     out = layers[0]
     for extra in layers[1:]:
         out = out.unionByName(extra)
-    return out.distinct()
+    return out.select("module", "prefix").distinct()

@@ -192,7 +192,7 @@ def resolve_references(graph: Graph, wanted: DataFrame) -> DataFrame:
 def function_dependencies(graph: Graph) -> DataFrame:
     """INJECTS from a dependency function to the handler whose parameter declares it."""
     params = graph.of_kind("FUNCTION").filter("language = 'python'").select(F.col("fqn").alias("dst"), F.explode("params").alias("p"))
-    ref = F.regexp_extract("p.qualifier", r"Depends\(\s*([a-zA-Z_][\w.]*)\s*\)", 1)
+    ref = F.regexp_extract("p.qualifier", r"\bDepends\s*\(\s*(?:dependency\s*=\s*)?([A-Za-z_][\w.]*)\s*[,)]", 1)
     asked = params.select("dst", owner_name(F.col("dst")).alias("scope"), ref.alias("ref")).filter("ref <> ''")
     found = asked.join(resolve_references(graph, asked), ["scope", "ref"])
     return edge_rows(

@@ -158,12 +158,15 @@ def declared_columns(graph: Graph, flavour: str) -> RuleResult:
     return mapped_tables(entities, columns, {"table_name": "sqlalchemy", "flask": "flask-sqlalchemy", "django": "django-orm"}[flavour])
 
 
-def context_entities(graph: Graph, max_depth: int = 16) -> DataFrame:
-    """(context, entity): sets held by a context class or by any class that descends from one."""
+def context_entities(graph: Graph) -> DataFrame:
+    """(context, entity): sets held by a context class or by any class that descends from one.
+
+    A context is known by its base class or by its own name.
+    """
     parents = materialize(graph.of_kind("CLASS").filter("base_class IS NOT NULL").select("fqn", "name", "base_class"), "parents")
-    layer = parents.filter(F.contains("base_class", F.lit("DbContext"))).select("fqn", "name")
+    layer = graph.of_kind("CLASS").filter(F.contains("base_class", F.lit("DbContext")) | F.endswith("name", F.lit("DbContext"))).select("fqn", "name")
     layers = [materialize(layer, "contexts")]
-    for _ in range(max_depth):
+    while True:
         step = parents.join(layers[-1].select(F.col("name").alias("base_class")).distinct(), "base_class", "left_semi").select("fqn", "name")
         seen = layers[0]
         for x in layers[1:]:

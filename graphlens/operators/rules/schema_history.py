@@ -10,9 +10,12 @@ from graphlens.functions.text import flyway_version
 from graphlens.graph import Graph, edge_rows, node_rows
 from graphlens.operators.rules import RuleResult
 
-NAME = r"""["`]?(?:\w+\.)?["`]?(\w+)["`]?"""
+#: A table or column, quoted or not, behind any number of qualifiers; its last part is the name.
+QUALIFIED = r"""(?:["`]?\w+["`]?\.)*["`]?\w+["`]?"""
+NAME = r"""(?:["`]?\w+["`]?\.)*["`]?(\w+)["`]?"""
 CREATE = rf"(?is)^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\((.*)\)[^)]*$"
-ADD_COLUMN = rf"(?is)^\s*ALTER\s+TABLE\s+{NAME}\s+ADD\s+(?:COLUMN\s+)?(?!CONSTRAINT\b|FOREIGN\b|PRIMARY\b|UNIQUE\b){NAME}\s+(\w+(?:\s*\([^)]*\))?)"
+ALTER = rf"(?is)^\s*ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{NAME}\s+(.*)$"
+ADD_COLUMN = rf"(?is)(?:^|,)\s*ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(?!(?:CONSTRAINT|FOREIGN|PRIMARY|UNIQUE|CHECK|INDEX|KEY)\b){NAME}\s+(\w+(?:\s*\([^)]*\))?)"
 FOREIGN = rf"(?is)FOREIGN\s+KEY\s*\(([^)]*)\)\s*REFERENCES\s+{NAME}\s*\(([^)]*)\)"
 INDEX = rf"(?is)^\s*CREATE\s+(UNIQUE\s+)?INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s+ON\s+{NAME}\s*\(([^)]*)\)"
 COLUMN = r"""(?is)^\s*["`]?(\w+)["`]?\s+(\w+(?:\s*\([^)]*\))?)"""
@@ -20,7 +23,9 @@ TABLE_RULES = r"(?i)^\s*(PRIMARY|FOREIGN|CONSTRAINT|UNIQUE|CHECK|KEY|INDEX)\b"
 
 
 def _clean(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)--[^\n]*|/\*.*?\*/", "")
+    """Statements without comments, and with every string literal emptied: nothing here depends on their content."""
+    kept = F.regexp_replace(text, r"(?s)('(?:[^']|'')*')|--[^\n]*|/\*.*?\*/", "$1")
+    return F.regexp_replace(kept, r"'(?:[^']|'')*'", "''")
 
 
 def _names(text: Column) -> Column:
@@ -30,7 +35,7 @@ def _names(text: Column) -> Column:
 def statements(files: DataFrame) -> DataFrame:
     """(ord, statement) of migration files ``(name, text)`` in version order; other files are left out."""
     versioned = files.withColumn("version", flyway_version(F.col("name"))).filter("version IS NOT NULL")
-    numbers = F.transform(F.split("version", r"\."), lambda n: n.cast("int"))
+    numbers = F.transform(F.split("version", r"\."), lambda n: n.cast("decimal(38,0)"))
     parts = versioned.select(numbers.alias("version"), "name", F.posexplode(F.split(_clean(F.col("text")), ";")).alias("pos", "statement"))
     return parts.filter(F.trim("statement") != "").select(F.struct("version", "name", "pos").alias("ord"), "statement")
 
@@ -50,9 +55,11 @@ def fold_schema(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "ord", "table", F.regexp_extract("part", COLUMN, 1).alias("column"), F.upper(F.regexp_extract("part", COLUMN, 2)).alias("type"),
         F.col("part").rlike(r"(?i)\bPRIMARY\s+KEY\b").alias("is_primary_key"),
     )
-    added = rows.filter(F.col("statement").rlike(ADD_COLUMN)).select(
-        "ord", F.regexp_extract("statement", ADD_COLUMN, 1).alias("table"), F.regexp_extract("statement", ADD_COLUMN, 2).alias("column"),
-        F.upper(F.regexp_extract("statement", ADD_COLUMN, 3)).alias("type"), F.lit(False).alias("is_primary_key"),
+    actions = rows.filter(F.col("statement").rlike(ALTER)).select(
+        "ord", F.regexp_extract("statement", ALTER, 1).alias("table"), F.explode(F.regexp_extract_all(F.regexp_extract("statement", ALTER, 2), F.lit(ADD_COLUMN), F.lit(0))).alias("action")
+    )
+    added = actions.select(
+        "ord", "table", F.regexp_extract("action", ADD_COLUMN, 1).alias("column"), F.upper(F.regexp_extract("action", ADD_COLUMN, 2)).alias("type"), F.lit(False).alias("is_primary_key")
     )
     last_create = created.groupBy("table").agg(F.max("ord").alias("born"))
     live = defined.unionByName(added).join(last_create, "table", "left").filter("born IS NULL OR ord >= born")
@@ -115,11 +122,14 @@ def sql_lineage(texts: DataFrame) -> DataFrame:
     SELECT reads every table; INSERT writes its target and reads the rest;
     UPDATE and DELETE write their target. Names defined by WITH are not tables.
     """
-    clean = F.regexp_replace(_clean(F.col("text")), r"'(?:[^']|'')*'", "''")
+    # Functions with FROM among their arguments name no table.
+    clean = F.regexp_replace(_clean(F.col("text")), r"(?i)\b(?:EXTRACT|SUBSTRING|TRIM|OVERLAY|POSITION)\s*\([^()]*\)", "0")
     body = F.regexp_replace(clean, r"(?is)^\s*WITH\b.*?\)\s*(?=SELECT\b|INSERT\b|UPDATE\b|DELETE\b)", " ")
     verb = F.upper(F.regexp_extract(body, r"(?i)^\s*(SELECT|INSERT|UPDATE|DELETE)\b", 1))
-    mentioned = rf"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+{NAME}"
-    names = F.array_distinct(F.regexp_extract_all(clean, F.lit(mentioned), F.lit(1)))
+    alias = r"(?:\s+(?:AS\s+)?(?!(?:WHERE|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|NATURAL|ON|USING|SET|VALUES|SELECT|GROUP|ORDER|HAVING|LIMIT|UNION|EXCEPT|INTERSECT|RETURNING|FOR|DEFAULT)\b)\w+)?"
+    mentioned = rf"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+({QUALIFIED}{alias}(?:\s*,\s*{QUALIFIED}{alias})*)"
+    lists = F.regexp_extract_all(clean, F.lit(mentioned), F.lit(1))
+    names = F.array_distinct(F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, NAME, 1)))
     local = F.regexp_extract_all(clean, F.lit(r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|\)\s*,\s*)(\w+)\s+AS\s*\("), F.lit(1))
     first = F.regexp_extract(body, rf"(?i)\b(?:INTO|UPDATE|DELETE\s+FROM)\s+{NAME}", 1)
     rows = texts.select("fqn", verb.alias("query_type"), F.array_except(names, local).alias("names"), first.alias("target")).filter("query_type <> ''")

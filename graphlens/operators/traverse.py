@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -308,19 +310,20 @@ def shortest_paths(graph: Graph, pairs: DataFrame, max_depth: int = 10, kinds: S
 # --- ancestry ----------------------------------------------------------------------------
 
 
-def ancestry(graph: Graph, fqns: DataFrame, max_depth: int = 20) -> DataFrame:
+def ancestry(graph: Graph, fqns: DataFrame) -> DataFrame:
     """(seed, position, node): the containment chain from a root down to the node.
 
     A node with several parents follows the one under a MODULE first, then the
-    smallest name, so the chain is the same on every run.
+    smallest name, so the chain is the same on every run. It ends at a node
+    without parents, or before a node that it already holds.
     """
     parent_kind = graph.nodes.select(F.col("fqn").alias("src"), F.when(F.col("kind") == "MODULE", 0).when(F.col("kind") == "CLASS", 1).otherwise(2).alias("rank"))
     parents = graph.edges_of("CONTAINS").select("src", "dst").distinct().join(parent_kind, "src")
     one = materialize(first_by(parents, ["dst"], ["rank", "src"], ["src"]), "parents")
     layers = [materialize(fqns.select(F.col("fqn").alias("seed"), F.col("fqn").alias("node"), F.lit(0).alias("up")), "chain")]
-    for up in range(1, max_depth + 1):
+    for up in count(1):
         step = layers[-1].join(one, F.col("node") == F.col("dst")).select("seed", F.col("src").alias("node"), F.lit(up).alias("up"))
-        layer = materialize(step, "chain")
+        layer = materialize(step.join(_union(layers).select("seed", "node"), ["seed", "node"], "left_anti"), "chain")
         if layer.isEmpty():
             break
         layers.append(layer)
@@ -332,11 +335,11 @@ def ancestry(graph: Graph, fqns: DataFrame, max_depth: int = 20) -> DataFrame:
 # --- cycles ------------------------------------------------------------------------------
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges that can lie on a cycle: ends without a way in or a way out are peeled off."""
     core = materialize(edges, "core")
     size = core.count()
-    for _ in range(rounds):
+    while True:
         sources, targets = core.select("src").distinct(), core.select("dst").distinct()
         kept = core.join(targets.withColumnRenamed("dst", "src"), "src", "left_semi").join(
             sources.withColumnRenamed("src", "dst"), "dst", "left_semi"
@@ -368,6 +371,12 @@ def closed_trails(
     closed = []
     hop = core.select(F.col("src").alias("end"), F.col("dst").alias("next"), F.col("edge_id").alias("id"))
     for length in range(2, max_length + 1):
+        if length >= min_length:  # the last step is a join on both ends, so open walks of full length are never made
+            back = hop.select("end", F.col("next").alias("start"), "id")
+            last = walk.join(back, ["start", "end"]).filter(~F.array_contains(F.col("used"), F.col("id")))
+            closed.append(materialize(last.select(F.array_append("cycle", F.col("start")).alias("cycle"), F.lit(length).alias("cycle_length")), "closed"))
+        if length == max_length:
+            break
         longer = (
             walk.join(hop, "end").filter(~F.array_contains(F.col("used"), F.col("id")))
             .select(
@@ -376,8 +385,6 @@ def closed_trails(
             )
         )
         walk = materialize(longer, "walk")
-        if length >= min_length:
-            closed.append(walk.filter("start = end").select("cycle", F.lit(length).alias("cycle_length")))
         if walk.isEmpty():
             break
     return _union(closed).distinct()

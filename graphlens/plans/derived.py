@@ -88,14 +88,12 @@ def shop_graph(spark: SparkSession, d: str) -> Graph:
     return Graph(shop_nodes(spark, d), shop_edges(spark, d))
 
 
-def nation_dependencies(spark: SparkSession, d: str, per_source: int = 3) -> DataFrame:
-    """Nation-to-nation dependencies, the strongest few per source.
+def nation_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Nation-to-nation dependencies, all of them.
 
     Lines are counted per (customer, supplier) before the nations are joined, so
     the wide input shrinks ahead of the second shuffle.
     """
-    from pyspark.sql import Window
-
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     pairs = (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -107,9 +105,7 @@ def nation_dependencies(spark: SparkSession, d: str, per_source: int = 3) -> Dat
         pairs.join(customer, "o_custkey").join(supplier, "l_suppkey").filter("a <> b")
         .groupBy("a", "b").agg(F.sum("lines").alias("weight"))
     )
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))
-    top = weights.withColumn("rank", rank).filter(F.col("rank") <= per_source)
-    edges = top.select(key("n", "a").alias("src"), key("n", "b").alias("dst"), F.lit("DEPENDS_ON").alias("kind"), "weight")
+    edges = weights.select(key("n", "a").alias("src"), key("n", "b").alias("dst"), F.lit("DEPENDS_ON").alias("kind"), "weight")
     return edge_rows(edges).withColumn("app_name", F.lit(APP))
 
 
@@ -165,8 +161,7 @@ SHOP = SHOP_NODES + ",\n" + SHOP_EDGES
 
 NATION_DEP = """dep AS MATERIALIZED (
   SELECT 'n:' || a AS src, 'n:' || b AS dst, weight FROM (
-    SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS weight,
-           row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS rank
+    SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS weight
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       JOIN supplier ON l_suppkey = s_suppkey
-    WHERE c_nationkey <> s_nationkey GROUP BY 1, 2) WHERE rank <= 3)"""
+    WHERE c_nationkey <> s_nationkey GROUP BY 1, 2))"""

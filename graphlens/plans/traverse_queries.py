@@ -138,7 +138,8 @@ def _(spark, d):
     "g4_trace_edges",
     f"""WITH {SHOP}, {TRACE_CTE} SELECT c.seed, e.src AS source, e.dst AS target, e.kind AS type,
       coalesce(a.sequence, b.sequence) AS sequence
-    FROM centre c JOIN t_edges e ON e.src = c.seed OR e.dst = c.seed
+    FROM (SELECT seed, e.* FROM centre JOIN t_edges e ON e.src = seed UNION ALL SELECT seed, e.* FROM centre JOIN t_edges e ON e.dst = seed AND e.src <> seed) e
+    JOIN centre c ON c.seed = e.seed
     LEFT JOIN shown a ON a.seed = c.seed AND a.node = e.dst AND a.direction = 'downstream'
     LEFT JOIN shown b ON b.seed = c.seed AND b.node = e.src AND b.direction = 'upstream'""",
 )
@@ -205,8 +206,9 @@ def _(spark, d):
 CYCLE_CTE = """walk(start, last, cycle, used, len) AS (
     SELECT src, dst, [src, dst], [src || '>' || dst], 1 FROM dep
     UNION ALL SELECT start, e.dst, list_append(cycle, e.dst), list_append(used, e.src || '>' || e.dst), len + 1
-    FROM walk w JOIN dep e ON e.src = w.last WHERE len < 4 AND NOT list_contains(used, e.src || '>' || e.dst)),
-  closed AS (SELECT DISTINCT array_to_string(cycle, ',') AS cycle, len AS cycle_length FROM walk WHERE start = last AND len >= 2)"""
+    FROM walk w JOIN dep e ON e.src = w.last WHERE len < 3 AND NOT list_contains(used, e.src || '>' || e.dst)),
+  closed AS (SELECT DISTINCT array_to_string(list_append(cycle, e.dst), ',') AS cycle, len + 1 AS cycle_length
+    FROM walk w JOIN dep e ON e.src = w.last AND e.dst = w.start WHERE NOT list_contains(used, e.src || '>' || e.dst))"""
 
 
 REGION_DEP = """dep AS MATERIALIZED (SELECT DISTINCT a.r_name AS src, b.r_name AS dst FROM lineitem

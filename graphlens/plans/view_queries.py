@@ -329,7 +329,7 @@ def _(spark, d):
     "jn39_transaction_edges",
     """WITH inc AS (SELECT DISTINCT l_orderkey AS o, 's:' || l_suppkey AS m FROM lineitem UNION SELECT DISTINCT o_orderkey, 'c:' || o_custkey FROM orders),
     calls AS (SELECT DISTINCT 'c:' || o_custkey AS src, 's:' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-    SELECT 'o:' || a.o AS transaction, src, dst, 'CALLS' AS kind FROM calls JOIN inc a ON a.m = src JOIN inc b ON b.m = dst AND b.o = a.o""",
+    SELECT 'o:' || a.o AS transaction, src, dst, 'CALLS' AS kind FROM inc a JOIN inc b ON b.o = a.o JOIN calls ON src = a.m AND dst = b.m""",
 )
 def _(spark, d):
     g = shop_graph(spark, d)

@@ -182,11 +182,9 @@ def maven_dependencies(files: DataFrame) -> DataFrame:
 
 def gradle_dependencies(files: DataFrame) -> DataFrame:
     """Declared coordinates of gradle files, by pattern; scope from the configuration name."""
-    # Fixed value: the declaration pattern.
-    pattern = (
-        r"""(implementation|api|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly|annotationProcessor)\s*"""
-        r"""[\('"]+([^:'"]+):([^:'"]+)(?::([^'")\s]+))?['")\s]"""
-    )
+    # A configuration name, an opening parenthesis or none, and one quoted "group:name[:version][:classifier][@type]".
+    configurations = "implementation|api|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly|annotationProcessor"
+    pattern = rf"""\b({configurations})\b\s*\(?\s*(["'])([^:"'\s]+):([^:"'\s]+)(?::([^:@"'\s]*)[^"'\n]*)?\2"""
     found = _named(files, r"^build\.gradle(\.kts)?$").select(
         "app_name", "path", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("block")
     )
@@ -195,7 +193,7 @@ def gradle_dependencies(files: DataFrame) -> DataFrame:
         return F.trim(F.regexp_extract("block", pattern, i))
 
     scope = F.when(part(1).isin("testImplementation", "testRuntimeOnly"), "test").when(part(1) == "runtimeOnly", "runtime").otherwise("compile")
-    return _rows(found, "java", F.concat_ws(":", part(2), part(3)), part(4), scope)
+    return _rows(found, "java", F.concat_ws(":", part(3), part(4)), part(5), scope)
 
 
 def npm_dependencies(files: DataFrame) -> DataFrame:
@@ -209,8 +207,8 @@ def npm_dependencies(files: DataFrame) -> DataFrame:
     return out
 
 
-# Fixed value: name, extras and version remainder of a requirement.
-REQUIREMENT = r"^([a-zA-Z0-9][-a-zA-Z0-9_.]*)(?:\[[-a-zA-Z0-9_.,\s]*\])?(.*)$"
+#: A requirement: a name that begins and ends with a letter or digit, extras in brackets, and the rest.
+REQUIREMENT = r"^([A-Za-z0-9](?:[\w.-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\])?(.*)$"
 
 
 def _requirements(rows: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def run_progress(events: DataFrame) -> DataFrame:
 
 
 def suppress_stream(events: DataFrame) -> DataFrame:
-    """Accepted events of ``(subject, trigger, sent_at)``: at most one per key in 24 hours, in arrival order.
+    """Accepted events of ``(subject, trigger, sent_at)``: at most one per key in 24 hours, in time order within a micro-batch.
 
     State is one timestamp per key and expires after a day of event time.
     """
@@ -78,14 +78,14 @@ def suppress_stream(events: DataFrame) -> DataFrame:
             state.remove()
             return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        for chunk in chunks:
-            kept = []
-            for at in chunk["sent_at"]:
-                if last is None or at - last > gap:
-                    kept.append(at)
-                    last = at
-            if kept:
-                yield pd.DataFrame({"subject": key[0], "trigger": key[1], "sent_at": kept})
+        # The rows of a key come in file order; the rule is about time order.
+        times, kept = pd.concat([chunk["sent_at"] for chunk in chunks]).sort_values(), []
+        for at in times:
+            if last is None or at - last > gap:
+                kept.append(at)
+                last = at
+        if kept:
+            yield pd.DataFrame({"subject": key[0], "trigger": key[1], "sent_at": kept})
         state.update((int(last.value // 1000),))
         expiry = int(last.value // 1_000_000) + hours * 3_600_000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))

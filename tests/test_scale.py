@@ -19,12 +19,12 @@ def test_first_and_last(spark):
     assert sorted(map(tuple, last_by(df, ["k"], ["o"], ["v"]).collect())) == [("a", "x"), ("b", "z")]
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_numbered_both_ways(spark, limit):
+def test_numbered_hot_and_null_groups(spark):
     random.seed(1)
-    rows = [("hot", i) for i in random.sample(range(5000), 3000)] + [(f"k{i % 50}", i) for i in range(200)]
+    rows = [("hot", i) for i in random.sample(range(5000), 3000)] + [(f"k{i % 50}", i) for i in range(200)] + [(None, i) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(7)
-    out = numbered(df, ["k"], ["v"], "n", group_limit=limit).collect()
+    out = numbered(df, ["k"], ["v"], "n").collect()
+    assert len(out) == len(rows)
     for key in {r[0] for r in rows}:
         values = sorted(v for k, v in rows if k == key)
         assert {r["v"]: r["n"] for r in out if r["k"] == key} == {v: i for i, v in enumerate(values)}
