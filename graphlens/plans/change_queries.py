@@ -291,4 +291,10 @@ def _(spark, d):
     return change.merged_batches(_batches(spark, d))
 
 
+@query("win8_merged_counts", f"WITH {BATCH} SELECT pr_id, count(*) AS batches, least(count(*), 5) AS merged FROM b GROUP BY 1")
+def _(spark, d):
+    rows = change.merged_batches(_batches(spark, d))
+    return rows.groupBy("pr_id").agg(F.count("*").alias("batches"), F.count_distinct("merged").alias("merged"))
+
+
 __all__ = ["materialize"]

@@ -31,6 +31,15 @@ def _(spark, d):
     return community.louvain(Graph(shop_nodes(spark, d), nation_dependencies(spark, d)))
 
 
+@query("g10_community_cover", "SELECT 'n:' || n_nationkey AS fqn, 1 AS memberships, TRUE AS known FROM nation")
+def _(spark, d):
+    """Every class is in one community, and communities are named by a class."""
+    g = Graph(shop_nodes(spark, d), nation_dependencies(spark, d))
+    members = community.louvain(g)
+    names = g.of_kind("CLASS").select(F.col("fqn").alias("community"), F.lit(True).alias("known"))
+    return members.join(names, "community", "left").groupBy("fqn").agg(F.count("*").alias("memberships"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
+
+
 @query("g10_community_summary")
 def _(spark, d):
     g = Graph(shop_nodes(spark, d), nation_dependencies(spark, d))

@@ -72,7 +72,7 @@ def _(spark, d):
     return pull_requests.analyses(rows).select("repository_id", "pr_number", "commit_sha", "title", "status")
 
 
-@query("str2_without_redeliveries")
+@query("str2_without_redeliveries", f"WITH {EVENTS} SELECT DISTINCT repository_id, pr_number, commit_sha, action FROM seen")
 def _(spark, d):
     events = pull_requests.monitored(pull_requests.parse_events(deliveries(stream(spark, d, "orders"))), watched(spark, d))
     rows = rollups.run_available(pull_requests.without_redeliveries(events), _fresh(spark))
@@ -101,25 +101,29 @@ def _(spark, d):
     return rollups.latest(rows, ["day", "source"]).withColumn("cost", F.col("cost").cast("double"))
 
 
-@query(
-    "str5_notification_suppression",
-    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT user_id AS subject, event_type AS trigger, ts FROM events),
+SENT = """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT user_id AS subject, event_type AS trigger, ts FROM events),
     s(subject, trigger, sent_at) AS (SELECT subject, trigger, min(ts) FROM e GROUP BY 1, 2
       UNION ALL SELECT x.subject, x.trigger, x.nxt FROM (SELECT s.subject, s.trigger, min(e.ts) AS nxt FROM s JOIN e ON e.subject = s.subject AND e.trigger = s.trigger
         AND e.ts > s.sent_at + INTERVAL 24 HOUR GROUP BY s.subject, s.trigger, s.sent_at) x)
-    SELECT subject, trigger, count(*) AS sent, min(epoch_us(sent_at)) AS first_us, max(epoch_us(sent_at)) AS last_us FROM s GROUP BY 1, 2""",
-)
-def _(spark, d):
-    events = table(spark, d, "events").selectExpr("user_id AS subject", "event_type AS trigger", "CAST(ts AS TIMESTAMP) AS sent_at")
-    return rollups.suppress_batch(events).groupBy("subject", "trigger").agg(
+    SELECT subject, trigger, count(*) AS sent, min(epoch_us(sent_at)) AS first_us, max(epoch_us(sent_at)) AS last_us FROM s GROUP BY 1, 2"""
+
+
+def _sent(accepted):
+    return accepted.groupBy("subject", "trigger").agg(
         F.count("*").alias("sent"), F.min(F.unix_micros("sent_at")).alias("first_us"), F.max(F.unix_micros("sent_at")).alias("last_us")
     )
 
 
-@query("str5_suppression_stream")
+@query("str5_notification_suppression", SENT)
+def _(spark, d):
+    events = table(spark, d, "events").selectExpr("user_id AS subject", "event_type AS trigger", "CAST(ts AS TIMESTAMP) AS sent_at")
+    return _sent(rollups.suppress_batch(events))
+
+
+@query("str5_suppression_stream", SENT)
 def _(spark, d):
     events = stream(spark, d, "events").selectExpr("user_id AS subject", "event_type AS trigger", "CAST(ts AS TIMESTAMP) AS sent_at")
-    return rollups.run_available(rollups.suppress_stream(events), _fresh(spark)).drop("batch")
+    return _sent(rollups.run_available(rollups.suppress_stream(events), _fresh(spark)))
 
 
 @query(
