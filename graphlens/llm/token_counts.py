@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.scale import shared_dir
-from graphlens.llm.common import documents
+from graphlens.llm.common import documents, materialize
 from graphlens.llm.encoding import ID_BYTES, encoder, portions
 
 CACHE = "digest binary, n_tokens long"
@@ -95,7 +95,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
     else:
         packed = _packed(texts)
     _counted(packed, tokenizer).write.mode("append").parquet(folder)
-    counts = spark.read.schema(CACHE).parquet(folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = spark.read.schema(CACHE).parquet(folder)
+    if cache:  # calls that ran at the same time may both have added a digest
+        counts = materialize(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    # A join straight on its two shuffles: Spark splits the partition of a digest that many rows share.
     sizes = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
