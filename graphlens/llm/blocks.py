@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import documents, map_batches, mixed
+from graphlens.llm.common import documents, map_batches, mixed, segments
 
 #: Text bytes of a block and windows of a bucket, on average.
 BLOCK_BYTES = 4_000_000
@@ -95,7 +95,7 @@ class Block:
         self.packed = [packed[i] for i in order]
         parts = []
         for p in self.packed:
-            parts.append(word_hashes(split(loose.decompress(p))))
+            parts.append(np.concatenate([word_hashes(split(s)) for s in segments(loose.decompress(p))]))
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.owner = np.repeat(np.arange(len(parts)), self.lengths)

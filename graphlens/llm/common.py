@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.scale import materialize
 
-__all__ = ["PRIME64", "documents", "map_batches", "materialize", "mixed", "slices", "text_bytes"]
+__all__ = ["PRIME64", "documents", "map_batches", "materialize", "mixed", "segments", "slices", "text_bytes"]
 
 #: Odd multiplier of the 64-bit mixing step.
 PRIME64 = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +50,22 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: Bytes of a long text that are split into words at a time.
+SEGMENT = 1_000_000
+
+
+def segments(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about ``SEGMENT`` bytes, cut at ASCII spaces, so that no word is cut; all of it if it has none."""
+    begin = 0
+    while len(text) - begin > SEGMENT:
+        end = text.find(b" ", begin + SEGMENT)
+        if end < 0:
+            break
+        yield text[begin:end]
+        begin = end
+    yield text[begin:] if begin else text
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import map_batches, materialize, text_bytes
+from graphlens.llm.common import map_batches, materialize, segments, text_bytes
 
 WINDOW = 10
 #: Words of a block; patterns of one word have blocks of one.
@@ -57,6 +57,19 @@ class WuManber:
                 bucket[pattern[m - 1] if b == 1 else pattern[m - b :]].append((list(pattern), number))
             self.tables.append((m, b, m - b + 1, shift, dict(bucket)))
 
+    def search(self, text: bytes) -> tuple[int, list[tuple[int, int]], set]:
+        """Words of a whole text, their intervals inside occurrences, and the items that occur; long texts in overlapping parts."""
+        spans, items, before, kept = [], set(), 0, []
+        longest = max((m for m, *_ in self.tables), default=1)
+        for segment in segments(text):
+            part = kept + words(segment)
+            found, more = self.find(part)
+            spans += [(a + before, b + before) for a, b in found]
+            items |= more
+            kept = part[max(0, len(part) - longest + 1) :]
+            before += len(part) - len(kept)
+        return before + len(kept), spans, items
+
     def find(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Intervals of words inside occurrences, and the numbers of the items that occur."""
         spans, found = [], set()
@@ -133,9 +146,8 @@ def _scan(rows: DataFrame, keep, schema: str, part: DataFrame, first: bool, last
             lengths, spans, items = [], [], []
             earlier = ([[]] * batch.num_rows,) * 2 if first else (batch.column("_spans").to_pylist(), batch.column("_items").to_pylist())
             for text, flat, before in zip(batch.column("_text"), *earlier):
-                text = words(text.as_py().encode())
-                new_spans, new_items = search.find(text)
-                lengths.append(len(text))
+                n, new_spans, new_items = search.search(text.as_py().encode())
+                lengths.append(n)
                 spans.append(list(zip(flat[::2], flat[1::2])) + new_spans)
                 items.append(new_items.union(before))
             base = [batch.column(c) for c in keep]

@@ -32,6 +32,23 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Characters of a long text that are encoded at a time.
+SEGMENT = 1_000_000
+_BOUNDARY = re.compile(r" (?=\S)")
+
+
+def _segments(text: str):
+    """Parts of a text that are cut before a space that a non-space follows, where a new token begins anyway."""
+    begin = 0
+    while len(text) - begin > SEGMENT:
+        at = _BOUNDARY.search(text, begin + SEGMENT)
+        if not at:
+            break
+        yield text[begin : at.start()]
+        begin = at.start()
+    yield text[begin:]
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers in a bytes object."""
 
@@ -81,7 +98,12 @@ class Encoder:
         return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One bytes object per text; a missing text counts as empty."""
+        """One bytes object per text; a missing text counts as empty. A long text is encoded in parts."""
+        if any(len(t or "") > SEGMENT for t in texts):
+            return [b"".join(self._encode([s])[0] for s in _segments(t or "")) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = []
         for text in texts:
             text = text or ""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import documents, map_batches, materialize, mixed, text_bytes
+from graphlens.llm.common import documents, map_batches, materialize, mixed, segments, text_bytes
 
 SHINGLE = 4
 MOST = 4
@@ -48,27 +48,31 @@ def references(n: int = PIVOTS) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Majority bits over all shingles of a UTF-8 text, 0 without words."""
-    words = text.translate(_FOLD).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
+    counts, total, words = np.zeros(BITS, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
+    for segment in segments(text.translate(_FOLD)):
+        words = words[max(0, len(words) - shingle + 1) :] + segment.split()
+        if len(words) < shingle:
+            continue
+        joined = b" ".join(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1) - 1
         begins = (ends - lengths)[: len(words) - shingle + 1].tolist()
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1 :].tolist())), np.uint64, len(begins))
-    return majority(hashes)
+        counts += set_bits(hashes)
+        total += len(hashes)
+    if not total and words:  # fewer words than a shingle has
+        counts, total = set_bits(np.array([digest(b" ".join(words), SEED)], np.uint64)), 1
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def majority(hashes: np.ndarray) -> int:
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     counts = np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 65_536):
         part = hashes[start : start + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return counts
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

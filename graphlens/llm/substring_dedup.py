@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphlens.llm.blocks import Block, ask, blocks, from_planes, planes, two_hashes
+from graphlens.llm.common import segments
 
 WINDOW = 13
 #: Bits of a hash inside its bucket.
@@ -116,9 +117,14 @@ def repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = False) ->
         gone = np.cumsum(edge[:-1]) > 0
         rows = []
         for doc_id, text, begin, n in zip(block.doc_ids, block.texts(), block.begins.tolist(), block.lengths.tolist()):
-            mask, words = gone[begin : begin + n], text.split()
-            removed = int(mask.sum())
-            kept = b" ".join([w for w, g in zip(words, mask.tolist()) if not g] if removed else words)
+            removed, parts = int(gone[begin : begin + n].sum()), []
+            for segment in segments(text):
+                words = segment.split()
+                mask = gone[begin : begin + len(words)]
+                begin += len(words)
+                part = b" ".join([w for w, g in zip(words, mask.tolist()) if not g] if removed else words)
+                parts += [part] if part else []
+            kept = b" ".join(parts)
             rows.append((doc_id, n, removed, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text]

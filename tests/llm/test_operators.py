@@ -81,6 +81,7 @@ def test_substring_dedup(docs, none, monkeypatch):
     same(repeated(docs), expected, *columns)
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 3_000)
     monkeypatch.setattr(blocks, "BUCKET_WINDOWS", 500)
+    monkeypatch.setattr(blocks, "segments", lambda t: iter([t[:0], *[x + b" " for x in t.split(b" ")]]))
     same(repeated(docs), expected, *columns)
     kept = {r["doc_id"]: r["kept"] for r in repeated(docs, with_text=True).collect()}
     assert kept[90] == " ".join(DOCS[45][1].split()) and kept[201] == "end" or kept[201].endswith("end")
@@ -234,6 +235,26 @@ def test_bin_completion_finds_the_optimum_of_small_cases(seed):
     assert sum(r.times for r in runs) == fewest >= packing.lower_bound(Counter(sizes), capacity)
 
 
+def test_long_texts_are_worked_on_in_parts(monkeypatch):
+    import graphlens.llm.common as common
+    import graphlens.llm.encoding as encoding
+
+    texts = [t for _, t in DOCS if t]
+    whole = [near_duplicates.fingerprint(t.encode()) for t in texts]
+    assert whole == [brute.simhash(t) for t in texts]
+    search = decontamination.WuManber({tuple(w for w in decontamination.words(texts[-2].encode())[k : k + 10]): {str(k)} for k in range(25)})
+    before = [search.search(t.encode()) for t in texts]
+    own = encoder(default_tokenizer())
+    ids = own.encode(texts)
+    monkeypatch.setattr(common, "SEGMENT", 20)
+    monkeypatch.setattr(encoding, "SEGMENT", 25)
+    assert [near_duplicates.fingerprint(t.encode()) for t in texts] == whole
+    after = [search.search(t.encode()) for t in texts]
+    assert [(n, decontamination.covered(s), i) for n, s, i in after] == [(n, decontamination.covered(s), i) for n, s, i in before]
+    assert any(i for _, _, i in after) and own.encode(texts) == ids
+    assert b"".join(common.segments(texts[-2].encode())) == texts[-2].encode()
+
+
 def test_dominated_fillings():
     assert packing.dominated((3,), 5, {3: 1, 5: 1}) and not packing.dominated((5,), 5, {3: 1, 5: 1})
     assert packing.dominated((2, 3), 5, {2: 1, 3: 1, 5: 1}) and not packing.dominated((2, 3), 5, {2: 1, 3: 1})
