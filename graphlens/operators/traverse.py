@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,24 +32,34 @@ LAYER_ORDER = ["api", "service", "repository", "database", "other"]
 
 
 def steps(edges: DataFrame, kinds: Sequence[str] | None, direction: str = "out") -> DataFrame:
-    """Distinct (a, b) hops of the wanted kinds; ``in`` reverses, ``both`` ignores direction."""
+    """(a, b) hops of the wanted kinds; ``in`` reverses, ``both`` ignores direction.
+
+    Parallel edges give equal hops: what a walk finds is made distinct anyway,
+    which spares a shuffle of the whole edge table.
+    """
     if kinds is not None:
         edges = edges.filter(F.col("kind").isin(*kinds))
     out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    hops = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    return hops.distinct()
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+
 
+def stored_edges(graph: Graph, *kinds: str) -> Graph:
+    """The graph with its edges of ``kinds`` (all of them without any) written once, for several walks over them."""
+    edges = graph.edges_of(*kinds) if kinds else graph.edges
+    return Graph(graph.nodes, materialize(edges.select("src", "dst", "kind"), "edges"))
 
-def reach(hops: DataFrame, seeds: DataFrame, max_depth: int, include_start: bool = False) -> DataFrame:
+
+def reach(hops: DataFrame, seeds: DataFrame, max_depth: int, include_start: bool = False, store: bool = True) -> DataFrame:
     """(seed, node, depth) with the shortest depth; breadth-first from every seed at once.
 
-    ``hops(a, b)`` is written once, and each hop appends one table of newly
+    ``hops(a, b)`` is written once, in place (``store=False``: it is a stored table already), and each hop appends one table of newly
     found pairs. Nothing already found is written again, and the size of every
     frontier is known to the optimizer, so a small frontier is broadcast while a
     large one is shuffled with skew handling.
     """
-    hops = materialize(hops, "hops")
+    if store:
+        hops = materialize(hops, "hops")
     start = seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0))
     layers = [materialize(start, "reach")]
     for depth in range(1, max_depth + 1):
@@ -100,21 +109,23 @@ def describe(found: DataFrame, graph: Graph, *more: str) -> DataFrame:
 
 
 def impact_downstream(
-    graph: Graph, fqns: DataFrame, max_depth: int = 5, kinds: Sequence[str] | None = DOWNSTREAM
+    graph: Graph, fqns: DataFrame, max_depth: int = 5, kinds: Sequence[str] | None = DOWNSTREAM, store: bool = True,
 ) -> DataFrame:
     """What each start node reaches: (seed, node, depth, hops)."""
-    found = reach(steps(graph.edges, kinds), self_seeds(fqns), max_depth)
+    found = reach(steps(graph.edges, kinds), self_seeds(fqns), max_depth, store=store)
     return found.withColumn("hops", F.col("depth"))
 
 
 def impact_upstream(
     graph: Graph, fqns: DataFrame, max_depth: int = 5, kinds: Sequence[str] | None = UPSTREAM,
-    exclude_members: bool = True,
+    exclude_members: bool = True, store: bool = True,
 ) -> DataFrame:
     """Dependents of a node or of anything it contains; ``depth`` is 1, ``hops`` is the distance."""
-    inside = reach(steps(graph.edges, ["CONTAINS"]), self_seeds(fqns), 10, include_start=True)
+    if store:
+        graph = stored_edges(graph, *([] if kinds is None else {"CONTAINS", *kinds}))
+    inside = reach(steps(graph.edges, ["CONTAINS"]), self_seeds(fqns), 10, include_start=True, store=False)
     hops = steps(graph.edges, kinds, "in")
-    found = reach(hops, inside.select("seed", "node"), max_depth, include_start=True)
+    found = reach(hops, inside.select("seed", "node"), max_depth, include_start=True, store=False)
     # A contained node starts at distance 0, yet it is a dependent too when a
     # path leads from it back to the contained set.
     back = (
@@ -136,10 +147,12 @@ def impact(
 ) -> DataFrame:
     """Impact in either or both directions; both keeps the smaller depth."""
     parts = []
+    if direction == "both":
+        graph = stored_edges(graph, *([] if down_kinds is None or up_kinds is None else {"CONTAINS", *down_kinds, *up_kinds}))
     if direction in ("downstream", "both"):
-        parts.append(impact_downstream(graph, fqns, max_depth, down_kinds))
+        parts.append(impact_downstream(graph, fqns, max_depth, down_kinds, store=direction != "both"))
     if direction in ("upstream", "both"):
-        parts.append(impact_upstream(graph, fqns, max_depth, up_kinds, exclude_members))
+        parts.append(impact_upstream(graph, fqns, max_depth, up_kinds, exclude_members, store=direction != "both"))
     return _union(parts).groupBy("seed", "node").agg(F.min("depth").alias("depth"), F.min("hops").alias("hops"))
 
 
@@ -189,9 +202,10 @@ def trace_route(graph: Graph, fqns: DataFrame, max_depth: int = 5) -> tuple[Data
     edges: seed, source, target, type, sequence.
     """
     kinds = graph.nodes.filter(F.col("kind").isin(*TRACE_KINDS)).select(F.col("fqn").alias("node"), "name", "kind")
+    graph = stored_edges(graph, *TRACE)
     ways = []
     for direction, way in (("downstream", "out"), ("upstream", "in")):
-        found = reach(steps(graph.edges, TRACE, way), self_seeds(fqns), max_depth)
+        found = reach(steps(graph.edges, TRACE, way), self_seeds(fqns), max_depth, store=False)
         ways.append(found.filter("node <> seed").withColumn("direction", F.lit(direction)))
     found = materialize(_union(ways).join(kinds, "node"), "trace")
     centre = fqns.select(F.col("fqn").alias("seed"), F.col("fqn").alias("node"))
