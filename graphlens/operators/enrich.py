@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.functions.scale import first_by, last_by
+from graphlens.functions.scale import first_by, last_by, materialize
 from graphlens.graph import Graph, edge_rows, node_rows
 from graphlens.schema import HIGH, literal_map
 
@@ -110,7 +110,7 @@ def fan_metrics(graph: Graph) -> DataFrame:
 
     Calls shrink to one row per method before ownership is joined.
     """
-    owners = method_owners(graph)
+    owners = materialize(method_owners(graph), "owners")  # both ends of a call look it up
     calls = graph.edges_of("CALLS")
 
     def per_class(end: str, out: str) -> DataFrame:
@@ -138,7 +138,7 @@ def fan_metrics(graph: Graph) -> DataFrame:
 
 def class_call_weights(graph: Graph, owners: DataFrame | None = None) -> DataFrame:
     """(app_name, src, dst, weight): call rows between the classes of two methods, self included."""
-    owners = (owners if owners is not None else method_owners(graph)).select("app_name", "method", "owner")
+    owners = (owners if owners is not None else materialize(method_owners(graph), "owners")).select("app_name", "method", "owner")
     calls = graph.edges_of("CALLS").groupBy("app_name", "src", "dst").agg(F.count("*").alias("n"))
     sources = owners.select("app_name", F.col("method").alias("src"), F.col("owner").alias("src_class"))
     targets = owners.select("app_name", F.col("method").alias("dst"), F.col("owner").alias("dst_class"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.functions.scale import first_by, last_by
+from graphlens.functions.scale import first_by, last_by, materialize
 from graphlens.functions.text import owner_name, short_name
 from graphlens.graph import Graph, edge_rows, latest_nodes, node_rows
 from graphlens.schema import EDGE_SCHEMA, HIGH, NODE_SCHEMA
@@ -13,7 +13,7 @@ from graphlens.schema import EDGE_SCHEMA, HIGH, NODE_SCHEMA
 
 def storable_edges(graph: Graph) -> DataFrame:
     """Edges whose both ends exist in the same project; the first of (src, dst, kind) wins."""
-    known = graph.nodes.select("app_name", "fqn").distinct()
+    known = materialize(graph.nodes.select("app_name", "fqn").distinct(), "known")
     edges = graph.edges
     for end in ("src", "dst"):
         edges = edges.join(known.withColumnRenamed("fqn", end), ["app_name", end], "left_semi")
