@@ -348,6 +348,70 @@ def _(spark, d):
     return endpoints.server_controllers(server_graph(spark, d)).edges.filter("kind = 'DEPENDS_ON'").select("src", "dst")
 
 
+@query(
+    "jn33_minimal_endpoints",
+    """SELECT 'P.f' || c_custkey AS src, 'endpoint:' || CASE c_mktsegment WHEN 'BUILDING' THEN 'GET' ELSE 'POST' END || ':' ||
+      CASE WHEN c_acctbal > 0 THEN '/n' || c_nationkey ELSE '' END || CASE c_custkey % 2 WHEN 0 THEN '/:id' ELSE '/x/' || c_custkey END AS dst FROM customer""",
+)
+def _(spark, d):
+    groups = table(spark, d, "nation").selectExpr("concat('g', n_nationkey) AS group_name", "concat('/n', n_nationkey) AS prefix")
+    calls = table(spark, d, "customer").selectExpr(
+        "'P' AS owner", "concat('P.f', c_custkey) AS handler", "CASE c_mktsegment WHEN 'BUILDING' THEN 'GET' ELSE 'POST' END AS verb",
+        "CASE c_custkey % 2 WHEN 0 THEN '{id:int}' ELSE concat('/x/', c_custkey) END AS path", "CASE WHEN c_acctbal > 0 THEN concat('g', c_nationkey) END AS group_name",
+    )
+    return endpoints.mapped_handlers(groups, calls).edges.filter("kind = 'HANDLES'").select("src", "dst")
+
+
+@query(
+    "jn33_remote_endpoints",
+    """SELECT 'rpc.N' || c_nationkey || '.M' || c_custkey AS src, 'endpoint:GRPC:/N' || c_nationkey || '/M' || c_custkey AS dst
+    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 AND n_regionkey < 4""",
+)
+def _(spark, d):
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    classes = nation.selectExpr("concat('rpc.N', n_nationkey) AS fqn", "concat('N', n_nationkey, 'Service') AS name", "'CLASS' AS kind", "concat('N', n_nationkey, '.N', n_nationkey, 'Base') AS base_class")
+    methods = customer.selectExpr(
+        "concat('rpc.N', c_nationkey, '.M', c_custkey) AS fqn", "concat('M', c_custkey) AS name", "'FUNCTION' AS kind", "map('is_override', CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END) AS props"
+    )
+    contains = customer.selectExpr("concat('rpc.N', c_nationkey) AS src", "concat('rpc.N', c_nationkey, '.M', c_custkey) AS dst", "'CONTAINS' AS kind")
+    registered = nation.filter("n_regionkey < 4").selectExpr("concat('N', n_nationkey, 'Service') AS name")
+    return endpoints.remote_services(build([classes, methods], [contains]), registered).edges.filter("kind = 'HANDLES'").select("src", "dst")
+
+
+def hub_edges(spark, d):
+    """Hubs of every second nation are mapped; their clients' functions are events."""
+    nation, customer, supplier = table(spark, d, "nation"), table(spark, d, "customer"), table(spark, d, "supplier")
+    hubs = nation.selectExpr("concat('hub.N', n_nationkey) AS fqn", "concat('N', n_nationkey, 'Hub') AS name", "'CLASS' AS kind", "CASE WHEN n_regionkey = 0 THEN 'Hub' ELSE concat('Hub<C', n_nationkey, '>') END AS base_class")
+    methods = customer.selectExpr(
+        "concat('hub.N', c_nationkey, '.M', c_custkey) AS fqn", "CASE WHEN c_custkey % 50 = 0 THEN 'OnConnectedAsync' ELSE concat('M', c_custkey) END AS name", "'FUNCTION' AS kind"
+    )
+    clients = nation.selectExpr("concat('hub.C', n_nationkey) AS fqn", "concat('C', n_nationkey) AS name", "'INTERFACE' AS kind")
+    told = supplier.selectExpr("concat('hub.C', s_nationkey, '.E', s_suppkey) AS fqn", "concat('E', s_suppkey) AS name", "'FUNCTION' AS kind")
+    contains = [
+        customer.selectExpr("concat('hub.N', c_nationkey) AS src", "concat('hub.N', c_nationkey, '.M', c_custkey) AS dst", "'CONTAINS' AS kind"),
+        supplier.selectExpr("concat('hub.C', s_nationkey) AS src", "concat('hub.C', s_nationkey, '.E', s_suppkey) AS dst", "'CONTAINS' AS kind"),
+    ]
+    mapped = nation.filter("n_nationkey % 2 = 0").selectExpr("concat('N', n_nationkey, 'Hub') AS name", "concat('/hub/', n_nationkey) AS url")
+    return endpoints.socket_hubs(build([hubs, methods, clients, told], contains), mapped).edges
+
+
+@query(
+    "jn33_hub_endpoints",
+    "SELECT 'hub.N' || c_nationkey || '.M' || c_custkey AS src, 'endpoint:WS:/hub/' || c_nationkey AS dst FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey % 50 <> 0",
+)
+def _(spark, d):
+    return hub_edges(spark, d).filter("kind = 'HANDLES'").select("src", "dst")
+
+
+@query(
+    "jn33_hub_events",
+    """SELECT 'hub.N' || n_nationkey AS src, 'endpoint:WS:/hub/' || n_nationkey AS dst, 'E' || s_suppkey AS event
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 AND n_regionkey <> 0""",
+)
+def _(spark, d):
+    return hub_edges(spark, d).filter("kind = 'PRODUCES'").selectExpr("src", "dst", "props['event'] AS event")
+
+
 def python_web(spark, d):
     """Decorated functions, routers, blueprints and resources; files register them."""
     customer, nation = table(spark, d, "customer"), table(spark, d, "nation")
