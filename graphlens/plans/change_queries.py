@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphlens.functions import text
-from graphlens.functions.scale import materialize
 from graphlens.graph import Graph
 from graphlens.operators import change
 from graphlens.plans.derived import SHOP, shop_graph, shop_nodes
@@ -295,6 +294,3 @@ def _(spark, d):
 def _(spark, d):
     rows = change.merged_batches(_batches(spark, d))
     return rows.groupBy("pr_id").agg(F.count("*").alias("batches"), F.count_distinct("merged").alias("merged"))
-
-
-__all__ = ["materialize"]

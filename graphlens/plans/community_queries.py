@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlens.graph import Graph
 from graphlens.operators import community
-from graphlens.plans.derived import NATION_DEP, SHOP, nation_dependencies, shop_graph, shop_nodes
+from graphlens.plans.derived import SHOP, nation_dependencies, shop_graph, shop_nodes
 from graphlens.plans.registry import query
 
 _STEPS = ",\n".join(
@@ -44,6 +44,3 @@ def _(spark, d):
 def _(spark, d):
     g = Graph(shop_nodes(spark, d), nation_dependencies(spark, d))
     return community.community_summary(g, community.louvain(g))
-
-
-__all__ = ["NATION_DEP"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlens.graph import Graph, edge_rows, node_rows
 from graphlens.operators import enrich
-from graphlens.plans.derived import APP, SHOP, SHOP_EDGES, key, shop_edges, shop_graph, shop_nodes
+from graphlens.plans.derived import APP, SHOP, key, shop_edges, shop_graph
 from graphlens.plans.registry import query, table
 
 OWNER = """owner AS (SELECT e.dst AS method, e.src AS owner FROM g_edges e JOIN g_nodes s ON s.fqn = e.src AND s.kind = 'CLASS'
@@ -214,6 +214,3 @@ def _(spark, d):
         F.col("o_orderkey").alias("seq"),
     )
     return enrich.apply_layers(Graph(nodes, shop_edges(spark, d)), assigned).select("fqn", "framework", "layer")
-
-
-__all__ = ["CLASS_CALLS", "MODULE_OF", "OWNER", "SHOP_EDGES", "shop_nodes"]

@@ -277,6 +277,3 @@ def _(spark, d):
         F.get_json_object("value", "$.weight").cast("bigint")
     )
     return back.groupBy("item").agg(F.count("*").alias("rows"), F.sum(total).alias("total"))
-
-
-__all__ = ["text"]

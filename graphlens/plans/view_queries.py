@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphlens.graph import Graph, edge_rows, node_rows
-from graphlens.operators import enrich, traverse, views
+from graphlens.operators import traverse, views
 from graphlens.plans.derived import APP, SHOP, SHOP_EDGES, SHOP_NODES, shop_edges, shop_graph, shop_nodes
 from graphlens.plans.enrich_queries import MODULE_OF, OWNER
 from graphlens.plans.registry import query, table
@@ -446,6 +446,3 @@ def _(spark, d):
         return edge_rows(line.filter(condition).selectExpr("concat('s:', l_suppkey) AS src", "concat('p:', l_partkey) AS dst", "'READS' AS kind"))
 
     return views.compare_graphs(Graph(before, edges("l_linestatus = 'O'")), Graph(after, edges("l_linestatus <> 'O'")))
-
-
-__all__ = ["enrich"]
