@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.scale import materialize
 
-__all__ = ["PRIME64", "documents", "map_batches", "materialize", "mixed", "segments", "slices", "text_bytes"]
-
-#: Odd multiplier of the 64-bit mixing step.
-PRIME64 = np.uint64(0x9E3779B97F4A7C15)
+__all__ = ["documents", "map_batches", "materialize", "mixed", "segments", "slices", "text_bytes"]
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
