@@ -91,6 +91,7 @@ class Block:
         loose = zstandard.ZstdDecompressor()
         packed = table.column("packed").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, packed[i]))
+        self.order = order
         self.doc_ids = [ids[i] for i in order]
         self.packed = [packed[i] for i in order]
         parts = []
@@ -112,9 +113,13 @@ class Block:
         return at[self.owner[at] == self.owner[at + window - 1]]
 
 
-def blocks(docs: DataFrame, per_word: int = 1) -> tuple[DataFrame, int]:
-    """(``block, doc_id, packed``, number of buckets) for ``per_word`` windows a word."""
-    rows = documents(docs)
+def blocks(docs: DataFrame, per_word: int = 1, keep: dict[str, str] | None = None) -> tuple[DataFrame, int]:
+    """(``block, doc_id, packed``, number of buckets) for ``per_word`` windows a word.
+
+    ``keep`` names more columns of ``docs`` that go along, by the names they get.
+    """
+    keep = keep or {}
+    rows = documents(docs, *[F.col(c).alias(name) for name, c in keep.items()])
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // BLOCK_BYTES))
     buckets = min(2**31 - 1, max(1, -(-size * per_word // (6 * BUCKET_WINDOWS))))
@@ -122,10 +127,12 @@ def blocks(docs: DataFrame, per_word: int = 1) -> tuple[DataFrame, int]:
     def pack(batch):
         squeeze = zstandard.ZstdCompressor(level=3)
         packed = [squeeze.compress(t.as_py().encode()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), pa.array(packed, pa.binary())], ["block", "doc_id", "packed"])
+        more = [batch.column(c) for c in keep]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), pa.array(packed, pa.binary()), *more], ["block", "doc_id", "packed", *keep])
 
     keyed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
-    return map_batches(keyed, pack, "block long, doc_id long, packed binary"), int(buckets)
+    types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return map_batches(keyed, pack, "block long, doc_id long, packed binary" + types), int(buckets)
 
 
 def ask(packed: DataFrame, send: Callable[[pa.Table], pa.Table], sent: str, answer: Callable[[pa.Table], pa.Table], finish: Callable[[pa.Table, pa.Table], pa.Table], result: str) -> DataFrame:

@@ -14,6 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphlens.llm.blocks import Block, ask, blocks, from_planes, planes, two_hashes
 from graphlens.llm.common import segments
@@ -53,8 +54,12 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(values, prepend=values[:1] - 1, append=values[-1:] + 1)) if len(values) else np.zeros(1, np.int64)
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` of every document, with ``kept`` (the text left) if asked for.
+def repeated(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every document.
+
+    With ``keep`` the result has these columns of ``docs`` besides, ``text``
+    among them or not, and ``kept``: the text left, or the whole text as it is
+    where nothing goes.
 
     Words are runs of anything but ASCII white space and stay unchanged; kept
     words are joined by one space. Missing and empty texts, and texts of fewer
@@ -63,7 +68,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = False) ->
     Rows of one ``doc_id`` never remove each other's words. An empty table
     gives no rows; extra columns are ignored.
     """
-    packed, buckets = blocks(docs)
+    carried = {f"_{k}": c for k, c in enumerate(keep or ()) if c != "text"}
+    packed, buckets = blocks(docs, keep=carried)
+    with_text = keep is not None
 
     def send(table):
         _, _, _, _, bucket, low, doc = _windows(table, window, buckets)
@@ -125,11 +132,19 @@ def repeated(docs: DataFrame, window: int = WINDOW, with_text: bool = False) ->
                 part = b" ".join([w for w, g in zip(words, mask.tolist()) if not g] if removed else words)
                 parts += [part] if part else []
             kept = b" ".join(parts)
-            rows.append((doc_id, n, removed, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+            rows.append((doc_id, n, removed, hashlib.sha256(kept).hexdigest(), *([kept if removed else text] if with_text else [])))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text]
         table = pa.table([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)][: len(names)], names=names)
-        return table.set_column(4, "kept", table.column("kept").cast(pa.string())) if with_text else table
-
-    result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return ask(packed, send, "bucket long, block long, hashes binary, holders binary, sizes binary", answer, finish, result)
+        if with_text:
+            table = table.set_column(4, "kept", table.column("kept").cast(pa.string()))
+            for name in carried:
+                table = table.append_column(name, left.column(name).take(pa.array(block.order, pa.int64())))
+        return table
+
+    types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name in carried)
+    result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text + types
+    out = ask(packed, send, "bucket long, block long, hashes binary, holders binary, sizes binary", answer, finish, result)
+    own = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    named = [F.col(name).alias(c) for name, c in carried.items() if c not in own]
+    return out.select(*own, "kept", *named) if with_text else out

@@ -83,8 +83,10 @@ def test_substring_dedup(docs, none, monkeypatch):
     monkeypatch.setattr(blocks, "BUCKET_WINDOWS", 500)
     monkeypatch.setattr(blocks, "segments", lambda t: iter([t[:0], *[x + b" " for x in t.split(b" ")]]))
     same(repeated(docs), expected, *columns)
-    kept = {r["doc_id"]: r["kept"] for r in repeated(docs, with_text=True).collect()}
-    assert kept[90] == " ".join(DOCS[45][1].split()) and kept[201] == "end" or kept[201].endswith("end")
+    kept = {r["doc_id"]: r["kept"] for r in repeated(docs, keep=("lang",)).collect()}
+    assert kept[90] == DOCS[45][1] and kept[201].endswith("end") and len(kept[201]) < 100
+    carried = repeated(docs, keep=("lang", "fp", "_text"))
+    assert carried.columns[-3:] == ["lang", "fp", "_text"] and carried.filter("lang = 'en' AND fp = 'fp' AND _text = 'other'").count() == len(DOCS)
     assert repeated(none).count() == 0
 
 
