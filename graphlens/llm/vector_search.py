@@ -1,6 +1,6 @@
 """Exact nearest neighbours by a block matrix join over int8 tiles.
 
-Queries and candidates are packed into tiles of a few thousand vectors. A
+Queries and candidates are taken in tiles of a few thousand vectors. A
 vector is kept as int8 steps of its own size, with the length of the error that
 rounding made. One matrix product of int8 tiles gives all distances of a tile
 pair, wrong by the two errors at most: the tenth-smallest upper bound that a
@@ -8,9 +8,10 @@ query has seen is its limit, and pairs whose lower bound exceeds it are gone.
 The survivors are recomputed from the original vectors in double precision and
 merged by heaps.
 
-Tiles meet on a grid: a candidate tile goes to every group of query tiles, a
-query tile to every group of candidate tiles, and a cell of the grid is one
-group of the join. Small query sets make one column, so candidates move once.
+Vectors meet on a grid of hashed groups: a candidate goes to every group of
+queries, a query to every group of candidates, and a cell of the grid is one
+group of the join, of bounded size. Small query sets make one column, so
+candidates move once.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 NEAREST = 10
 #: Vectors of a tile.
 TILE = 2_048
-#: Query vectors and candidate vectors of a grid cell.
-QUERY_GROUP, CANDIDATE_GROUP = 16_384, 65_536
-_TILES = "dim int, cell_q int, cell_c int, ids binary, vectors binary"
+#: Components of the query vectors and of the candidate vectors of a grid cell (8 and 32 MB).
+QUERY_CELL, CANDIDATE_CELL = 1_048_576, 4_194_304
 
 
 def clean_vectors(vectors: DataFrame) -> DataFrame:
@@ -38,33 +38,18 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
     return rows.filter(fine).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _tiles(rows: DataFrame, groups: str) -> DataFrame:
-    """Rows ``vec_id, v, dim, group`` as tiles; ``groups`` names the grid column that ``group`` becomes."""
-
-    def pack(batches):
-        for batch in batches:
-            dims, group = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "part"))
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype("<i8")
-            out = []
-            for d, g in {*zip(dims.tolist(), group.tolist())}:
-                at = np.flatnonzero((dims == d) & (group == g))
-                for begin in range(0, len(at), TILE):
-                    part = at[begin : begin + TILE]
-                    v = np.array(batch.column("v").take(pa.array(part)).to_pylist(), "<f8")
-                    out.append((d, g, ids[part].tobytes(), v.tobytes()))
-            columns = list(zip(*out)) or [[]] * 4
-            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["dim", groups, "ids", "vectors"])
-
-    return rows.mapInArrow(pack, f"dim int, {groups} int, ids binary, vectors binary")
+def tiles(table: pa.Table, dim: int) -> list["Tile"]:
+    """The vectors ``vec_id, v`` of a cell as tiles."""
+    ids = table.column("vec_id").to_numpy()
+    values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("v").chunks]).reshape(-1, dim)
+    return [Tile(ids[k : k + TILE], values[k : k + TILE]) for k in range(0, len(ids), TILE)]
 
 
 class Tile:
     """Vectors of a tile, their int8 form, step sizes, and exact error lengths."""
 
-    def __init__(self, ids: bytes, vectors: bytes, dim: int):
-        self.ids = np.frombuffer(ids, "<i8")
-        self.exact = np.frombuffer(vectors, "<f8").reshape(-1, dim)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.exact = ids, vectors
         top = np.abs(self.exact).max(1)
         self.step = np.where(top / 127 > 0, top / 127, 1.0)
         self.q = np.clip(np.rint(self.exact / self.step[:, None]), -127, 127).astype(np.int8)
@@ -72,7 +57,7 @@ class Tile:
         self.error = np.sqrt(np.square(self.exact - near).sum(1))
         self.square = np.square(near).sum(1)
         # Products of int8 are whole numbers below 2^24 up to this many dimensions, hence exact in single precision.
-        self.whole = self.q.astype(np.float32 if dim <= 1_024 else np.float64)
+        self.whole = self.q.astype(np.float32 if vectors.shape[1] <= 1_024 else np.float64)
 
 
 def distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -134,23 +119,29 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, eve
     """
     rows = clean_vectors(vectors).withColumn("dim", F.size("v"))
     asked = rows.filter(F.col("vec_id") % every == 0) if queries is None else clean_vectors(queries).withColumn("dim", F.size("v"))
-    sizes = vectors.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    n_queries = sizes[1] if queries is None else queries.count()
-    q_groups = max(1, -(-n_queries // QUERY_GROUP))
-    parallel = vectors.sparkSession.sparkContext.defaultParallelism
-    c_groups = max(1, -(-sizes[0] // CANDIDATE_GROUP), min(2 * parallel, -(-sizes[0] // TILE)))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("part")
-    packed_q = _tiles(asked.select("vec_id", "v", "dim", part(q_groups)), "cell_q").withColumn("cell_c", F.explode(F.sequence(F.lit(0), F.lit(c_groups - 1))))
-    packed_c = _tiles(rows.select("vec_id", "v", "dim", part(c_groups)), "cell_c").withColumn("cell_q", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))))
+    wide = F.coalesce(F.sum(F.size("embedding")), F.lit(0))
+    mine = F.coalesce(F.sum(F.when(F.col("vec_id") % every == 0, F.size("embedding"))), F.lit(0))
+    n_rows, n_all, n_own = vectors.agg(F.count("*"), wide, mine).first()
+    n_asked = n_own if queries is None else queries.agg(wide).first()[0]
+    parallel = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    q_groups = max(1, -(-n_asked // QUERY_CELL))
+    c_groups = max(1, -(-n_all // CANDIDATE_CELL), min(parallel, n_rows // TILE))
+
+    def celled(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     def search(left, right):
-        dim = left.column("dim")[0].as_py() if left.num_rows else 0
-        tiles = lambda t: [Tile(i, v, dim) for i, v in zip(t.column("ids").to_pylist(), t.column("vectors").to_pylist())]
-        found = list(search_cell(tiles(left), tiles(right), nearest)) if left.num_rows and right.num_rows else []
+        found = []
+        if left.num_rows and right.num_rows:
+            dim = left.column("dim")[0].as_py()
+            found = list(search_cell(tiles(left, dim), tiles(right, dim), nearest))
         columns = list(zip(*found)) or [[]] * 3
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     keys = ["dim", "cell_q", "cell_c"]
-    found = packed_q.groupBy(*keys).cogroup(packed_c.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    grid_q = celled(asked, "cell_q", q_groups, "cell_c", c_groups).groupBy(*keys)
+    grid_c = celled(rows, "cell_c", c_groups, "cell_q", q_groups).groupBy(*keys)
+    found = grid_q.cogroup(grid_c).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

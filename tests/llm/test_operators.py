@@ -271,7 +271,7 @@ def test_nearest_neighbours(spark, monkeypatch):
     expected = [(q, r, i, round(d, 9)) for q, r, i, d in brute.nearest(rows)]
     got = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in df.collect())
     assert got(vector_search.nearest_neighbours(table)) == sorted(expected)
-    for name, value in (("TILE", 16), ("QUERY_GROUP", 2), ("CANDIDATE_GROUP", 100)):
+    for name, value in (("TILE", 16), ("QUERY_CELL", 12), ("CANDIDATE_CELL", 600)):
         monkeypatch.setattr(vector_search, name, value)
     assert got(vector_search.nearest_neighbours(table)) == sorted(expected)
     assert vector_search.nearest_neighbours(table.limit(0)).count() == 0
