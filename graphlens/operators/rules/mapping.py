@@ -13,6 +13,7 @@ from graphlens.functions.text import (
 from graphlens.graph import Graph, edge_rows, node_rows
 from graphlens.operators.rules import RuleResult
 from graphlens.operators.rules.injection import children_of
+from graphlens.operators.rules.schema_history import sql_lineage
 from graphlens.schema import LOW, MEDIUM
 
 # Repository bases and the methods they bring along.
@@ -188,6 +189,21 @@ def context_entities(graph: Graph) -> DataFrame:
 # --- repositories --------------------------------------------------------------------------
 
 
+def stated_queries(graph: Graph, repos: DataFrame, tables: DataFrame) -> DataFrame:
+    """(src, dst, kind) of methods with a query text, in entity names or table names.
+
+    ``tables(entity_name, table)``. A name that no entity has is a table; it is
+    read only if the graph knows it, while a write states that it exists.
+    """
+    methods = children_of(graph, repos.select(F.col("repository").alias("owner")), "FUNCTION", "annotations", "annotation_args").filter(_marked("Query"))
+    stated = F.trim(F.coalesce(F.col("annotation_args")["Query"], F.lit("")))
+    text = F.when(stated.rlike(r"(?i)^FROM\b"), F.concat(F.lit("SELECT * "), stated)).otherwise(stated)
+    named = sql_lineage(methods.select("fqn", text.alias("text"))).withColumnRenamed("table", "entity_name").join(tables, "entity_name", "left")
+    known = graph.of_kind("TABLE").select(F.col("fqn").alias("dst"), F.lit(True).alias("known")).distinct()
+    found = named.select(F.col("fqn").alias("src"), F.coalesce("table", F.concat(F.lit("table:"), "entity_name")).alias("dst"), F.col("access").alias("kind"), F.col("table").isNotNull().alias("mapped"))
+    return found.join(known, "dst", "left").filter("mapped OR known OR kind = 'WRITES'").select("src", "dst", "kind").distinct()
+
+
 def repositories(graph: Graph, entity_names: DataFrame) -> RuleResult:
     """Repository interfaces: managed entity, inherited method stubs and table access.
 
@@ -213,7 +229,7 @@ def repositories(graph: Graph, entity_names: DataFrame) -> RuleResult:
         F.col("fqn").alias("src"), F.col("table").alias("dst"), F.when(access == "read", "READS").when(access == "write", "WRITES").alias("kind")
     ).filter("kind IS NOT NULL")
     nodes = node_rows(fresh.select("fqn", "name", F.lit("FUNCTION").alias("kind"), F.lit("java").alias("language")))
-    edges = managed.unionByName(contained).unionByName(touched).unionByName(derived)
+    edges = managed.unionByName(contained).unionByName(touched).unionByName(derived).unionByName(stated_queries(graph, repos, tables))
     warnings = repos.join(tables, "entity_name", "left_anti").select(F.concat(F.lit("no table for "), "entity_name").alias("message"))
     return RuleResult(nodes=nodes, edges=edge_rows(edges.withColumn("evidence", F.lit("spring-data"))), warnings=warnings)
 

@@ -130,6 +130,23 @@ def _(spark, d):
     return mapping.repositories(*repository_graph(spark, d)).edges.select("src", "dst", "kind")
 
 
+@query(
+    "jn31_query_annotations",
+    """SELECT 'r.R' || c_custkey || '.q' AS src, CASE WHEN c_mktsegment <> 'FURNITURE' AND c_acctbal <= 0 THEN 'table:E' ELSE 'table:e' END || c_custkey AS dst,
+      CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'READS' ELSE 'WRITES' END AS kind
+    FROM customer WHERE c_acctbal > 0 OR c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""",
+)
+def _(spark, d):
+    graph, names = repository_graph(spark, d)
+    text = """CASE c_mktsegment WHEN 'BUILDING' THEN concat('select x from E', c_custkey, ' x join x.others o where o.a = :a') WHEN 'FURNITURE' THEN concat('UPDATE e', c_custkey, ' SET a = 1, b = 2')
+      WHEN 'MACHINERY' THEN concat('from E', c_custkey) ELSE concat('DELETE FROM E', c_custkey, ' x WHERE x.a = 1') END"""
+    customer = table(spark, d, "customer")
+    methods = customer.selectExpr("concat('r.R', c_custkey, '.q') AS fqn", "'q' AS name", "'FUNCTION' AS kind", "array('Query') AS annotations", f"map('Query', {text}) AS annotation_args")
+    held = customer.selectExpr("concat('r.R', c_custkey) AS src", "concat('r.R', c_custkey, '.q') AS dst", "'CONTAINS' AS kind")
+    edges = mapping.repositories(graph.plus(methods, held), names).edges
+    return edges.filter("src LIKE '%.q' AND kind IN ('READS', 'WRITES')").select("src", "dst", "kind")
+
+
 @query(
     "fn_derived_query_name",
     f"SELECT c_custkey, {METHOD} AS method, CASE {METHOD} WHEN 'findByName' THEN 'read' WHEN 'deleteByEmailAndStatus' THEN 'write' ELSE 'unknown' END AS access, CASE {METHOD} WHEN 'findByName' THEN 'name' WHEN 'deleteByEmailAndStatus' THEN 'email,status' ELSE '' END AS fields FROM customer",
