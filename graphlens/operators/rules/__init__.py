@@ -35,15 +35,23 @@ def _stack(parts: list[DataFrame]) -> DataFrame | None:
 
 
 def merge_results(graph: Graph, results: Sequence[RuleResult]) -> tuple[Graph, RuleResult]:
-    """Graph with all results folded in: last node wins, a later layer wins, the rest appends."""
+    """Graph with all results folded in: last node wins, a later layer wins, the rest appends.
+
+    A node is known by project and name. A rule's node without a project stands
+    for the nodes of its name in every project that has one.
+    """
+    projects = graph.nodes.select(F.col("fqn").alias("_fqn"), F.col("app_name").alias("_app")).distinct()
     nodes = [node_rows(graph.nodes).withColumn("_rank", F.lit(0))]
     layers = []
     for rank, result in enumerate(results, start=1):
         if result.nodes is not None:
-            nodes.append(node_rows(result.nodes).withColumn("_rank", F.lit(rank)))
+            found = node_rows(result.nodes)
+            placed = found.join(projects, found["app_name"].isNull() & (found["fqn"] == projects["_fqn"]), "left")
+            placed = placed.withColumn("app_name", F.coalesce("app_name", "_app")).drop("_fqn", "_app")
+            nodes.append(placed.withColumn("_rank", F.lit(rank)))
         if result.layers is not None:
             layers.append(result.layers.select("fqn", "layer").withColumn("_rank", F.lit(rank)))
-    merged = last_by(_stack(nodes), ["fqn"], ["_rank", "seq"]).select(*graph.nodes.columns)
+    merged = last_by(_stack(nodes), ["app_name", "fqn"], ["_rank", "seq"]).select(*graph.nodes.columns)
     edges = _stack([graph.edges] + [edge_rows(r.edges) for r in results if r.edges is not None])
     chosen = last_by(_stack(layers), ["fqn"], ["_rank", "layer"], ["layer"]) if layers else None
     rest = RuleResult(

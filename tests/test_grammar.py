@@ -68,3 +68,13 @@ def test_route_strings(spark, pattern, group, text, found):
 def test_include_rings_end(spark):
     includes = spark.createDataFrame([("root", "a", "x/"), ("a", "b", "y/"), ("b", "a", "z/")], "module string, included string, prefix string")
     assert {r["module"] for r in endpoints.include_prefixes(includes).collect()} == {"root", "a", "b"}
+
+
+def test_projects_keep_their_own_nodes(make_graph):
+    from graphlens.graph import Graph, node_rows
+    from graphlens.operators.rules import RuleResult, merge_results
+
+    graph = make_graph([{"fqn": "y", "kind": "CLASS", "app_name": "A"}, {"fqn": "y", "kind": "CLASS", "app_name": "B"}, {"fqn": "x", "kind": "CLASS", "app_name": "A"}], [])
+    news = node_rows(graph.nodes.limit(0)).unionByName(node_rows(graph.nodes.filter("fqn = 'y'").limit(1).selectExpr("'y' AS fqn", "'TABLE' AS kind")))
+    merged, _ = merge_results(Graph(graph.nodes, graph.edges), [RuleResult(nodes=news)])
+    assert sorted(tuple(r) for r in merged.nodes.select("app_name", "fqn", "kind").collect()) == [("A", "x", "CLASS"), ("A", "y", "TABLE"), ("B", "y", "TABLE")]
