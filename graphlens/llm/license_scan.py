@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from graphlens.llm.common import text_bytes
 
 #: Share of template words that makes a notice.
 COVERAGE = 0.8
-#: Notices that name a license.
+#: Notices that name a license; ``shipped`` adds full texts and headers.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -34,6 +35,13 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
 }
 
+
+def shipped() -> dict[str, str]:
+    """The short notices, and the license texts and headers of the folder ``licenses`` under ``<license>.text`` and ``<license>.header``."""
+    files = sorted((f for f in (resources.files("graphlens.llm") / "licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return TEMPLATES | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files}
+
+
 #: A-Z become a-z; ASCII bytes besides letters, digits, full stops and hyphens become spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c in b".-" or c >= 128 else 32 for c in range(256))
 
@@ -92,13 +100,17 @@ class Scanner:
         self.coverage = coverage
         self.templates = {name: words(text.encode()) for name, text in templates.items()}
         # Whoever lacks this many words of a template misses the coverage: one of them must occur. Long words are rare.
+        self.wanted = {name: Counter(t) for name, t in self.templates.items()}
         self.needed = {name: set(sorted(t, key=len)[-(int((1 - coverage) * len(t) + 1e-9) + 1) :]) for name, t in self.templates.items()}
 
     def scan(self, text: list[bytes]) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, first word, end word, notices) of every license found: its best notice, the first of equals."""
-        present, out = set(text), []
+        counts, out = Counter(text), []
         for name, template in self.templates.items():
-            if self.needed[name].isdisjoint(present):
+            need, wanted = self.coverage * len(template) - 1e-9, self.wanted[name]
+            if len(text) < need or self.needed[name].isdisjoint(counts):
+                continue
+            if sum(min(counts[w], wanted[w]) for w in counts.keys() & wanted.keys()) < need:
                 continue
             best, notices = None, 0
             for share, begin, end in self._notices(text, template):
@@ -112,28 +124,43 @@ class Scanner:
     def _notices(self, text, template):
         """Aligned stretches, the best of those that overlap the first that reaches the threshold."""
         wanted, need = Counter(template), self.coverage * len(template) - 1e-9
-        at, begin, best = [i for i, w in enumerate(text) if w in wanted], 0, None
+        at, begin, end, best = [i for i, w in enumerate(text) if w in wanted], 0, 0, None
+        held, total = Counter(), 0
+
+        def drop():
+            w = text[at[begin]]
+            held[w] -= 1
+            return held[w] < wanted[w]
+
+        # The stretch of a later beginning ends no earlier, so both ends only move on.
         while begin < len(at):
             if best and (at[begin] >= best[2] or best[0] == 1):
                 yield best
-                begin, best = bisect_left(at, best[2]), None
+                stop, best = bisect_left(at, best[2]), None
+                while begin < stop:
+                    if begin < end:
+                        total -= drop()
+                    begin += 1
+                end = max(end, begin)
                 continue
-            held, total, end = Counter(), 0, begin
             while end < len(at) and at[end] < at[begin] + 2 * len(template) and total < len(template):
                 w = text[at[end]]
                 total += held[w] < wanted[w]
                 held[w] += 1
                 end += 1
-            pairs = align(text[at[begin] : at[end - 1] + 1], template) if total >= need else []
+            # No more words than the stretch has of the template can be aligned.
+            hopeful = total >= need and (best is None or total / len(template) > best[0])
+            pairs = align(text[at[begin] : at[end - 1] + 1], template) if hopeful else []
             if pairs and len(pairs) >= need and (best is None or len(pairs) / len(template) > best[0]):
                 best = (len(pairs) / len(template), at[begin] + pairs[0][0], at[begin] + pairs[-1][0] + 1)
+            total -= drop()
             begin += 1
         if best:
             yield best
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """``doc_id, license, coverage, first_word, end_word, notices``: one row per document and license, one without license where none is found.
+    """``doc_id, license, coverage, first_word, end_word, notices``: one row per document and template, one without license where none is found.
 
     ``coverage`` is the aligned share of the template's words in the best
     notice, which spans the text's words from ``first_word`` to before
@@ -142,7 +169,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     repeated rows give repeated results, an empty table no rows; extra columns
     are ignored. One pass, no shuffle; the templates are a parameter of the job.
     """
-    known = dict(TEMPLATES if templates is None else templates)
+    known = dict(shipped() if templates is None else templates)
     if any(not words(t.encode()) for t in known.values()):
         raise ValueError("every template needs words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

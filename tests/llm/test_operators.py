@@ -362,3 +362,17 @@ def test_obfuscated_words_reach_the_lexicon():
     lexicon = toxicity.Lexicon({"idiot": 3.0})
     vector = dict(zip(toxicity.FEATURES, toxicity.features("you are an 1d!ot, an id1iot and an IDIOOOT", lexicon)))
     assert vector["hidden"] >= 1 and vector["near"] > 0 and vector["strongest"] == 3.0
+
+
+def test_license_texts_and_headers_are_found():
+    known = license_scan.shipped()
+    scanner = license_scan.Scanner(known, license_scan.COVERAGE)
+    filler = "mira sol tolen ont " * 50
+    for name in ("MIT.text", "GPL-3.0.text", "GPL-3.0.header", "AGPL-3.0.header", "LGPL-2.1.header", "BSD-2-Clause.text", "BSD-3-Clause.text", "CC-BY-4.0.header", "CC-BY-SA-4.0.header"):
+        found = {f[0]: f[1] for f in scanner.scan(license_scan.words(f"{filler} {known[name]} {filler}".encode()))}
+        assert found[name] == 1 and name not in license_scan.TEMPLATES
+    two = {f[0]: f[1] for f in scanner.scan(license_scan.words(known["BSD-2-Clause.text"].encode()))}
+    assert two["BSD-2-Clause.text"] == 1 > two.get("BSD-3-Clause.text", 0)
+    gaps = license_scan.words(known["GPL-3.0.text"].encode())
+    changed = [w for i, w in enumerate(gaps) if i % 20]
+    assert 0.93 < {f[0]: f[1] for f in scanner.scan(changed)}["GPL-3.0.text"] < 0.96
