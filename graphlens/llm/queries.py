@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlens.llm.clustering import CENTROIDS, LARGEST, ROUNDS, SCALE, SEED, clusters
 from graphlens.llm.decontamination import contamination
 from graphlens.llm.encoding import default_tokenizer
 from graphlens.llm.language_model import backoff_scores
+from graphlens.llm.manifest import manifest
 from graphlens.llm.license_scan import license_scan
 from graphlens.llm.near_duplicates import near_duplicates
 from graphlens.llm.packing import packed
@@ -15,6 +17,7 @@ from graphlens.llm.sharding import SHARDS, SLOTS, lookup_table, place
 from graphlens.llm.substring_dedup import repeated
 from graphlens.llm.token_counts import token_counts
 from graphlens.llm.toxicity import score_documents
+from graphlens.llm.vector_groups import vector_groups
 from graphlens.llm.vector_search import nearest_neighbours
 
 TOKEN_LIMIT = 1024
@@ -76,11 +79,88 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return place(_table(spark, folder, "documents"), "doc_id").select("doc_id", "slot", "shard")
 
 
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector after five rounds."""
+    return clusters(_table(spark, folder, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and verification of every document."""
+    return manifest(_table(spark, folder, "documents"))
+
+
+def op13_vector_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and group of every vector at a cosine of 0.95."""
+    return vector_groups(_table(spark, folder, "embeddings"))
+
+
+def _cluster_oracle() -> str:
+    """The rounds written out: assignment by rank over all distances, then exact floors of means."""
+    ctes = [f"""q AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(greatest(least(x * {SCALE}, {LARGEST}), -{LARGEST})) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), long AS (SELECT r, unnest(q) AS x, unnest(range(1, 65)) AS pos FROM q
+), chosen AS (
+  SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id), q) - 1 AS c, q FROM q WHERE vec_id IS NOT NULL QUALIFY c < {CENTROIDS}
+), c0 AS (SELECT c, unnest(q) AS x, unnest(range(1, 65)) AS pos FROM chosen)"""]
+    for k in range(ROUNDS + 1):
+        ctes.append(f"""a{k} AS (
+  SELECT r, c, d FROM (SELECT r, c, CAST(sum((long.x - c{k}.x) * (long.x - c{k}.x)) AS BIGINT) AS d FROM long JOIN c{k} USING (pos) GROUP BY r, c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if k < ROUNDS:
+            ctes.append(f"""m{k} AS (SELECT c, pos, sum(x) AS s, count(*) AS n FROM a{k} JOIN long USING (r) GROUP BY c, pos
+), c{k + 1} AS (SELECT c, CAST(coalesce((s - ((s % n) + n) % n) // n, x) AS BIGINT) AS x, pos FROM c{k} LEFT JOIN m{k} USING (c, pos))""")
+    return "WITH " + ", ".join(ctes) + f"""
+, digests AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS digest FROM c{ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+FROM a{ROUNDS} JOIN q USING (r) JOIN digests USING (c)
+"""
+
+
+def _merkle_oracle(levels: int = 14) -> str:
+    """Trees of up to ``3 ** levels`` leaves, level by level; documents fold through the same runs."""
+    said = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    ahead = " || ".join(said(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    ctes = [f"""crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM (SELECT unnest(range(256)) AS i))
+), d AS (
+  SELECT doc_id, source, sha256({ahead} || {said("text")}) AS leaf,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 2 = 0
+      THEN sha256({ahead} || {said("replace(text, chr(10), '')")}) ELSE leaf END AS start
+  FROM documents, crc
+), g AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, start) - 1 AS p FROM d
+), n0 AS (SELECT g, p, leaf AS h FROM g
+), f0 AS (SELECT g, p AS pos, doc_id, leaf, start AS folded, '' AS proof, p FROM g)"""]
+
+    def level(nodes, walk, made, walked):
+        # runs that are more than a lone root; a tree that is finished stays as it is
+        ctes.append(f"""r_{made} AS (SELECT g, p // 3 AS p, list(h ORDER BY p) AS run, any_value(many) AS many FROM (SELECT *, count(*) OVER (PARTITION BY g) AS many FROM {nodes}) GROUP BY g, p // 3
+), {made} AS (SELECT g, p, CASE WHEN many > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM r_{made}
+), {walked} AS (
+  SELECT w.g, w.pos, doc_id, leaf, w.p // 3 AS p,
+    CASE WHEN many > 1 THEN sha256(array_to_string(run[1 : w.p % 3], '') || folded || array_to_string(run[w.p % 3 + 2 : 3], '')) ELSE folded END AS folded,
+    CASE WHEN many > 1 THEN proof || array_to_string(run[1 : w.p % 3], '') || array_to_string(run[w.p % 3 + 2 : 3], '') ELSE proof END AS proof
+  FROM {walk} w JOIN r_{made} r ON r.g = w.g AND r.p = w.p // 3)""")
+
+    for k in range(levels):
+        level(f"n{k}", f"f{k}", f"n{k + 1}", f"f{k + 1}")
+    ctes.append(f"""s0 AS (SELECT 0 AS g, g AS p, h FROM n{levels}
+), w0 AS (SELECT 0 AS g, pos, doc_id, leaf, f.folded, proof, f.g AS p, h AS subroot FROM f{levels} f JOIN n{levels} n ON n.g = f.g
+), t0 AS (SELECT g, p * 1000000000 + pos AS pos, doc_id, leaf || subroot AS leaf, folded, proof, p FROM w0)""")
+    for k in range(6):
+        level(f"s{k}", f"t{k}", f"s{k + 1}", f"t{k + 1}")
+    return "WITH " + ", ".join(ctes) + """
+SELECT doc_id, leaf[1:64] AS leaf, leaf[65:128] AS subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM t6 JOIN s6 ON s6.g = t6.g
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_decontamination, op4_stupid_backoff, op5_token_counts,
-        op6_license_scan, op7_substring_dedup, op8_nearest_neighbours, op9_simhash, op10_sharding,
+        op6_license_scan, op7_substring_dedup, op8_nearest_neighbours, op9_simhash, op10_sharding, op11_centroid_clusters, op12_merkle_manifest, op13_vector_groups,
     )
 }
 
@@ -164,5 +244,20 @@ WITH owners AS (SELECT string_split('{",".join(map(str, lookup_table(SHARDS, SLO
   SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {SLOTS} AS INTEGER) AS slot FROM documents
 )
 SELECT doc_id, slot, names[o[slot + 1]::INTEGER + 1] AS shard FROM placed, owners
+""",
+    "op11_centroid_clusters": _cluster_oracle(),
+    "op12_merkle_manifest": _merkle_oracle(),
+    "op13_vector_groups": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), fit AS (
+  SELECT r, vec_id, list_transform(v, lambda x: x / list_aggregate(list_transform(v, lambda y: abs(y)), 'max')) AS v FROM v
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (SELECT a.r AS a, b.r AS b FROM fit a JOIN fit b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (SELECT r, r AS other FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other
+), least AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.other GROUP BY reach.r
+), counted AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN counted USING (r)
 """,
 }
