@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import documents, map_batches, mixed, segments
+from graphlens.llm.common import documents, forget, held, map_batches, mixed, segments, tidy
 
 #: Text bytes of a block and windows of a bucket, on average.
 BLOCK_BYTES = 4_000_000
@@ -63,6 +63,26 @@ def _grown(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _drop() -> None:
+    _words.clear()
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+held(_drop, "blocks", "substring_dedup", "language_model")
+
+
+def _tidied(fn):
+    """``fn`` of a group, after which its memory goes back to the machine."""
+
+    def run(*tables):
+        forget(__name__)
+        found = fn(*tables)
+        tidy()
+        return found
+
+    return (lambda left, right: run(left, right)) if fn.__code__.co_argcount == 2 else (lambda table: run(table))
+
+
 def rolling(words: np.ndarray, window: int) -> np.ndarray:
     """Rabin-Karp hash of each ``window`` consecutive word hashes, modulo 2^64, from one pass of prefix sums."""
     n = len(words)
@@ -141,9 +161,9 @@ def ask(packed: DataFrame, send: Callable[[pa.Table], pa.Table], sent: str, answ
     Both uses of the blocks read the same shuffle of the packed texts.
     """
     replies = (
-        packed.groupBy("block").applyInArrow(send, sent).groupBy("bucket").applyInArrow(answer, "block long, bucket long, reply binary")
+        packed.groupBy("block").applyInArrow(_tidied(send), sent).groupBy("bucket").applyInArrow(_tidied(answer), "block long, bucket long, reply binary")
     )
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, result)
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_tidied(finish), result)
 
 
 def planes(values: np.ndarray, width: int) -> bytes:

@@ -8,12 +8,13 @@ jump over nearly a whole window); where it says 0, the bucket of that suffix
 names the patterns to compare word by word.
 
 Documents are only scanned, never shuffled. The patterns reach the tasks in
-portions of a fixed number of windows, one scan for each portion.
+portions of a fixed number of windows, one stage for each portion, under a
+number each. The numbers that a document contains are joined to the ids of the
+items afterwards, so no task holds the items of a passage that many share.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import pyarrow as pa
@@ -115,50 +116,64 @@ def patterns(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_batches(rows.filter("item_id IS NOT NULL"), cut, "item_id string, pattern binary").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), portion: int = PORTION) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), portion: int = PORTION, items: bool = True) -> DataFrame:
     """The columns ``keep`` and ``n_words, n_hit, n_items, items_sha256, contaminated`` of every document.
 
     A missing or empty text has no words and no hits; its digest is that of the
     empty string. Items without an id or without words never occur. Repeated
     documents are judged alike, repeated items count once, an empty benchmark
-    leaves every document clean. Columns besides ``keep`` are ignored.
+    leaves every document clean. Columns besides ``keep`` are ignored. Without
+    ``items`` the columns about them are left out, and so is the join that
+    finds their ids.
     """
     stored = materialize(patterns(benchmark, window), "patterns")
-    groups = max(1, -(-stored.select("pattern").distinct().count() // portion))
-    numbered = stored.withColumn("_portion", F.pmod(F.xxhash64("pattern"), F.lit(groups)))
-    rows = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    numbered = stored.select("pattern").distinct().withColumn("number", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "pattern_numbers")
+    groups = max(1, -(-numbered.count() // portion))
+    numbered = numbered.withColumn("_portion", F.pmod(F.xxhash64("pattern"), F.lit(groups)))
+    rows = docs.select(*[F.col(c) for c in keep], *([] if "text" in keep else [F.col("text").cast("string").alias("_text")]))
     for k in range(groups):
-        rows = _scan(rows, keep, schema, numbered.filter(F.col("_portion") == k), k == 0, k == groups - 1)
-    return rows
-
-
-def _scan(rows: DataFrame, keep, schema: str, part: DataFrame, first: bool, last: bool) -> DataFrame:
-    """One pass with one portion of the patterns; between passes a row carries its spans and items so far."""
-    found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for row in part.select("item_id", "pattern").toLocalIterator():
-        found[tuple(bytes(row["pattern"]).split(b" "))].add(row["item_id"])
-    shared = rows.sparkSession.sparkContext.broadcast(dict(found))
-
-    def judge(batches):
-        search = WuManber(shared.value)
-        for batch in batches:
-            lengths, spans, items = [], [], []
-            earlier = ([[]] * batch.num_rows,) * 2 if first else (batch.column("_spans").to_pylist(), batch.column("_items").to_pylist())
-            for text, flat, before in zip(batch.column("_text"), *earlier):
-                n, new_spans, new_items = search.search(text.as_py().encode())
-                lengths.append(n)
-                spans.append(list(zip(flat[::2], flat[1::2])) + new_spans)
-                items.append(new_items.union(before))
-            base = [batch.column(c) for c in keep]
-            if last:
-                hit = [covered(s) for s in spans]
-                digest = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
-                counts = [pa.array(x, pa.int64()) for x in (lengths, hit, [len(i) for i in items])]
-                yield pa.RecordBatch.from_arrays([*base, *counts, pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-            else:
-                flat = pa.array([[x for pair in s for x in pair] for s in spans], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*base, batch.column("_text"), flat, pa.array([sorted(i) for i in items], pa.list_(pa.string()))], [*keep, "_text", "_spans", "_items"])
-
-    verdict = ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return rows.mapInArrow(judge, schema + (verdict if last else ", _text string, _spans array<long>, _items array<string>"))
+        rows = _scan(rows, keep, numbered.filter(F.col("_portion") == k), k == 0, k == groups - 1)
+        if k < groups - 1:
+            rows = materialize(rows, "scanned")  # so that no stage holds two portions
+    counts = ["n_words", "n_hit", (F.col("n_hit") > 0).alias("contaminated")]
+    if not items:
+        return rows.select(*keep, *counts)
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "judged")
+    ids = stored.join(numbered, "pattern").select("number", "item_id")
+    found = rows.filter("size(_numbers) > 0").select("_row", F.explode("_numbers").alias("number")).join(ids, "number")
+    named = found.select("_row", "item_id").distinct().groupBy("_row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("_ids"))
+    digest = F.sha2(F.coalesce(F.concat_ws(",", "_ids"), F.lit("")).cast("binary"), 256).alias("items_sha256")
+    judged = rows.join(named, "_row", "left")
+    return judged.select(*keep, "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), digest, counts[-1])
+
+
+def _scan(rows: DataFrame, keep, part: DataFrame, first: bool, last: bool) -> DataFrame:
+    """One pass with one portion of the patterns; a row carries the spans and the numbers of the patterns found so far."""
+    found = {tuple(bytes(r["pattern"]).split(b" ")): {r["number"]} for r in part.select("pattern", "number").toLocalIterator()}
+    shared = rows.sparkSession.sparkContext.broadcast(found)
+    text = "text" if "text" in keep else "_text"
+    carried = [*keep, *([] if text in keep or last else [text])]
+
+    def judge(batch):
+        if "search" not in made:
+            made["search"] = WuManber(shared.value)
+        lengths, spans, numbers = [], [], []
+        earlier = ([[]] * batch.num_rows,) * 2 if first else (batch.column("_spans").to_pylist(), batch.column("_numbers").to_pylist())
+        for words_, flat, before in zip(text_bytes(batch.column(text)), *earlier):
+            n, new_spans, new_numbers = made["search"].search(words_)
+            lengths.append(n)
+            spans.append(list(zip(flat[::2], flat[1::2])) + new_spans)
+            numbers.append(sorted(new_numbers.union(before)))
+        base = [batch.column(c) for c in carried]
+        lists = [pa.array(numbers, pa.list_(pa.int64()))]
+        if last:
+            counts = [pa.array(x, pa.int64()) for x in (lengths, [covered(s) for s in spans])]
+            yield pa.RecordBatch.from_arrays([*base, *counts, *lists], [*carried, "n_words", "n_hit", "_numbers"])
+        else:
+            flat = pa.array([[x for pair in s for x in pair] for s in spans], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*base, flat, *lists], [*carried, "_spans", "_numbers"])
+
+    made: dict[str, WuManber] = {}  # one search of a task, built with its first batch
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)
+    return map_batches(rows, judge, schema + (", n_words long, n_hit long, _numbers array<long>" if last else ", _spans array<long>, _numbers array<long>"))

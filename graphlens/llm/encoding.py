@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from graphlens.llm.common import held
+
 ID_BYTES = 4
 MEMORY = 250_000
 #: Longer pieces, such as texts without spaces, are not kept.
@@ -131,10 +133,13 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder; it stays while the worker lives."""
+    """The worker's own encoder; it stays until a task that encodes nothing runs in the worker."""
     return Encoder(path)
 
 
+held(encoder.cache_clear, "packing", "token_counts")
+
+
 def crc32(ids: bytes) -> int:
     return zlib.crc32(ids)
 

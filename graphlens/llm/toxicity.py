@@ -231,17 +231,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
     no rows; columns besides ``keep`` are ignored.
     """
     model = fit(docs, labels, rows)
-    base = docs.select(*[F.col(c) for c in keep], F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    text = "text" if "text" in keep else "_text"
+    base = docs.select(*[F.col(c) for c in keep], F.col("doc_id").alias("_id"), *([] if text in keep else [F.col("text").cast("string").alias(text)]))
     base = base.withColumn("held_out", held_out(F.col("_id"))).drop("_id")
     weights = model.lexicon
+    carried = [*keep, "held_out"]
 
-    def score(batches):
-        lexicon = Lexicon(weights)
-        for batch in batches:
-            columns = [batch.column(c) for c in (*keep, "held_out")]
-            made = pa.array([features(t.as_py(), lexicon) for t in batch.column("_text")], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*columns, made], [*keep, "held_out", "vector"])
+    def score(batch):
+        if "lexicon" not in made:
+            made["lexicon"] = Lexicon(weights)
+        found = pa.array([features(t.as_py() or "", made["lexicon"]) for t in batch.column(text)], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], found], [*carried, "vector"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_text")
-    scored = model.apply(base.mapInArrow(score, schema + ", vector array<double>"))
+    made: dict[str, Lexicon] = {}  # of a task, built with its first batch
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in carried)
+    scored = model.apply(map_batches(base, score, schema + ", vector array<double>"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
