@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.scale import first_by, materialize, numbered
 from graphlens.functions.text import transaction_name
 from graphlens.graph import Graph
+from graphlens.operators.adjacency import Hops, StoredGraph
 from graphlens.schema import literal_map, node_label
 
 # The edge kinds each question follows.
@@ -44,13 +45,26 @@ def steps(edges: DataFrame, kinds: Sequence[str] | None, direction: str = "out")
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
+def hops_of(graph: Graph, kinds: Sequence[str] | None, direction: str = "out") -> DataFrame | Hops:
+    """The hops of a graph: read hop by hop from a stored one, else a table made from its edges."""
+    if isinstance(graph, StoredGraph):
+        return Hops(graph, None if kinds is None else tuple(kinds), direction)
+    return steps(graph.edges, kinds, direction)
+
+
+def _ending(hops: DataFrame | Hops, frontier: DataFrame) -> DataFrame:
+    return hops.ending(frontier) if isinstance(hops, Hops) else hops
+
+
 def stored_edges(graph: Graph, *kinds: str) -> Graph:
-    """The graph with its edges of ``kinds`` (all of them without any) written once, for several walks over them."""
+    """The graph with its edges of ``kinds`` (all of them without any) written once, for several walks over them; a stored one as it is."""
+    if isinstance(graph, StoredGraph):
+        return graph
     edges = graph.edges_of(*kinds) if kinds else graph.edges
     return Graph(graph.nodes, materialize(edges.select("src", "dst", "kind"), "edges"))
 
 
-def reach(hops: DataFrame, seeds: DataFrame, max_depth: int, include_start: bool = False, store: bool = True) -> DataFrame:
+def reach(hops: DataFrame | Hops, seeds: DataFrame, max_depth: int, include_start: bool = False, store: bool = True) -> DataFrame:
     """(seed, node, depth) with the shortest depth; breadth-first from every seed at once.
 
     ``hops(a, b)`` is written once, in place (``store=False``: it is a stored table already), and each hop appends one table of newly
@@ -58,14 +72,15 @@ def reach(hops: DataFrame, seeds: DataFrame, max_depth: int, include_start: bool
     frontier is known to the optimizer, so a small frontier is broadcast while a
     large one is shuffled with skew handling.
     """
-    if store:
+    if store and not isinstance(hops, Hops):
         hops = materialize(hops, "hops")
     start = seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0))
     layers = [materialize(start, "reach")]
     for depth in range(1, max_depth + 1):
         seen = _union(layers)
+        nearby = hops.near(layers[-1]) if isinstance(hops, Hops) else hops
         found = (
-            layers[-1].join(hops, F.col("node") == F.col("a"))
+            layers[-1].join(nearby, F.col("node") == F.col("a"))
             .select("seed", F.col("b").alias("node")).distinct()
             .join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
             .withColumn("depth", F.lit(depth))
@@ -112,7 +127,7 @@ def impact_downstream(
     graph: Graph, fqns: DataFrame, max_depth: int = 5, kinds: Sequence[str] | None = DOWNSTREAM, store: bool = True,
 ) -> DataFrame:
     """What each start node reaches: (seed, node, depth, hops)."""
-    found = reach(steps(graph.edges, kinds), self_seeds(fqns), max_depth, store=store)
+    found = reach(hops_of(graph, kinds), self_seeds(fqns), max_depth, store=store)
     return found.withColumn("hops", F.col("depth"))
 
 
@@ -123,13 +138,13 @@ def impact_upstream(
     """Dependents of a node or of anything it contains; ``depth`` is 1, ``hops`` is the distance."""
     if store:
         graph = stored_edges(graph, *([] if kinds is None else {"CONTAINS", *kinds}))
-    inside = reach(steps(graph.edges, ["CONTAINS"]), self_seeds(fqns), 10, include_start=True, store=False)
-    hops = steps(graph.edges, kinds, "in")
+    inside = reach(hops_of(graph, ["CONTAINS"]), self_seeds(fqns), 10, include_start=True, store=False)
+    hops = hops_of(graph, kinds, "in")
     found = reach(hops, inside.select("seed", "node"), max_depth, include_start=True, store=False)
     # A contained node starts at distance 0, yet it is a dependent too when a
     # path leads from it back to the contained set.
     back = (
-        inside.select("seed", "node").join(hops, F.col("node") == F.col("b"))
+        inside.select("seed", "node").join(_ending(hops, inside), F.col("node") == F.col("b"))
         .select("seed", F.col("node").alias("member"), F.col("a").alias("node"))
         .join(found.filter(F.col("depth") < max_depth), ["seed", "node"])
         .groupBy("seed", F.col("member").alias("node")).agg((F.min("depth") + 1).alias("depth"))
@@ -171,14 +186,14 @@ def impact_summary(found: DataFrame, graph: Graph) -> DataFrame:
 def impact_graph_export(graph: Graph, fqns: DataFrame, direction: str, max_depth: int) -> DataFrame:
     """Any-edge impact: nodes within reach, depth by the undirected shortest path."""
     way = {"downstream": "out", "upstream": "in", "both": "both"}[direction]
-    reachable = reach(steps(graph.edges, None, way), self_seeds(fqns), max_depth)
-    undirected = reachable if way == "both" else reach(steps(graph.edges, None, "both"), self_seeds(fqns), max_depth)
+    reachable = reach(hops_of(graph, None, way), self_seeds(fqns), max_depth)
+    undirected = reachable if way == "both" else reach(hops_of(graph, None, "both"), self_seeds(fqns), max_depth)
     return undirected.join(reachable.select("seed", "node"), ["seed", "node"], "left_semi").filter("node <> seed")
 
 
 def neighbourhood(graph: Graph, fqns: DataFrame, depth: int = 1) -> DataFrame:
     """k-hop neighbours over any edge in either direction."""
-    return reach(steps(graph.edges, None, "both"), self_seeds(fqns), depth)
+    return reach(hops_of(graph, None, "both"), self_seeds(fqns), depth)
 
 
 # --- trace -------------------------------------------------------------------------------

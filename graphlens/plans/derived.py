@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlens.graph import Graph, edge_rows, node_rows
+from graphlens.operators.adjacency import StoredGraph, store_graph
 from graphlens.plans.registry import table
 
 APP = "shop"
@@ -165,3 +166,14 @@ NATION_DEP = """dep AS MATERIALIZED (
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       JOIN supplier ON l_suppkey = s_suppkey
     WHERE c_nationkey <> s_nationkey GROUP BY 1, 2))"""
+
+
+_STORED: dict[tuple[str, str], StoredGraph] = {}
+
+
+def stored_shop_graph(spark: SparkSession, d: str) -> StoredGraph:
+    """The shop graph, stored once per application and folder: loaded first, asked often."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = store_graph(shop_graph(spark, d))
+    return _STORED[key]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlens.graph import Graph, edge_rows, node_rows
 from graphlens.operators import traverse
-from graphlens.plans.derived import APP, NATION_DEP, SHOP, nation_dependencies, shop_edges, shop_graph, shop_nodes
+from graphlens.plans.derived import APP, NATION_DEP, SHOP, nation_dependencies, shop_edges, shop_graph, shop_nodes, stored_shop_graph
 from graphlens.plans.registry import query, table
 
 DOWN = "('CALLS','INJECTS','IMPLEMENTS','PRODUCES','WRITES','READS','CONTAINS','DEPENDS_ON')"
@@ -35,7 +35,7 @@ def modules(graph):
     f"WITH RECURSIVE {SHOP}, {DOWN_CTE} SELECT seed, fqn, name, {LABEL} AS type, path AS file, depth FROM down_min JOIN g_nodes n ON n.fqn = node",
 )
 def _(spark, d):
-    g = shop_graph(spark, d)
+    g = stored_shop_graph(spark, d)
     found = traverse.describe(traverse.impact_downstream(g, modules(g), 4), g)
     return found.select("seed", F.col("node").alias("fqn"), "name", "type", "file", "depth")
 
@@ -45,7 +45,7 @@ def _(spark, d):
     f"WITH RECURSIVE {SHOP}, {UP_CTE} SELECT seed, node AS fqn, 1 AS depth, hops FROM up_min",
 )
 def _(spark, d):
-    g = shop_graph(spark, d)
+    g = stored_shop_graph(spark, d)
     return traverse.impact_upstream(g, modules(g), 3).select("seed", F.col("node").alias("fqn"), "depth", "hops")
 
 
@@ -55,7 +55,7 @@ BOTH = """both_ways AS (SELECT seed, node, min(depth) AS depth FROM (SELECT seed
 
 @query("g3_impact_both", f"WITH RECURSIVE {SHOP}, {DOWN_CTE}, {UP_CTE}, {BOTH} SELECT seed, node AS fqn, depth FROM both_ways")
 def _(spark, d):
-    g = shop_graph(spark, d)
+    g = stored_shop_graph(spark, d)
     return traverse.impact(g, modules(g), "both", 3).select("seed", F.col("node").alias("fqn"), "depth")
 
 
@@ -65,7 +65,7 @@ def _(spark, d):
     SELECT depth, count(*) AS nodes, count(DISTINCT seed) AS seeds FROM both_ways GROUP BY depth""",
 )
 def _(spark, d):
-    g = shop_graph(spark, d)
+    g = stored_shop_graph(spark, d)
     return traverse.impact(g, modules(g), "both", 3).groupBy("depth").agg(
         F.count("*").alias("nodes"), F.count_distinct("seed").alias("seeds")
     )
@@ -79,7 +79,7 @@ def _(spark, d):
     UNION ALL SELECT seed, 'depth', CAST(depth AS VARCHAR), count(*) FROM t GROUP BY seed, depth""",
 )
 def _(spark, d):
-    g = shop_graph(spark, d)
+    g = stored_shop_graph(spark, d)
     return traverse.impact_summary(traverse.impact_downstream(g, modules(g), 4), g)
 
 
@@ -91,7 +91,7 @@ def _(spark, d):
     SELECT seed, node, min(depth) AS depth FROM near GROUP BY 1, 2 HAVING min(depth) > 0""",
 )
 def _(spark, d):
-    g = shop_graph(spark, d)
+    g = stored_shop_graph(spark, d)
     return traverse.neighbourhood(g, modules(g), 3)
 
 
@@ -107,7 +107,7 @@ def _(spark, d):
       AND (n.seed, n.node) IN (SELECT seed, node FROM out_ WHERE depth > 0) GROUP BY 1, 2""",
 )
 def _(spark, d):
-    g = shop_graph(spark, d)
+    g = stored_shop_graph(spark, d)
     return traverse.impact_graph_export(g, modules(g), "downstream", 3)
 
 
