@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,25 +118,75 @@ def revision_chain(revisions: DataFrame) -> RuleResult:
     return RuleResult(nodes=node_rows(nodes), edges=edge_rows(edges), warnings=warnings)
 
 
+#: A name with its qualifiers, quoted or not, or one other character.
+_PART = r"""(?:"(?:[^"]|"")*"|`[^`]*`|[\w$]+)"""
+_TOKEN = rf"{_PART}(?:\s*\.\s*{_PART})*|[^\s]"
+#: Words that end a list of tables, and words that may stand before a table.
+_ENDS = "WHERE GROUP ORDER HAVING LIMIT OFFSET FETCH SET VALUES UNION EXCEPT INTERSECT RETURNING WINDOW QUALIFY FOR".split()
+_BEFORE = "ONLY LATERAL TABLE IGNORE OVERWRITE".split()
+_START = """named_struct('stack', array('query'), 'found', CAST(array() AS array<struct<name:string,role:string>>), 'local', CAST(array() AS array<string>),
+  'verb', CAST(NULL AS string), 'role', 'from', 'before', '', 'fresh', false)"""
+
+
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+#: What a token ``k`` (``u`` in capitals) means in state ``s``, whose innermost scope is ``element_at(s.stack, -1)``:
+#: ``query`` (no table list), ``wanted`` (a table comes next), ``listed`` (behind a table), ``call`` (arguments), ``with`` (a local name comes
+#: next), ``named`` (behind a local name or its body), ``body`` (the body comes next).
+_EVENT = f"""CASE
+  WHEN k = '(' THEN CASE WHEN top = 'wanted' THEN 'open_table' WHEN top = 'body' THEN 'open_body' WHEN s.fresh AND s.role = 'from' THEN 'open_function' ELSE 'open' END
+  WHEN k = ')' THEN 'close'
+  WHEN k = ',' THEN CASE WHEN top = 'listed' THEN 'next' WHEN top = 'named' THEN 'with' ELSE 'other' END
+  WHEN top = 'with' THEN CASE WHEN u = 'RECURSIVE' THEN 'other' ELSE 'local' END
+  WHEN top = 'named' AND u = 'AS' THEN 'body'
+  WHEN u = 'WITH' AND (s.before IN ('', '(') OR top = 'listed' AND s.role = 'into') THEN 'with'
+  WHEN u IN ('SELECT', 'INSERT') THEN 'verb'
+  WHEN u = 'DELETE' AND top <> 'call' THEN 'delete'
+  WHEN u = 'UPDATE' AND top <> 'call' THEN CASE WHEN s.before IN ('FOR', 'KEY', 'DO') THEN 'end' ELSE 'update' END
+  WHEN u = 'INTO' AND top <> 'call' THEN 'into'
+  WHEN u = 'FROM' AND top IN ('query', 'listed') AND s.before <> 'DISTINCT' THEN 'from'
+  WHEN u IN ('JOIN', 'STRAIGHT_JOIN') AND top = 'listed' OR u = 'USING' AND top = 'listed' AND s.verb = 'DELETE' THEN 'next'
+  WHEN top IN ('wanted', 'listed') AND u IN ({_listed(_ENDS)}) THEN 'end'
+  WHEN top = 'wanted' AND u NOT IN ({_listed(_BEFORE)}) AND k RLIKE '^["`\\\\w$]' THEN 'table'
+  ELSE 'other' END"""
+_NEXT = """named_struct(
+  'stack', CASE WHEN e IN ('open', 'open_function') THEN concat(s.stack, array('call')) WHEN e = 'open_table' THEN concat(below, array('listed', 'wanted'))
+      WHEN e = 'open_body' THEN concat(below, array('named', 'query')) WHEN e = 'close' THEN if(size(s.stack) > 1, below, s.stack)
+      WHEN e IN ('next', 'from', 'into', 'update') THEN concat(below, array('wanted')) WHEN e IN ('with', 'body') THEN concat(below, array(e)) WHEN e = 'local' THEN concat(below, array('named'))
+      WHEN e = 'table' THEN concat(below, array('listed')) WHEN e IN ('verb', 'delete', 'end') THEN concat(below, array('query')) ELSE s.stack END,
+  'found', CASE WHEN e = 'table' THEN concat(s.found, array(named_struct('name', k, 'role', s.role))) WHEN e = 'open_function' THEN slice(s.found, 1, size(s.found) - 1) ELSE s.found END,
+  'local', if(e = 'local', concat(s.local, array(lower(k))), s.local),
+  'verb', if(s.verb IS NULL AND size(s.stack) = 1 AND e IN ('verb', 'delete', 'update'), u, s.verb),
+  'role', CASE WHEN e IN ('into', 'update') THEN 'into' WHEN e = 'delete' THEN 'delete' WHEN e = 'from' THEN if(s.role = 'delete', 'into', 'from') WHEN e = 'next' AND s.role <> 'into' OR e = 'next' AND u <> ',' THEN 'from' ELSE s.role END,
+  'before', u, 'fresh', e = 'table')"""
+
+
+def _read_tokens(tokens: str) -> str:
+    """The state after all tokens, folded from the left with a stack of scopes."""
+    given = "named_struct('s', s, 'k', k, 'u', upper(k), 'top', element_at(s.stack, -1), 'below', slice(s.stack, 1, size(s.stack) - 1))"
+    bound = lambda text, row: re.sub(r"\b(s|k|u|top|below|e)\b(?!')", rf"{row}.\1", text)
+    step = f"transform(transform(array({given}), g -> named_struct('s', g.s, 'k', g.k, 'u', g.u, 'below', g.below, 'e', {bound(_EVENT, 'g')})), h -> {bound(_NEXT, 'h')})[0]"
+    return f"aggregate({tokens}, {_START}, (s, k) -> {step})"
+
+
 def sql_lineage(texts: DataFrame) -> DataFrame:
     """(fqn, table, access, query_type) of SQL strings ``(fqn, text)``.
 
-    SELECT reads every table; INSERT writes its target and reads the rest;
-    UPDATE and DELETE write their target. Names defined by WITH are not tables.
+    SELECT reads every table; INSERT writes its target and reads the rest, the
+    target too where it is also read; UPDATE and DELETE write their target.
+    Names defined by WITH, functions in table lists and FROM among the arguments
+    of a function are not tables. Quoted names may hold anything.
     """
-    # Functions with FROM among their arguments name no table.
-    clean = F.regexp_replace(_clean(F.col("text")), r"(?i)\b(?:EXTRACT|SUBSTRING|TRIM|OVERLAY|POSITION)\s*\([^()]*\)", "0")
-    body = F.regexp_replace(clean, r"(?is)^\s*WITH\b.*?\)\s*(?=SELECT\b|INSERT\b|UPDATE\b|DELETE\b)", " ")
-    verb = F.upper(F.regexp_extract(body, r"(?i)^\s*(SELECT|INSERT|UPDATE|DELETE)\b", 1))
-    alias = r"(?:\s+(?:AS\s+)?(?!(?:WHERE|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|NATURAL|ON|USING|SET|VALUES|SELECT|GROUP|ORDER|HAVING|LIMIT|UNION|EXCEPT|INTERSECT|RETURNING|FOR|DEFAULT)\b)\w+)?"
-    mentioned = rf"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+({QUALIFIED}{alias}(?:\s*,\s*{QUALIFIED}{alias})*)"
-    lists = F.regexp_extract_all(clean, F.lit(mentioned), F.lit(1))
-    names = F.array_distinct(F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, NAME, 1)))
-    local = F.regexp_extract_all(clean, F.lit(r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|\)\s*,\s*)(\w+)\s+AS\s*\("), F.lit(1))
-    first = F.regexp_extract(body, rf"(?i)\b(?:INTO|UPDATE|DELETE\s+FROM)\s+{NAME}", 1)
-    rows = texts.select("fqn", verb.alias("query_type"), F.array_except(names, local).alias("names"), first.alias("target")).filter("query_type <> ''")
-    reads = F.when(F.col("query_type") == "SELECT", F.col("names")).when(F.col("query_type") == "INSERT", F.array_except("names", F.array("target"))).otherwise(F.array().cast("array<string>"))
-    writes = F.when(F.col("query_type") == "SELECT", F.array().cast("array<string>")).otherwise(F.filter(F.array("target"), lambda t: t != ""))
+    tokens = texts.select("fqn", F.regexp_extract_all(_clean(F.col("text")), F.lit(_TOKEN), F.lit(0)).alias("tokens"))
+    read = tokens.select("fqn", F.expr(_read_tokens("tokens")).alias("s")).filter("s.verb IS NOT NULL")
+    plain = lambda n: F.regexp_replace(F.regexp_extract(n, rf"({_PART})$", 1), '^["`]|["`]$', "")
+    known = F.filter("s.found", lambda f: ~F.array_contains("s.local", F.lower(f["name"])))
+    of = lambda role: F.array_distinct(F.transform(F.filter(known, lambda f: f["role"] == role), lambda f: plain(f["name"])))
+    rows = read.select("fqn", F.col("s.verb").alias("query_type"), of("from").alias("sources"), of("into").alias("targets"))
+    reads = F.when(F.col("query_type").isin("SELECT", "INSERT"), F.col("sources")).otherwise(F.array().cast("array<string>"))
+    writes = F.when(F.col("query_type") == "SELECT", F.array().cast("array<string>")).otherwise(F.slice("targets", 1, 1))
     access = F.concat(
         F.transform(reads, lambda t: F.struct(t.alias("table"), F.lit("READS").alias("access"))), F.transform(writes, lambda t: F.struct(t.alias("table"), F.lit("WRITES").alias("access")))
     )

@@ -96,11 +96,11 @@ IMPACT = f"""{DIFF}, dhop AS MATERIALIZED (SELECT DISTINCT src, dst FROM g_edges
   uhop AS MATERIALIZED (SELECT DISTINCT src, dst FROM g_edges WHERE kind IN {UP}),
   touched AS (SELECT DISTINCT pr_id, fqn FROM changed),
   down(pr_id, node, depth) AS (SELECT DISTINCT pr_id, dst, 1 FROM touched JOIN dhop ON src = fqn
-    UNION SELECT w.pr_id, h.dst, w.depth + 1 FROM down w JOIN dhop h ON h.src = w.node WHERE w.depth < 2),
+    UNION SELECT w.pr_id, h.dst, w.depth + 1 FROM down w JOIN dhop h ON h.src = w.node WHERE w.depth < 5),
   inside(pr_id, node, depth) AS (SELECT pr_id, fqn, 0 FROM touched
     UNION SELECT i.pr_id, e.dst, i.depth + 1 FROM inside i JOIN g_edges e ON e.src = i.node AND e.kind = 'CONTAINS' WHERE i.depth < 10),
   up(pr_id, node, depth) AS (SELECT DISTINCT i.pr_id, h.src, 1 FROM inside i JOIN uhop h ON h.dst = i.node
-    UNION SELECT u.pr_id, h.src, u.depth + 1 FROM up u JOIN uhop h ON h.dst = u.node WHERE u.depth < 2),
+    UNION SELECT u.pr_id, h.src, u.depth + 1 FROM up u JOIN uhop h ON h.dst = u.node WHERE u.depth < 5),
   affected AS MATERIALIZED (SELECT pr_id, node AS fqn, min_by(depth, rank * 100 + depth) AS depth FROM (SELECT pr_id, node, depth, 0 AS rank FROM down
       UNION ALL SELECT DISTINCT pr_id, node, 1, 1 FROM up) x
     WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.pr_id = x.pr_id AND t.fqn = x.node) GROUP BY 1, 2)"""
@@ -109,7 +109,7 @@ IMPACT = f"""{DIFF}, dhop AS MATERIALIZED (SELECT DISTINCT src, dst FROM g_edges
 def _affected(spark, d):
     g = shop_graph(spark, d)
     changed, files = change.map_diffs(g, pull_requests(spark, d))
-    return g, changed, files, change.unique_affected(change.pull_request_impact(g, changed, 2))
+    return g, changed, files, change.unique_affected(change.pull_request_impact(g, changed))
 
 
 @query("agg15_pr_blast_radius", f"WITH RECURSIVE {SHOP}, {IMPACT} SELECT pr_id, fqn, depth FROM affected")
@@ -217,7 +217,7 @@ def _(spark, d):
 )
 def _(spark, d):
     g = _drift_graph(spark, d)
-    parts = change.analyse_pull_requests(g, pull_requests(spark, d), max_depth=2)
+    parts = change.analyse_pull_requests(g, pull_requests(spark, d))
     deps = parts["drift"].filter("finding = 'new_dependency'").groupBy("pr_id").agg(F.count("*").alias("new_dependencies"))
     return parts["risk"].select("pr_id", "changed_nodes", "blast_radius").join(deps, "pr_id", "left").na.fill(0, ["new_dependencies"])
 

@@ -8,6 +8,7 @@ from graphlens.functions import text
 from graphlens.functions.scale import numbered
 from graphlens.operators.rules import mapping, middleware, schema_history
 from graphlens.plans.registry import query, table
+from graphlens.schema import literal_map
 from graphlens.plans.rule_queries import build
 
 
@@ -335,3 +336,26 @@ def _(spark, d):
     held = methods.selectExpr("substring_index(fqn, '.', 2) AS src", "fqn AS dst", "'CONTAINS' AS kind")
     result = middleware.middleware(build([classes, methods], [held]), middleware_calls(spark, d))
     return result.edges.filter("kind = 'HANDLES'").select("src", "dst").distinct()
+
+
+#: Statements with scopes, quotes, functions and local names, by market segment; ``#`` stands for the customer's key.
+SCOPED = {
+    "AUTOMOBILE": ("WITH RECURSIVE c(n) AS (SELECT 1 FROM s# UNION ALL SELECT n FROM c) SELECT * FROM c JOIN d# ON 1 = 1, e#", [("s#", "READS"), ("d#", "READS"), ("e#", "READS")]),
+    "BUILDING": ('SELECT EXTRACT(YEAR FROM COALESCE(x, now())) FROM "My Table #" t, (SELECT 1 FROM z#) x, f(1), g# WHERE x IS DISTINCT FROM y', [("My Table #", "READS"), ("z#", "READS"), ("g#", "READS")]),
+    "FURNITURE": ("INSERT INTO t# (a, b) SELECT a, b FROM t# x, (u# JOIN v# USING (id)) FOR UPDATE", [("t#", "READS"), ("u#", "READS"), ("v#", "READS"), ("t#", "WRITES")]),
+    "HOUSEHOLD": ("DELETE FROM t# USING u# WHERE i IN (SELECT i FROM v#)", [("t#", "WRITES")]),
+    "MACHINERY": ("UPDATE a.t# SET x = (SELECT max(y) FROM m#) WHERE z IN (SELECT z FROM n#)", [("t#", "WRITES")]),
+}
+
+
+@query(
+    "jn43_scoped_statements",
+    " UNION ALL ".join(
+        f"""SELECT c_custkey AS fqn, replace('{name}', '#', c_custkey::VARCHAR) AS "table", '{access}' AS access FROM customer WHERE c_mktsegment = '{segment}'"""
+        for segment, (_, found) in SCOPED.items() for name, access in found
+    ),
+)
+def _(spark, d):
+    text = literal_map({segment: statement for segment, (statement, _) in SCOPED.items()})[F.col("c_mktsegment")]
+    texts = table(spark, d, "customer").select(F.col("c_custkey").alias("fqn"), F.replace(text, F.lit("#"), F.col("c_custkey").cast("string")).alias("text"))
+    return schema_history.sql_lineage(texts).drop("query_type")

@@ -47,12 +47,52 @@ def test_migrations(spark):
     ("INSERT INTO t (a, b) SELECT a, b FROM u", {"t", "u"}),
     ("UPDATE t SET a = 1, b = 2 WHERE c IN (SELECT c FROM v, w)", {"t"}),
     ("DELETE FROM t WHERE a = 1", {"t"}),
+    ("DELETE FROM t USING u WHERE t.i = u.i", {"t"}),
+    ("WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c) SELECT * FROM C JOIN d ON 1 = 1", {"d"}),
+    ("WITH a AS (SELECT * FROM b), c (x) AS MATERIALIZED (SELECT 1 FROM a, k) INSERT INTO t (p, q) SELECT * FROM c", {"b", "k", "t"}),
+    ("SELECT * FROM a x JOIN b ON x.i = b.i, e", {"a", "b", "e"}),
+    ("SELECT * FROM a, (SELECT 1 FROM z) x, d", {"a", "z", "d"}),
+    ('SELECT * FROM "My Table" t, `s`.`From x`', {"My Table", "From x"}),
+    ("SELECT * FROM a JOIN b ON a.x IS NOT DISTINCT FROM y WHERE x IS DISTINCT FROM z", {"a", "b"}),
+    ("SELECT EXTRACT(YEAR FROM COALESCE(x, now())), trim(BOTH FROM q) FROM a", {"a"}),
+    ("SELECT * FROM f(1), g, LATERAL h(g.x) i", {"g"}),
+    ("SELECT 1 FROM (a JOIN b USING (id)) LEFT JOIN ONLY s.c ON 1 = (SELECT max(i) FROM m) FOR UPDATE", {"a", "b", "c", "m"}),
+    ("SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u, v) GROUP BY x, y ORDER BY z, w", {"t", "u", "v"}),
+    ("INSERT INTO t (a) VALUES (1) ON CONFLICT (a) DO UPDATE SET a = 2", {"t"}),
+    ("", set()), ("CREATE TABLE x (a int)", set()), ("SELECT ((", set()), ("SELECT 1)) FROM t", {"t"}),
 ])
 def test_tables_of_statements(spark, text, tables):
     rows = sql_lineage(spark.createDataFrame([("f", text)], "fqn string, text string")).collect()
     assert {r["table"] for r in rows} == tables
 
 
+def test_a_target_may_be_read_too(spark):
+    rows = sql_lineage(spark.createDataFrame([("f", "INSERT INTO t SELECT * FROM t JOIN u ON 1 = 1"), ("g", None)], "fqn string, text string")).collect()
+    assert sorted((r["table"], r["access"]) for r in rows) == [("t", "READS"), ("t", "WRITES"), ("u", "READS")]
+
+
+@pytest.mark.parametrize("method, fields", [
+    ("findByAgeLessThanEqual", ["age"]), ("findByNotes", ["notes"]), ("findByOrderNumber", ["order_number"]), ("findByIndex", ["index"]),
+    ("findByNameContainingIgnoreCaseOrAgeBetween", ["name", "age"]), ("deleteByEmailAndStatusNotIn", ["email", "status"]), ("findTop3ByActiveTrueOrderByNameDesc", ["active"]),
+    ("countByLandmarkAndOriginIsNotNull", ["landmark", "origin"]), ("findByStartsAtGreaterThanAndAndroidIsFalse", ["starts_at", "android"]), ("findAll", []),
+])
+def test_fields_of_derived_queries(spark, method, fields):
+    from graphlens.functions.text import derived_query_fields
+
+    assert spark.createDataFrame([(method,)], "m string").select(derived_query_fields(F.col("m"))).first()[0] == fields
+
+
+@pytest.mark.parametrize("decorator, queue", [
+    ("@celery_app.task(bind=True, queue = 'mail')", "mail"), ('@shared_task(queue="a\'b")', "a'b"), ("worker.task", "celery"), ("@app . shared_task ( )", "celery"),
+    ("@task", None), ("@app.tasks(queue='x')", None), ("@app.task(max_queue='x')", "celery"),
+])
+def test_task_decorators(spark, decorator, queue):
+    from graphlens.operators.rules import messaging
+
+    row = spark.createDataFrame([(decorator,)], "d string").select(F.col("d").rlike(messaging.TASK_DECORATOR), F.regexp_extract("d", messaging.QUEUE_ARGUMENT, 2)).first()
+    assert (row[0] and (row[1] or messaging.DEFAULT_QUEUE)) == (queue or False)
+
+
 @pytest.mark.parametrize("pattern, group, text, found", [
     (endpoints.ROUTE_DECORATOR, 3, "router.get('/a')", "/a"), (endpoints.ROUTE_DECORATOR, 3, '@app . post ( response_model=M, path = "/b", tags=["x"])', "/b"),
     (endpoints.ROUTER_PREFIX, 1, "APIRouter(tags=['t'], prefix='/')", "/"), (endpoints.ROUTER_PREFIX, 1, 'fastapi.APIRouter(dependencies=[Depends(f)], prefix = "/v1")', "/v1"),
