@@ -78,6 +78,23 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)^{out}$"
 
 
+def path_glob_regex(pattern: str) -> str:
+    """Anchored regex of a path pattern: ``*`` and ``?`` stay in a segment, a segment ``**`` stands for any number of them."""
+    out = "^"
+    segments = pattern.split("/")
+    for k, segment in enumerate(segments):
+        last = k == len(segments) - 1
+        if segment == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+            continue
+        inside = glob_regex(segment)[len("(?s)^") : -1]
+        # In what a single segment gives, only the two wildcards are unescaped dots.
+        inside = re.sub(r"(?<!\\)\.\*", "[^/]*", inside)
+        inside = re.sub(r"(?<!\\)\.(?!\*)", "[^/]", inside)
+        out += inside + ("" if last else "/")
+    return f"(?s){out}$"
+
+
 #: A bracket class of a shell pattern: a closing bracket right after the opening one, or after ``!``, is a member.
 GLOB_CLASS = r"\[!?+\]?+[^\]]*+\]"
 

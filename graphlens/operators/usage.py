@@ -190,3 +190,20 @@ def chat_history(messages: DataFrame, project_id, node_fqn=None) -> DataFrame:
     if node_fqn is not None:
         rows = rows.filter(F.col("node_fqn") == node_fqn)
     return rows.orderBy("created_at", "id")
+
+
+# --- report cadence ----------------------------------------------------------------------
+
+
+def due_reports(configs: DataFrame, ticks: DataFrame) -> DataFrame:
+    """(id, at): the hourly ticks at which each report is due.
+
+    ``configs(id, enabled, cadence, day, hour)``: a monthly report is due on the
+    ``day`` of the month, a weekly one on the ``day`` of the week (Monday is 0),
+    both in the UTC ``hour``; any other cadence never. ``ticks(at)``: every tick
+    of the hour counts. A tick has two keys, so this is one equi-join.
+    """
+    at = F.to_utc_timestamp("at", F.current_timezone())
+    days = F.array(F.struct(F.lit("monthly").alias("cadence"), F.dayofmonth(at).alias("day")), F.struct(F.lit("weekly").alias("cadence"), F.weekday(at).alias("day")))
+    keyed = ticks.select("at", F.hour(at).alias("hour"), F.explode(days).alias("d")).select("at", "hour", "d.cadence", "d.day")
+    return configs.filter("enabled").select("id", "cadence", "day", "hour").join(keyed, ["cadence", "day", "hour"]).select("id", "at")

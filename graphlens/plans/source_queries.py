@@ -277,3 +277,16 @@ def _(spark, d):
         F.get_json_object("value", "$.weight").cast("bigint")
     )
     return back.groupBy("item").agg(F.count("*").alias("rows"), F.sum(total).alias("total"))
+
+
+FILE_PATH = "'src/' || lower(o_orderstatus) || '/' || CASE o_custkey % 3 WHEN 0 THEN 'deep/er/' WHEN 1 THEN 'in.ner/' ELSE '' END || 'f' || o_orderkey || CASE o_orderkey % 2 WHEN 0 THEN '.py' ELSE '_py' END"
+
+
+@query(
+    "flt22_find_files",
+    f"""SELECT path, modified FROM (SELECT {FILE_PATH} AS path, CAST(o_orderdate AS VARCHAR) AS modified FROM orders)
+    WHERE regexp_full_match(path, 'src/[of]/([^/]+/)*f[0-9][^/]*[.]py') ORDER BY modified DESC, path LIMIT 100""",
+)
+def _(spark, d):
+    files = table(spark, d, "orders").selectExpr(f"{FILE_PATH} AS path", "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') AS modified")
+    return symbols.find_files(files, "src/[of]/**/f[0-9]*.py")

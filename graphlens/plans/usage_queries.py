@@ -236,3 +236,20 @@ def _(spark, d):
 @query("flt18_tags_of_node", "SELECT l_orderkey AS project_id, l_returnflag AS tag_name, count(*) AS n FROM lineitem WHERE l_suppkey = 11 GROUP BY 1, 2")
 def _(spark, d):
     return table(spark, d, "lineitem").filter("l_suppkey = 11").groupBy(F.col("l_orderkey").alias("project_id"), F.col("l_returnflag").alias("tag_name")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "fn_report_cadence",
+    """WITH c AS (SELECT c_custkey AS id, c_nationkey <> 3 AS enabled, CASE c_custkey % 3 WHEN 0 THEN 'monthly' WHEN 1 THEN 'weekly' ELSE 'off' END AS cadence,
+      CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 28 + 1 ELSE c_custkey % 7 END AS day, c_custkey % 24 AS hour FROM customer),
+    t AS (SELECT DISTINCT date_trunc('hour', ts) AS at_hour FROM events)
+    SELECT id, CAST(at_hour AS VARCHAR) AS tick FROM c JOIN t ON enabled AND hour = extract(hour FROM at_hour)
+      AND (cadence = 'monthly' AND day = extract(day FROM at_hour) OR cadence = 'weekly' AND day = extract(isodow FROM at_hour) - 1)""",
+)
+def _(spark, d):
+    configs = table(spark, d, "customer").selectExpr(
+        "c_custkey AS id", "c_nationkey <> 3 AS enabled", "CASE c_custkey % 3 WHEN 0 THEN 'monthly' WHEN 1 THEN 'weekly' ELSE 'off' END AS cadence",
+        "CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 28 + 1 ELSE c_custkey % 7 END AS int) AS day", "CAST(c_custkey % 24 AS int) AS hour",
+    )
+    ticks = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("at")).distinct()
+    return usage.due_reports(configs, ticks).select("id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("tick"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlens.functions.text import path_glob_regex
 from graphlens.graph import Graph
 
 INDEX_SCHEMA = (
@@ -76,6 +77,12 @@ def node_source(graph: Graph, files: DataFrame, longest: int = 200) -> DataFrame
     )
 
 
+def find_files(files: DataFrame, pattern: str, limit: int | None = 100) -> DataFrame:
+    """(path, modified) of the files whose path matches, newest first and then by path; ``files(path, modified)``."""
+    hits = files.filter(F.col("path").rlike(path_glob_regex(pattern))).select("path", "modified")
+    return hits if limit is None else hits.orderBy(F.desc("modified"), "path").limit(limit)
+
+
 def grep(files: DataFrame, pattern: str, path_regex: str = ".*") -> DataFrame:
     """(path, line_no, line) of source lines that match."""
     hits = source_lines(files.filter(F.col("path").rlike(path_regex)))
