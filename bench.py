@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from graphlens.plans import catalog  # noqa: E402
+from graphlens.plans.derived import stored_shop_graph  # noqa: E402
 
 HEADLINE = [
     "agg1_class_fan_metrics", "agg2_class_depends_on", "agg3_module_imports", "agg27_neighbourhood_hash", "g1_impact_downstream",
@@ -30,7 +31,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
-    seconds = {}
+    # The graph is loaded once and then asked, so loading has a figure of its own, which counts in the total.
+    begin = time.perf_counter()
+    stored_shop_graph(spark, folder)
+    seconds = {"load_stored_graph": round(time.perf_counter() - begin, 3)}
     for name in HEADLINE:
         begin = time.perf_counter()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
