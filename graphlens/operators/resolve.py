@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.scale import first_by, last_by, materialize, overlap_join
 from graphlens.functions.text import bare_types, owner_name, scip_descriptor_kind, scip_symbol_to_fqn, short_name
 from graphlens.graph import Graph, edge_rows
+from graphlens.operators.structure import chains
 from graphlens.schema import HIGH, LOW, MEDIUM
 
 # Node kinds a symbol hint may bind to by position.
@@ -332,20 +331,10 @@ def method_bridges(graph: Graph, pairs: DataFrame) -> DataFrame:
     """
     functions = graph.of_kind("FUNCTION").select(F.col("fqn").alias("dst"), "name")
     contained = graph.edges_of("CONTAINS").select("src", "dst", "seq").join(functions, "dst")
-    parents = materialize(
-        first_by(graph.edges_of("INHERITS").select("src", "dst", "seq"), ["src"], ["seq", "dst"], ["dst"]), "parents"
-    )
-    layers = [materialize(pairs.select("impl", F.col("impl").alias("cls"), F.lit(0).alias("depth")).distinct(), "lineage")]
-    for depth in count(1):  # classes already in a lineage are left out, so it ends, rings included
-        step = (
-            layers[-1].join(parents, F.col("cls") == F.col("src")).select("impl", F.col("dst").alias("cls"), F.lit(depth).alias("depth"))
-            .join(_union(layers).select("impl", "cls"), ["impl", "cls"], "left_anti")
-        )
-        layer = materialize(step, "lineage")
-        if layer.isEmpty():
-            break
-        layers.append(layer)
-    served = _union(layers).join(contained.withColumnRenamed("src", "cls"), "cls")
+    parents = first_by(graph.edges_of("INHERITS").select("src", "dst", "seq"), ["src"], ["seq", "dst"], ["dst"])
+    lineage = chains(parents.select(F.col("src").alias("child"), F.col("dst").alias("parent")), pairs.select(F.col("impl").alias("seed")))
+    lineage = lineage.select(F.col("seed").alias("impl"), F.col("node").alias("cls"), F.col("up").alias("depth"))
+    served = lineage.join(contained.withColumnRenamed("src", "cls"), "cls")
     served = first_by(served, ["impl", "name"], ["depth", "seq", "dst"], ["dst"]).withColumnRenamed("dst", "impl_method")
     offered = last_by(contained.withColumnRenamed("src", "iface"), ["iface", "name"], ["seq", "dst"], ["dst"])
     bridges = pairs.distinct().join(offered, "iface").join(served, ["impl", "name"]).select(F.col("dst").alias("src"), F.col("impl_method").alias("dst")).distinct()

@@ -12,6 +12,8 @@ from graphlens.functions.scale import first_by, materialize, numbered
 from graphlens.functions.text import transaction_name
 from graphlens.graph import Graph
 from graphlens.operators.adjacency import Hops, StoredGraph
+from graphlens.operators.structure import chains, edges_within, strong_components
+from graphlens.operators.structure import union as _union
 from graphlens.schema import literal_map, node_label
 
 # The edge kinds each question follows.
@@ -92,13 +94,6 @@ def reach(hops: DataFrame | Hops, seeds: DataFrame, max_depth: int, include_star
     return _union(layers if include_start else layers[1:] or [layers[0].limit(0)])
 
 
-def _union(layers: list[DataFrame]) -> DataFrame:
-    out = layers[0]
-    for layer in layers[1:]:
-        out = out.unionByName(layer)
-    return out
-
-
 def between(edges: DataFrame, fqns: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges whose both ends are among ``fqns``; run ahead of a join that fans out."""
     known = fqns.select("fqn").distinct()
@@ -228,12 +223,7 @@ def trace_route(graph: Graph, fqns: DataFrame, max_depth: int = 5) -> tuple[Data
     edges = graph.edges.filter(F.col("kind").isin(*TRACE)).select(
         F.col("src").alias("source"), F.col("dst").alias("target"), F.col("kind").alias("type")
     ).distinct()
-    edges = between(edges, members.select(F.col("node").alias("fqn")), "source", "target")
-    inner = materialize(
-        members.withColumnRenamed("node", "source").join(edges, "source")
-        .join(members.withColumnRenamed("node", "target"), ["seed", "target"], "left_semi"),
-        "inner",
-    )
+    inner = materialize(edges_within(members, edges, "seed", "source", "target"), "inner")
     hidden = inner.filter("type = 'IMPLEMENTS'").select("seed", F.col("source").alias("node")).distinct()
     accessors = inner.filter(F.col("type").isin("READS", "WRITES")).select(
         "seed", F.col("source").alias("node"), F.lit(True).alias("accessor")
@@ -348,15 +338,8 @@ def ancestry(graph: Graph, fqns: DataFrame) -> DataFrame:
     """
     parent_kind = graph.nodes.select(F.col("fqn").alias("src"), F.when(F.col("kind") == "MODULE", 0).when(F.col("kind") == "CLASS", 1).otherwise(2).alias("rank"))
     parents = graph.edges_of("CONTAINS").select("src", "dst").distinct().join(parent_kind, "src")
-    one = materialize(first_by(parents, ["dst"], ["rank", "src"], ["src"]), "parents")
-    layers = [materialize(fqns.select(F.col("fqn").alias("seed"), F.col("fqn").alias("node"), F.lit(0).alias("up")), "chain")]
-    for up in count(1):
-        step = layers[-1].join(one, F.col("node") == F.col("dst")).select("seed", F.col("src").alias("node"), F.lit(up).alias("up"))
-        layer = materialize(step.join(_union(layers).select("seed", "node"), ["seed", "node"], "left_anti"), "chain")
-        if layer.isEmpty():
-            break
-        layers.append(layer)
-    chain = _union(layers)
+    one = first_by(parents, ["dst"], ["rank", "src"], ["src"]).select(F.col("dst").alias("child"), F.col("src").alias("parent"))
+    chain = chains(one, fqns.select(F.col("fqn").alias("seed")))
     top = chain.groupBy("seed").agg(F.max("up").alias("top"))
     return chain.join(top, "seed").select("seed", (F.col("top") - F.col("up")).alias("position"), "node")
 
@@ -364,21 +347,15 @@ def ancestry(graph: Graph, fqns: DataFrame) -> DataFrame:
 # --- cycles ------------------------------------------------------------------------------
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges that can lie on a cycle: ends without a way in or a way out are peeled off."""
-    core = materialize(edges, "core")
-    size = core.count()
-    while True:
-        sources, targets = core.select("src").distinct(), core.select("dst").distinct()
-        kept = core.join(targets.withColumnRenamed("dst", "src"), "src", "left_semi").join(
-            sources.withColumnRenamed("src", "dst"), "dst", "left_semi"
-        )
-        core = materialize(kept.select(*edges.columns), "core")
-        left = core.count()
-        if left == size:
-            break
-        size = left
-    return core
+def _walks(first: DataFrame, hop: DataFrame, longest: int, forward: bool = True) -> list[DataFrame]:
+    """Walks of 1 to ``longest`` edges that use none twice, grown from ``first`` at their end or at their start."""
+    walks = [first]
+    while len(walks) < longest:
+        step = walks[-1].join(hop, F.col("end" if forward else "start") == F.col("src" if forward else "dst")).filter(~F.array_contains("used", F.col("id")))
+        node = F.col("dst" if forward else "src")
+        grown = [F.col("start"), node.alias("end"), F.array_append("cycle", node)] if forward else [node.alias("start"), F.col("end"), F.array_prepend("cycle", node)]
+        walks.append(materialize(step.select(*grown[:2], grown[2].alias("cycle"), F.array_append("used", F.col("id")).alias("used")), "walk"))
+    return walks
 
 
 def closed_trails(
@@ -386,36 +363,30 @@ def closed_trails(
 ) -> DataFrame:
     """(cycle, cycle_length): closed walks that use no edge twice, every rotation its own row.
 
-    ``edges(src, dst, edge_id)``. A walk keeps its edge ids; half-way pruning by
-    the distance back to the start is left to the cyclic core.
+    ``edges(src, dst, edge_id)``; lengths from 2 on. Only edges inside strong
+    components are walked. A trail is a half that leaves its start and a half
+    that returns to it, joined on both ends, so no walk is stored that is longer
+    than half of the bound.
     """
-    core = cyclic_core(edges.select("src", "dst", "edge_id"))
-    first = core.select(
-        F.col("src").alias("start"), F.col("dst").alias("end"),
-        F.array("src", "dst").alias("cycle"), F.array("edge_id").alias("used"),
-    )
-    if starts is not None:
-        first = first.join(starts.select(F.col("fqn").alias("start")).distinct(), "start", "left_semi")
-    walk = materialize(first, "walk")
+    parts = strong_components(edges)
+    core = edges.select("src", "dst", "edge_id").join(parts.withColumnRenamed("node", "src"), "src", "left").join(
+        parts.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst", "left"
+    ).filter("src = dst OR component = other")
+    core = materialize(core.select("src", "dst", F.col("edge_id").alias("id")), "core")
+    first = core.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("cycle"), F.array("id").alias("used"))
+    longest = -(-max_length // 2)
+    if starts is None:
+        leaving = returning = _walks(first, core, longest)
+    else:
+        known = starts.select("fqn").distinct()
+        leaving = _walks(first.join(known.withColumnRenamed("fqn", "start"), "start", "left_semi"), core, longest)
+        returning = _walks(first.join(known.withColumnRenamed("fqn", "end"), "end", "left_semi"), core, max_length // 2, forward=False)
     closed = []
-    hop = core.select(F.col("src").alias("end"), F.col("dst").alias("next"), F.col("edge_id").alias("id"))
-    for length in range(2, max_length + 1):
-        if length >= min_length:  # the last step is a join on both ends, so open walks of full length are never made
-            back = hop.select("end", F.col("next").alias("start"), "id")
-            last = walk.join(back, ["start", "end"]).filter(~F.array_contains(F.col("used"), F.col("id")))
-            closed.append(materialize(last.select(F.array_append("cycle", F.col("start")).alias("cycle"), F.lit(length).alias("cycle_length")), "closed"))
-        if length == max_length:
-            break
-        longer = (
-            walk.join(hop, "end").filter(~F.array_contains(F.col("used"), F.col("id")))
-            .select(
-                "start", F.col("next").alias("end"), F.array_append("cycle", F.col("next")).alias("cycle"),
-                F.array_append("used", F.col("id")).alias("used"),
-            )
-        )
-        walk = materialize(longer, "walk")
-        if walk.isEmpty():
-            break
+    for length in range(min_length, max_length + 1):
+        out = leaving[-(-length // 2) - 1]
+        back = returning[length // 2 - 1].select(F.col("end").alias("start"), F.col("start").alias("end"), F.col("cycle").alias("rest"), F.col("used").alias("more"))
+        met = out.join(back, ["start", "end"]).filter(~F.arrays_overlap("used", "more"))
+        closed.append(met.select(F.concat("cycle", F.expr("slice(rest, 2, size(rest))")).alias("cycle"), F.lit(length).alias("cycle_length")))
     return _union(closed).distinct()
 
 
@@ -429,6 +400,11 @@ def cycles(graph: Graph, level: str = "module", limit: int | None = 50) -> DataF
     return found if limit is None else found.orderBy("cycle_length", F.concat_ws(",", "cycle")).limit(limit)
 
 
+def cycle_count(graph: Graph) -> DataFrame:
+    """Number of circular dependencies between modules, as the metrics page counts them."""
+    return cycles(graph, "module", limit=None).agg(F.count("*").alias("circular_dependency_count"))
+
+
 def _named(found: DataFrame, graph: Graph) -> DataFrame:
     """Replace fqns by names inside each cycle; a cycle is bounded, so is its group."""
     names = graph.nodes.select(F.col("fqn").alias("node"), "name")

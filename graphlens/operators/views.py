@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.functions.scale import materialize, numbered
 from graphlens.graph import Graph
 from graphlens.operators.enrich import class_modules, first_known, method_owners
-from graphlens.operators.traverse import between
+from graphlens.operators.structure import edges_within
 from graphlens.schema import NODE_SCHEMA, node_label
 
 # Annotations that keep a function alive, link kinds of the architecture view.
@@ -304,12 +303,8 @@ def transaction_edges(graph: Graph, transactions: DataFrame) -> DataFrame:
     members = graph.edges_of("INCLUDES").join(transactions.select(F.col("fqn").alias("src")), "src", "left_semi").select(
         F.col("src").alias("transaction"), F.col("dst").alias("member")
     ).distinct()
-    edges = between(graph.edges_of(*FLOW_EDGES).select("src", "dst", "kind").distinct(), members.select(F.col("member").alias("fqn")))
-    return (
-        members.withColumnRenamed("member", "src").join(edges, "src")
-        .join(members.withColumnRenamed("member", "dst"), ["transaction", "dst"], "left_semi")
-        .select("transaction", "src", "dst", "kind")
-    )
+    edges = graph.edges_of(*FLOW_EDGES).select("src", "dst", "kind").distinct()
+    return edges_within(members.withColumnRenamed("member", "node"), edges, "transaction")
 
 
 def affected_transactions(graph: Graph, fqns: DataFrame) -> DataFrame:
@@ -331,65 +326,51 @@ def tables_touched(trace_edges: DataFrame) -> DataFrame:
 # --- hashes ------------------------------------------------------------------------------
 
 
-def digest_by_key(rows: DataFrame) -> DataFrame:
-    """(key, digest) of ``rows(key, part, prefix, item)`` in (part, item) order.
-
-    A digest is sequential by nature, so one key is one stream; rows arrive
-    sorted and pass through with constant memory, whatever the size of the key.
-    """
+#: Neighbours whose names are joined before they are hashed.
+RANGE = 256
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, digest, last = None, None, None
-        for batch in batches:
-            out = []
-            for k, prefix, separator, item in zip(batch["key"], batch["prefix"], batch["separator"], batch["item"]):
-                if k != key:
-                    if digest is not None:
-                        out.append((key, digest.hexdigest()))
-                    key, digest, last = k, hashlib.sha256(), None
-                if prefix is not None:
-                    digest.update(prefix.encode())
-                    last = None
-                if item is not None:
-                    digest.update((item if last is None else separator + item).encode())
-                    last = item
-            yield pd.DataFrame(out, columns=["key", "digest"])
-        if digest is not None:
-            yield pd.DataFrame([(key, digest.hexdigest())], columns=["key", "digest"])
-
-    ordered = (
-        rows.withColumn("separator", F.lit(",")).repartition("key")
-        .sortWithinPartitions("key", "part", F.col("item").asc_nulls_first())
-        .select("key", "prefix", "separator", "item")
-    )
-    return ordered.mapInPandas(digests, "key string, digest string")
 
+def range_texts(rows: DataFrame, size: int = RANGE) -> DataFrame:
+    """(key, part, text) of ``rows(key, part, item)``: the sorted items joined by commas, or a tree of digests over them.
 
-def neighbourhood_hashes(graph: Graph) -> DataFrame:
-    """(fqn, graph_hash): SHA-256 of ``fan_in:fan_out:sorted neighbours`` for every calling node."""
+    Up to ``size`` items are the text itself. More are cut into ranges of
+    ``size``, each of which becomes the SHA-256 of its joined items, and so on
+    until one range is left. A hub spreads over its ranges, and no group has more
+    than ``size`` rows; repeated items count.
+    """
+    placed = numbered(rows.select("key", "part", "item"), ["key", "part"], ["item"], "at", start=0)
+    texts = placed.groupBy("key", "part", F.floor(F.col("at") / size).alias("run")).agg(F.array_join(F.sort_array(F.collect_list("item")), ",").alias("text"))
+    texts = materialize(texts, "texts")
+    while not texts.filter("run > 0").isEmpty():
+        last = texts.groupBy("key", "part").agg(F.max("run").alias("last"))
+        entry = F.when(F.col("last") > 0, F.sha2("text", 256)).otherwise(F.col("text"))
+        above = texts.join(last, ["key", "part"]).select("key", "part", F.floor(F.col("run") / size).alias("next"), F.struct("run", entry.alias("text")).alias("entry"))
+        merged = above.groupBy("key", "part", F.col("next").alias("run")).agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+        texts = materialize(merged.select("key", "part", "run", F.array_join("entries.text", ",").alias("text")), "texts")
+    return texts.select("key", "part", "text")
+
+
+def neighbourhood_hashes(graph: Graph, size: int = RANGE) -> DataFrame:
+    """(fqn, graph_hash): SHA-256 of ``fan_in:fan_out:neighbours`` for every calling node, neighbours as in :func:`range_texts`."""
     pairs = graph.edges_of("CALLS").select("src", "dst").distinct()
     into = pairs.select(F.col("dst").alias("key"), F.col("src").alias("item"))
     out = pairs.select(F.col("src").alias("key"), F.col("dst").alias("item"))
-    counts = distinct_fans(graph).select(
-        F.col("fqn").alias("key"), F.lit(0).alias("part"),
-        F.concat(F.col("fan_in").cast("string"), F.lit(":"), F.col("fan_out").cast("string"), F.lit(":")).alias("prefix"),
-        F.lit(None).cast("string").alias("item"),
-    )
-    items = into.unionByName(out).select("key", F.lit(1).alias("part"), F.lit(None).cast("string").alias("prefix"), "item")
-    return digest_by_key(counts.unionByName(items)).select(F.col("key").alias("fqn"), F.col("digest").alias("graph_hash"))
-
-
-def trace_hashes(trace_nodes: DataFrame) -> DataFrame:
-    """(seed, trace_hash): SHA-256 of ``centre:sorted upstream:sorted downstream``."""
-    none = F.lit(None).cast("string")
-    seeds = trace_nodes.select("seed").distinct()
-    head = seeds.select(F.col("seed").alias("key"), F.lit(0).alias("part"), F.concat("seed", F.lit(":")).alias("prefix"), none.alias("item"))
-    middle = seeds.select(F.col("seed").alias("key"), F.lit(2).alias("part"), F.lit(":").alias("prefix"), none.alias("item"))
-    items = trace_nodes.select(
-        F.col("seed").alias("key"), F.when(F.col("direction") == "upstream", 1).otherwise(3).alias("part"), none.alias("prefix"), F.col("node").alias("item")
-    )
-    rows = head.unionByName(middle).unionByName(items)
-    return digest_by_key(rows).select(F.col("key").alias("seed"), F.col("digest").alias("trace_hash"))
+    texts = range_texts(into.unionByName(out).withColumn("part", F.lit(0)), size)
+    fans = distinct_fans(graph).select(F.col("fqn").alias("key"), "fan_in", "fan_out")
+    text = F.concat_ws(":", F.col("fan_in").cast("string"), F.col("fan_out").cast("string"), "text")
+    return fans.join(texts, "key").select(F.col("key").alias("fqn"), F.sha2(text, 256).alias("graph_hash"))
+
+
+def trace_hashes(trace_nodes: DataFrame, size: int = RANGE) -> DataFrame:
+    """(seed, trace_hash): SHA-256 of ``centre:upstream:downstream``, both as in :func:`range_texts`."""
+    upstream = F.col("direction") == "upstream"
+    texts = range_texts(trace_nodes.select(F.col("seed").alias("key"), F.when(upstream, 0).otherwise(1).alias("part"), F.col("node").alias("item")), size)
+
+    def side(part):
+        return F.coalesce(F.max(F.when(F.col("part") == part, F.col("text"))), F.lit(""))
+
+    both = texts.groupBy(F.col("key").alias("seed")).agg(side(0).alias("up"), side(1).alias("down"))
+    return both.select("seed", F.sha2(F.concat_ws(":", "seed", "up", "down"), 256).alias("trace_hash"))
 
 
 # --- comparing two graphs ----------------------------------------------------------------

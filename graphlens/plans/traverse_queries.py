@@ -130,22 +130,22 @@ def _suppliers(graph):
 @query("g4_trace_nodes", f"WITH {SHOP}, {TRACE_CTE} SELECT seed, direction, node, name, kind, depth, layer, sequence FROM shown")
 def _(spark, d):
     g = shop_graph(spark, d)
-    nodes, _edges = traverse.trace_route(g, _suppliers(g), 2)
+    nodes, _edges = traverse.trace_route(g, _suppliers(g))
     return nodes
 
 
 @query(
     "g4_trace_edges",
-    f"""WITH {SHOP}, {TRACE_CTE} SELECT c.seed, e.src AS source, e.dst AS target, e.kind AS type,
+    f"""WITH {SHOP}, {TRACE_CTE}, near AS MATERIALIZED (SELECT seed, src, dst, kind FROM centre JOIN t_edges ON src = seed
+      UNION ALL SELECT seed, src, dst, kind FROM centre JOIN t_edges ON dst = seed WHERE src <> seed)
+    SELECT e.seed, e.src AS source, e.dst AS target, e.kind AS type,
       coalesce(a.sequence, b.sequence) AS sequence
-    FROM (SELECT seed, e.* FROM centre JOIN t_edges e ON e.src = seed UNION ALL SELECT seed, e.* FROM centre JOIN t_edges e ON e.dst = seed AND e.src <> seed) e
-    JOIN centre c ON c.seed = e.seed
-    LEFT JOIN shown a ON a.seed = c.seed AND a.node = e.dst AND a.direction = 'downstream'
-    LEFT JOIN shown b ON b.seed = c.seed AND b.node = e.src AND b.direction = 'upstream'""",
+    FROM near e LEFT JOIN shown a ON a.seed = e.seed AND a.node = e.dst AND a.direction = 'downstream'
+    LEFT JOIN shown b ON b.seed = e.seed AND b.node = e.src AND b.direction = 'upstream'""",
 )
 def _(spark, d):
     g = shop_graph(spark, d)
-    _nodes, edges = traverse.trace_route(g, _suppliers(g), 2)
+    _nodes, edges = traverse.trace_route(g, _suppliers(g))
     return edges
 
 
@@ -155,7 +155,7 @@ def _(spark, d):
 )
 def _(spark, d):
     g = shop_graph(spark, d)
-    nodes, _edges = traverse.trace_route(g, _suppliers(g), 2)
+    nodes, _edges = traverse.trace_route(g, _suppliers(g))
     return nodes.groupBy("direction", "sequence").agg(F.count("*").alias("seeds"))
 
 
@@ -249,6 +249,18 @@ def _(spark, d):
     return found.select(F.concat_ws(",", "cycle").alias("cycle"), "cycle_length")
 
 
+@query(
+    "agg13_circular_dependency_count",
+    f"""WITH RECURSIVE {REGION_DEP},
+    walk(start, last, cycle, used, len) AS (SELECT src, dst, [src, dst], [src || '>' || dst], 1 FROM dep
+      UNION ALL SELECT start, e.dst, list_append(cycle, e.dst), list_append(used, e.src || '>' || e.dst), len + 1
+      FROM walk w JOIN dep e ON e.src = w.last WHERE len < 6 AND NOT list_contains(used, e.src || '>' || e.dst))
+    SELECT count(DISTINCT array_to_string(cycle, ',')) AS circular_dependency_count FROM walk WHERE start = last AND len >= 2""",
+)
+def _(spark, d):
+    return traverse.cycle_count(Graph(shop_nodes(spark, d), region_imports(spark, d)))
+
+
 def region_imports(spark, d):
     """IMPORTS between regions: from a customer's region to the regions of its suppliers."""
     region, nation = table(spark, d, "region"), table(spark, d, "nation")

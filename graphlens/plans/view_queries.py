@@ -327,9 +327,10 @@ def _(spark, d):
 
 @query(
     "jn39_transaction_edges",
-    """WITH inc AS (SELECT DISTINCT l_orderkey AS o, 's:' || l_suppkey AS m FROM lineitem UNION SELECT DISTINCT o_orderkey, 'c:' || o_custkey FROM orders),
-    calls AS (SELECT DISTINCT 'c:' || o_custkey AS src, 's:' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-    SELECT 'o:' || a.o AS transaction, src, dst, 'CALLS' AS kind FROM inc a JOIN inc b ON b.o = a.o JOIN calls ON src = a.m AND dst = b.m""",
+    """WITH inc AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, 's:' || l_suppkey AS m FROM lineitem UNION SELECT DISTINCT o_orderkey, 'c:' || o_custkey FROM orders),
+    calls AS MATERIALIZED (SELECT DISTINCT 'c:' || o_custkey AS src, 's:' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    pair AS MATERIALIZED (SELECT a.o, a.m AS src, b.m AS dst FROM inc a JOIN inc b ON b.o = a.o)
+    SELECT 'o:' || o AS transaction, src, dst, 'CALLS' AS kind FROM pair JOIN calls USING (src, dst)""",
 )
 def _(spark, d):
     g = shop_graph(spark, d)
@@ -343,11 +344,18 @@ def _(spark, d):
     return views.affected_transactions(g, g.of_kind("FUNCTION"))
 
 
+#: The text of ``placed(key, part, item)``; digests of ranges of 256 sorted items where there are more.
+RANGE_TEXTS = """numbered AS (SELECT *, (row_number() OVER (PARTITION BY key, part ORDER BY item) - 1) // 256 AS run FROM placed),
+    ranges AS (SELECT key, part, run, string_agg(item, ',' ORDER BY item) AS text FROM numbered GROUP BY 1, 2, 3),
+    texts AS (SELECT key, part, CASE WHEN count(*) = 1 THEN min(text) ELSE string_agg(sha256(text), ',' ORDER BY run) END AS text FROM ranges GROUP BY 1, 2)"""
+
+
 @query(
     "agg27_neighbourhood_hash",
     f"""WITH {SHOP_EDGES}, p AS (SELECT DISTINCT src, dst FROM g_edges WHERE kind = 'CALLS'),
-    x AS (SELECT dst AS fqn, src AS n, 1 AS i, 0 AS o FROM p UNION ALL SELECT src, dst, 0, 1 FROM p)
-    SELECT fqn, sha256(CAST(sum(i) AS BIGINT) || ':' || CAST(sum(o) AS BIGINT) || ':' || string_agg(n, ',' ORDER BY n)) AS graph_hash FROM x GROUP BY fqn""",
+    x AS (SELECT dst AS fqn, src AS n, 1 AS i, 0 AS o FROM p UNION ALL SELECT src, dst, 0, 1 FROM p),
+    placed AS (SELECT fqn AS key, 0 AS part, n AS item FROM x), {RANGE_TEXTS}, fans AS (SELECT fqn, sum(i)::BIGINT AS i, sum(o)::BIGINT AS o FROM x GROUP BY fqn)
+    SELECT fqn, sha256(i || ':' || o || ':' || text) AS graph_hash FROM fans JOIN texts ON key = fqn""",
 )
 def _(spark, d):
     return views.neighbourhood_hashes(shop_graph(spark, d))
@@ -355,14 +363,14 @@ def _(spark, d):
 
 def _supplier_trace(spark, d):
     g = shop_graph(spark, d)
-    return traverse.trace_route(g, g.of_kind("FUNCTION").filter("language = 'sql'").select("fqn"), 2)
+    return traverse.trace_route(g, g.of_kind("FUNCTION").filter("language = 'sql'").select("fqn"))
 
 
 @query(
     "agg28_trace_hash",
-    f"""WITH {SHOP}, {TRACE_CTE}, h AS (SELECT seed, coalesce(string_agg(node, ',' ORDER BY node) FILTER (direction = 'upstream'), '') AS up,
-      coalesce(string_agg(node, ',' ORDER BY node) FILTER (direction = 'downstream'), '') AS down FROM shown GROUP BY seed)
-    SELECT seed, sha256(seed || ':' || up || ':' || down) AS trace_hash FROM h""",
+    f"""WITH {SHOP}, {TRACE_CTE}, placed AS (SELECT seed AS key, direction AS part, node AS item FROM shown), {RANGE_TEXTS}
+    SELECT key AS seed, sha256(key || ':' || coalesce(max(text) FILTER (part = 'upstream'), '') || ':' || coalesce(max(text) FILTER (part = 'downstream'), '')) AS trace_hash
+    FROM texts GROUP BY key""",
 )
 def _(spark, d):
     return views.trace_hashes(_supplier_trace(spark, d)[0])
