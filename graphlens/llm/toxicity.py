@@ -137,12 +137,16 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``doc_id, text, toxic, fold, calibrates`` of at most ``rows`` labelled documents outside the held-out third."""
+    """``doc_id, text, toxic, fold, calibrates`` of at most ``rows`` labelled documents outside the held-out third.
+
+    A repeated id counts once, with its smallest text.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded by ``rows``, hence broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).withColumn("calibrates", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(4)) == 0)
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return one.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).withColumn("calibrates", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(4)) == 0)
 
 
 def _lexicons(train: DataFrame) -> list[dict[str, float]]:

@@ -48,6 +48,7 @@ def tiles(table: pa.Table, dim: int) -> list["Tile"]:
 class Tile:
     """Vectors of a tile, their int8 form, step sizes, and exact error lengths."""
 
+    @np.errstate(over="ignore")
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.exact = ids, vectors
         top = np.abs(self.exact).max(1)
@@ -61,11 +62,20 @@ class Tile:
 
 
 def distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Euclidean distances, dimension by dimension in order, so that the sum does not depend on the tile."""
+    """Euclidean distances, dimension by dimension in order, so that the sum does not depend on the tile.
+
+    Differences whose squares would leave the range of doubles are scaled by a power of two, which loses no digit.
+    """
+    top = np.abs(rows - query).max(1, initial=0)
+    power = np.where((top > 2.0**500) | (top < 2.0**-500), np.frexp(top)[1], 0)
     total = np.zeros(len(rows))
     for k in range(rows.shape[1]):
-        total += np.square(rows[:, k] - query[k])
-    return np.sqrt(total)
+        total += np.square(np.ldexp(rows[:, k] - query[k], -power))
+    return np.ldexp(np.sqrt(total), power)
+
+
+#: Distances below this lose digits when they are squared.
+_TINY = 1e-150
 
 
 def search_cell(queries: list[Tile], candidates: list[Tile], nearest: int = NEAREST):
@@ -73,27 +83,29 @@ def search_cell(queries: list[Tile], candidates: list[Tile], nearest: int = NEAR
     for tile in queries:
         heaps: list[list] = [[] for _ in tile.ids]
         limit = np.full(len(tile.ids), np.inf)
-        for other in candidates:
-            dots = (tile.whole @ other.whole.T).astype(np.float64) * tile.step[:, None] * other.step[None, :]
-            scale = tile.square[:, None] + other.square[None, :]
-            rough = np.sqrt(np.maximum(scale - 2 * dots, 0))
-            slack = tile.error[:, None] + other.error[None, :] + 1e-7 * np.sqrt(scale)
-            own = tile.ids[:, None] == other.ids[None, :]
-            if len(other.ids) > nearest:
-                upper = np.where(own, np.inf, rough + slack)
-                limit = np.minimum(limit, np.partition(upper, nearest - 1, axis=1)[:, nearest - 1])
-            hit, cand = np.nonzero((rough - slack <= limit[:, None]) & ~own)
-            for row, part in zip(*_grouped(hit, cand)):
-                found = distances(tile.exact[row], other.exact[part])
-                heap = heaps[row]
-                for d, i in zip(found.tolist(), other.ids[part].tolist()):
-                    entry = (-d, -i)
-                    if len(heap) < nearest:
-                        heapq.heappush(heap, entry)
-                    elif entry > heap[0]:
-                        heapq.heapreplace(heap, entry)
-                if len(heap) == nearest:
-                    limit[row] = min(limit[row], -heap[0][0])
+        with np.errstate(over="ignore", invalid="ignore"):
+            for other in candidates:
+                dots = (tile.whole @ other.whole.T).astype(np.float64) * tile.step[:, None] * other.step[None, :]
+                scale = tile.square[:, None] + other.square[None, :]
+                rough = np.sqrt(np.maximum(scale - 2 * dots, 0))
+                slack = tile.error[:, None] + other.error[None, :] + 1e-7 * np.sqrt(scale) + _TINY
+                bounded = np.isfinite(rough) & np.isfinite(slack)  # others have squares beyond the doubles and are recomputed
+                own = tile.ids[:, None] == other.ids[None, :]
+                if len(other.ids) > nearest:
+                    upper = np.where(own | ~bounded, np.inf, rough + slack)
+                    limit = np.minimum(limit, np.partition(upper, nearest - 1, axis=1)[:, nearest - 1])
+                hit, cand = np.nonzero((~bounded | (rough - slack <= limit[:, None])) & ~own)
+                for row, part in zip(*_grouped(hit, cand)):
+                    found = distances(tile.exact[row], other.exact[part])
+                    heap = heaps[row]
+                    for d, i in zip(found.tolist(), other.ids[part].tolist()):
+                        entry = (-d, -i)
+                        if len(heap) < nearest:
+                            heapq.heappush(heap, entry)
+                        elif entry > heap[0]:
+                            heapq.heapreplace(heap, entry)
+                    if len(heap) == nearest:
+                        limit[row] = min(limit[row], -heap[0][0])
         for query, heap in zip(tile.ids.tolist(), heaps):
             for d, i in heap:
                 yield query, -i, -d
