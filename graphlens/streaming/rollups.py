@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from graphlens.functions.scale import last_by
+from graphlens.functions.scale import last_by, materialize
 from graphlens.operators.usage import DEDUP_HOURS
 
 
@@ -100,26 +99,66 @@ def suppress_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def suppress_batch(events: DataFrame) -> DataFrame:
-    """The same rule over a table in time order.
+def suppress_batch(events: DataFrame, slot_minutes: int = 10) -> DataFrame:
+    """The same rule over a whole table; a key of any size is spread over time slots.
 
-    Whether an event is accepted depends on the one accepted before it, so a key
-    is one sorted stream; rows pass through with one timestamp of memory.
+    An event after a pause of more than a day is accepted whatever came before, so
+    such events start runs. Inside a run the event accepted after ``t`` is the first
+    one later than ``t`` plus a day: every event gets that pointer, and pointers of
+    pointers reach all accepted events of all runs in log2(longest run) rounds.
+    Slots of a key are summed up in one row each, so a window over a key sees as
+    many rows as its time span has slots, and a window over events only one slot.
+    Repeated events count once, NULL subjects and triggers are keys of their own,
+    and events without a time take no part.
     """
-    hours = DEDUP_HOURS
-    schema = events.select("subject", "trigger", "sent_at").schema
-
-    def accept(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gap, key, last = datetime.timedelta(hours=hours), None, None
-        for chunk in chunks:
-            keep = []
-            for subject, trigger, at in zip(chunk["subject"], chunk["trigger"], chunk["sent_at"]):
-                if (subject, trigger) != key:
-                    key, last = (subject, trigger), None
-                accepted = last is None or at - last > gap
-                keep.append(accepted)
-                last = at if accepted else last
-            yield chunk[keep]
-
-    rows = events.select("subject", "trigger", "sent_at").distinct()
-    return rows.repartition("subject", "trigger").sortWithinPartitions("subject", "trigger", "sent_at").mapInPandas(accept, schema)
+    kinds = dict(events.dtypes)
+    day, width = DEDUP_HOURS * 3_600_000_000, slot_minutes * 60_000_000
+    if day % width:
+        raise ValueError("a slot has to divide the suppression time")
+    key, slot = ["subject", "trigger"], F.floor(F.col("at") / width)
+    times = events.filter("sent_at IS NOT NULL").select(*key, F.unix_micros(F.col("sent_at").cast("timestamp")).alias("at")).distinct()
+    times = materialize(times.withColumn("slot", slot), "times")
+    earlier = Window.partitionBy(*key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = times.groupBy(*key, "slot").agg(F.max("at").alias("last")).withColumn("before", F.max("last").over(earlier)).drop("last")
+    previous = F.coalesce(F.lag("at").over(Window.partitionBy(*key, "slot").orderBy("at")), F.col("before"))
+    marked = _same(times, before, [*key, "slot"]).withColumn("starts", F.coalesce(F.col("at") - previous > day, F.lit(True))).drop("before")
+    marked = materialize(marked, "marked")
+
+    # Every event asks for the first one later than a day after it: in the slot of that time, or in the next one that has events.
+    event = F.struct("at", "starts")
+    asks = marked.select(*key, (F.col("at") + day).alias("at"), (F.col("slot") + day // width).alias("slot"), F.lit(None).cast("boolean").alias("starts"))
+    both = marked.select(*key, "at", "slot", "starts").unionByName(asks)
+    present = F.when(F.col("starts").isNotNull(), event)
+    later = Window.partitionBy(*key).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    after = both.groupBy(*key, "slot").agg(F.min(present).alias("first")).withColumn("after", F.min("first").over(later)).drop("first")
+    downward = Window.partitionBy(*key, "slot").orderBy(F.desc("at"), F.col("starts").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    within = both.withColumn("next", F.min(present).over(downward)).filter("starts IS NULL").drop("starts")
+    pointers = _same(within, after, [*key, "slot"]).withColumn("next", F.coalesce("next", "after"))
+    jumps = materialize(pointers.filter("NOT next.starts").select(*key, (F.col("at") - day).alias("at"), F.col("next.at").alias("to")), "jumps")
+
+    accepted = [materialize(marked.filter("starts").select(*key, "at"), "accepted")]
+    while True:
+        reached = _stack(accepted)
+        step = _same(reached, jumps, [*key, "at"], "inner").select(*key, F.col("to").alias("at"))
+        step = materialize(step, "accepted")
+        if step.isEmpty():
+            break
+        accepted.append(step)
+        second = jumps.select(*key, F.col("at").alias("to"), F.col("to").alias("end"))
+        jumps = materialize(_same(jumps, second, [*key, "to"], "inner").select(*key, "at", F.col("end").alias("to")), "jumps")
+    at = F.timestamp_micros("at").cast(kinds["sent_at"])
+    return _stack(accepted).select(*key, at.alias("sent_at"))
+
+
+def _stack(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on equal ``keys``, NULL keys included; ``right`` gives its other columns."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
