@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.scale import first_by, materialize
 from graphlens.graph import Graph
+from graphlens.operators.structure import union
 
 
 def class_links(graph: Graph) -> DataFrame:
@@ -35,68 +36,122 @@ def modularity(links: DataFrame, members: DataFrame) -> float:
 
 
 def louvain(graph: Graph, tolerance: float = 1e-6) -> DataFrame:
-    """(fqn, community): communities of the classes by modularity gain.
-
-    A sweep lets every node look at the communities of its neighbours and move to
-    the best gain, ties to the smallest name. Moves of one sweep are simultaneous,
-    so only nodes whose hash parity matches the sweep may move: two neighbours
-    rarely swap places. When sweeps stop improving, communities become the nodes
-    of the next level, until a level gains nothing. Only scalars reach the driver.
+    """(fqn, community): communities of the classes by modularity gain, named by their smallest class.
+
+    A sweep lets open nodes look at the communities of their neighbours and move
+    to the best gain, ties to the smallest name. Moves of one sweep are
+    simultaneous, so only nodes of one hash half may move: two neighbours rarely
+    swap places. Every node is open at first, afterwards only those next to one
+    that moved, so a sweep reads the links of what may still change; the gain of
+    its moves is summed over the links of the movers. When two sweeps in a row gain
+    nothing, communities become the nodes of the next level, until a level gains
+    nothing. At last every community is split into its connected parts, which
+    never lowers modularity. Only scalars reach the driver.
     """
-    classes = graph.of_kind("CLASS").select(F.col("fqn").alias("node"))
+    classes = graph.of_kind("CLASS").select(F.col("fqn").alias("node")).distinct()
     links = materialize(class_links(graph), "links")
     mapping = materialize(classes.withColumn("community", F.col("node")), "level")
+    m2 = links.agg(F.sum("w")).first()[0]
     level_links = links
-    best = modularity(links, mapping)
-    while True:
-        nodes = level_links.select(F.col("a").alias("node")).distinct()
-        placed = materialize(nodes.withColumn("community", F.col("node")), "sweep")
-        degrees = materialize(level_links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "degree")
-        m2 = degrees.agg(F.sum("degree")).first()[0]
-        if not m2:
+    while m2:
+        placed, gained = _level(level_links, m2, tolerance)
+        if gained <= tolerance:
             break
-        score = modularity(level_links, placed)
-        idle = 0
-        for sweep in count():
-            moved = materialize(_sweep(level_links, placed, degrees, m2, sweep), "sweep")
-            now = modularity(level_links, moved)
-            idle = idle + 1 if now <= score + tolerance else 0
-            if idle == 2:  # neither half of the nodes gains anything
-                break
-            if not idle:
-                placed, score = moved, now
         lifted = mapping.join(placed.select(F.col("node").alias("community"), F.col("community").alias("next")), "community", "left")
-        candidate = materialize(lifted.select("node", F.coalesce("next", "community").alias("community")), "level")
-        reached = modularity(links, candidate)
-        if reached <= best + tolerance:
-            break
-        mapping, best = candidate, reached
+        mapping = materialize(lifted.select("node", F.coalesce("next", "community").alias("community")), "level")
         coarse = level_links.join(placed.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(
             placed.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b"
         )
         level_links = materialize(coarse.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
-    return mapping.select(F.col("node").alias("fqn"), "community")
-
-
-def _sweep(links: DataFrame, placed: DataFrame, degrees: DataFrame, m2: float, sweep: int) -> DataFrame:
-    totals = placed.join(degrees, "node").groupBy("community").agg(F.sum("degree").alias("total"))
+    return connected_communities(links, mapping).withColumnRenamed("node", "fqn")
+
+
+def _level(links: DataFrame, m2: float, tolerance: float) -> tuple[DataFrame, float]:
+    """(node, community) after local moves and the modularity they gained."""
+    degrees = materialize(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "degree")
+    placed = degrees.select("node", F.col("node").alias("community"))
+    totals = degrees.select(F.col("node").alias("community"), F.col("degree").alias("total"))
+    active, gained, idle = degrees.select("node"), 0.0, 0
+    for sweep in count():
+        # Another split in halves every two sweeps, so that neighbours do not stay in step.
+        turn = F.pmod(F.xxhash64("node", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
+        moves = materialize(_moves(links, placed, degrees, totals, active.filter(turn), m2), "moves")
+        gain = _gain(links, placed, degrees, totals, moves, m2)
+        waiting = active.filter(~turn)
+        if gain <= tolerance:
+            idle += 1
+            if idle == 2:  # neither half of the nodes gains anything
+                return placed, gained
+            continue
+        idle, gained = 0, gained + gain
+        placed = placed.join(moves.select("node", F.col("community").alias("_to")), "node", "left")
+        placed = materialize(placed.select("node", F.coalesce("_to", "community").alias("community")), "placed")
+        totals = materialize(placed.join(degrees, "node").groupBy("community").agg(F.sum("degree").alias("total")), "totals")
+        near = links.join(moves.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node"))
+        active = materialize(waiting.unionByName(near).distinct(), "active")
+
+
+def _moves(links: DataFrame, placed: DataFrame, degrees: DataFrame, totals: DataFrame, active: DataFrame, m2: float) -> DataFrame:
+    """(node, home, community, degree) of the active nodes that are better off elsewhere."""
+    mine = placed.join(active, "node", "left_semi").join(degrees, "node")
     near = (
-        links.filter("a <> b").join(placed.select(F.col("node").alias("b"), "community"), "b")
+        links.filter("a <> b").join(active.withColumnRenamed("node", "a"), "a", "left_semi").join(placed.withColumnRenamed("node", "b"), "b")
         .groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("shared"))
     )
-    own = placed.select("node", "community").withColumn("shared", F.lit(0.0))
+    own = mine.select("node", "community").withColumn("shared", F.lit(0.0))
     options = near.unionByName(own).groupBy("node", "community").agg(F.sum("shared").alias("shared"))
     scored = (
-        options.join(degrees, "node").join(totals, "community")
-        .join(placed.select("node", F.col("community").alias("home")), "node")
-        .withColumn("rest", F.when(F.col("community") == F.col("home"), F.col("total") - F.col("degree")).otherwise(F.col("total")))
-        .withColumn("loss", -(F.col("shared") - F.col("degree") * F.col("rest") / F.lit(m2)))
+        options.join(mine.select("node", "degree", F.col("community").alias("home")), "node").join(totals, "community")
         .withColumn("stays", F.when(F.col("community") == F.col("home"), 0).otherwise(1))
-        .withColumn("loss", F.round("loss", 9))
+        .withColumn("rest", F.col("total") - F.when(F.col("stays") == 0, F.col("degree")).otherwise(0.0))
+        .withColumn("loss", F.round(-(F.col("shared") - F.col("degree") * F.col("rest") / F.lit(m2)), 9))
+    )
+    best = first_by(scored, ["node"], ["loss", "stays", "community"], ["community", "home", "degree"])
+    return best.filter("community <> home")
+
+
+def _gain(links: DataFrame, placed: DataFrame, degrees: DataFrame, totals: DataFrame, moves: DataFrame, m2: float) -> float:
+    """Change of modularity by ``moves``, from the links of the movers and the communities they leave and enter."""
+    other = placed.join(moves.select("node", F.col("community").alias("_to")), "node", "left").select(
+        F.col("node").alias("b"), F.col("community").alias("old"), F.coalesce("_to", "community").alias("new"), F.col("_to").isNull().alias("still")
+    )
+    touched = links.join(moves.select(F.col("node").alias("a"), "home", F.col("community").alias("to")), "a").join(other, "b")
+    # A link to a node that stays is listed from both ends, but only the mover's end is read here.
+    sides = F.when(F.col("still"), 2.0).otherwise(1.0)
+    change = (F.col("to") == F.col("new")).cast("double") - (F.col("home") == F.col("old")).cast("double")
+    inside = touched.agg(F.sum(sides * F.col("w") * change)).first()[0]
+    if inside is None:
+        return 0.0
+    leave = moves.select(F.col("home").alias("community"), (-F.col("degree")).alias("delta"))
+    enter = moves.select("community", F.col("degree").alias("delta"))
+    deltas = leave.unionByName(enter).groupBy("community").agg(F.sum("delta").alias("delta")).join(totals, "community")
+    squares = deltas.agg(F.sum(F.col("delta") * (2 * F.col("total") + F.col("delta")))).first()[0]
+    return inside / m2 - squares / (m2 * m2)
+
+
+def connected_communities(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``members(node, community)`` with every community cut into its connected parts, named by their smallest node.
+
+    Labels travel along links inside a community and are looked up at their own
+    label as well, so a long path needs about log2(length) rounds.
+    """
+    inner = links.filter("a <> b").join(members.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(
+        members.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b"
     )
-    best = first_by(scored.select("node", "community", "home", "loss", "stays"), ["node"], ["loss", "stays", "community"], ["community", "home"])
-    turn = F.pmod(F.xxhash64("node"), F.lit(2)) == sweep % 2
-    return best.select("node", F.when(turn, F.col("community")).otherwise(F.col("home")).alias("community"))
+    inner = materialize(inner.filter("ca = cb").select("a", "b"), "inner")
+    labels = materialize(members.select("node", F.col("node").alias("community")), "labels")
+    while True:
+        offered = inner.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node")).agg(F.min("community").alias("seen"))
+        lowest = labels.join(offered, "node", "left").select("node", "community", F.least("community", "seen").alias("low"))
+        # The best label offered to any node is an offer to the label that the node wears now.
+        root = lowest.groupBy(F.col("community").alias("node")).agg(F.min("low").alias("hung"))
+        hooked = materialize(lowest.join(root, "node", "left").select("node", "community", F.least("low", "hung").alias("low")), "hooked")
+        jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("further"))
+        fresh = materialize(hooked.join(jump, "low").select("node", F.least("low", "further").alias("now"), "community"), "labels")
+        done = fresh.filter("now < community").isEmpty()
+        labels = fresh.select("node", F.col("now").alias("community"))
+        if done:
+            return labels
 
 
 def community_summary(graph: Graph, members: DataFrame) -> DataFrame:
@@ -133,3 +188,44 @@ def pagerank(graph: Graph, kinds: list[str], iterations: int = 10, damping: floa
             nodes.join(flow, "fqn", "left").select("fqn", (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("pagerank")), "ranks"
         )
     return ranks
+
+
+def pagerank_within(graph: Graph, kinds: list[str], bound: float = 1e-6, damping: float = 0.85) -> DataFrame:
+    """(fqn, pagerank) whose absolute errors sum to at most ``bound``; the model of :func:`pagerank`, carried to its limit.
+
+    Nodes hold a residual, the rank that has not been passed on. A round passes on
+    the residuals above a floor and leaves the rest where it is, so finished parts
+    of the graph are not read again. What is left over, times 1 / (1 - damping),
+    bounds the error, and the floor is the share of a node in the error allowed.
+    Spreading the rank of dangling nodes evenly only scales the solution, so it is
+    done once at the end.
+    """
+    nodes = materialize(graph.nodes.select("fqn").distinct(), "rank_nodes")
+    total = nodes.count()
+    if total == 0:
+        return nodes.withColumn("pagerank", F.lit(0.0))
+    edges = graph.edges_of(*kinds).select("src", "dst").distinct()
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.withColumnRenamed("fqn", end), end, "left_semi")
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    shares = materialize(edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("share")), "shares")
+    # Unscaled ranks sum to at least 1 - damping; scaling to 1 doubles a relative error at most.
+    floor = bound * (1.0 - damping) ** 2 / 2 / total
+    residual = nodes.withColumn("amount", F.lit((1.0 - damping) / total))
+    passed: list[DataFrame] = []
+    while True:
+        residual = materialize(residual, "residual")
+        pushed = residual.filter(F.col("amount") > floor)
+        if pushed.isEmpty():
+            break
+        passed.append(pushed)
+        if len(passed) == 16:
+            passed = [materialize(union(passed).groupBy("fqn").agg(F.sum("amount").alias("amount")), "passed")]
+        inflow = shares.join(pushed.select(F.col("fqn").alias("src"), "amount"), "src").select(
+            F.col("dst").alias("fqn"), (F.col("share") * F.col("amount")).alias("amount")
+        )
+        residual = residual.filter(F.col("amount") <= floor).unionByName(inflow).groupBy("fqn").agg(F.sum("amount").alias("amount"))
+    # The rest is rank as well, only not passed on.
+    ranks = materialize(union([*passed, residual]).groupBy("fqn").agg(F.sum("amount").alias("amount")), "ranks")
+    scale = ranks.agg(F.sum("amount")).first()[0]
+    return ranks.select("fqn", (F.col("amount") / F.lit(scale)).alias("pagerank"))
