@@ -136,6 +136,12 @@ def merge_symbols(graph: Graph, occurrences: DataFrame, symbol_info: DataFrame)
 # --- short names to full names -----------------------------------------------------------
 
 
+def short_names(graph: Graph, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(name, candidates, first): how many nodes share a short name, and the smallest of them; one row per name."""
+    pool = graph.nodes if kinds is None else graph.nodes.filter(F.col("kind").isin(*kinds))
+    return pool.groupBy("name").agg(F.count("*").alias("candidates"), F.min("fqn").alias("first"))
+
+
 def resolve_types(graph: Graph, wanted: DataFrame, unique_kinds: tuple[str, ...] | None = ("CLASS", "INTERFACE")) -> DataFrame:
     """(class_fqn, type_name, resolved) of ``wanted(class_fqn, type_name)``.
 
@@ -154,8 +160,7 @@ def resolve_types(graph: Graph, wanted: DataFrame, unique_kinds: tuple[str, ...]
     by_namespace = wanted.filter(namespace != "").select(
         "class_fqn", "type_name", F.lit(1 << 20).alias("rung"), F.concat_ws(".", namespace, "type_name").alias("resolved")
     )
-    pool = graph.nodes if unique_kinds is None else graph.nodes.filter(F.col("kind").isin(*unique_kinds))
-    unique = pool.groupBy(F.col("name").alias("type_name")).agg(F.count("*").alias("n"), F.min("fqn").alias("resolved")).filter("n = 1")
+    unique = short_names(graph, unique_kinds).filter("candidates = 1").select(F.col("name").alias("type_name"), F.col("first").alias("resolved"))
     by_name = wanted.join(unique, "type_name").select("class_fqn", "type_name", F.lit(1 << 21).alias("rung"), "resolved")
     found = by_using.unionByName(by_namespace).join(known, "resolved", "left_semi").select("class_fqn", "type_name", "rung", "resolved")
     return first_by(found.unionByName(by_name), ["class_fqn", "type_name"], ["rung"], ["resolved"])
@@ -247,7 +252,7 @@ def resolve_calls(graph: Graph) -> DataFrame:
     local = nodes.select(F.col("name").alias("dst"), "fqn", F.explode(F.array_distinct(prefixes)).alias("package"))
     local = local.groupBy("dst", "package").agg(F.count("*").alias("n"), F.min("fqn").alias("resolved")).filter("n = 1")
     nearby = plain.filter("class_fqn IS NOT NULL").withColumn("package", owner_name(F.col("class_fqn"))).join(local, ["dst", "package"])
-    unique = nodes.groupBy(F.col("name").alias("dst")).agg(F.count("*").alias("n"), F.min("fqn").alias("resolved")).filter("n = 1")
+    unique = short_names(graph).filter("candidates = 1").select(F.col("name").alias("dst"), F.col("first").alias("resolved"))
     rest = [
         ladder.select("src", "dst", "resolved", "rung"), imported.select("src", "dst", "resolved", "rung"),
         nearby.select("src", "dst", "resolved", F.lit(6).alias("rung")),

@@ -177,6 +177,11 @@ def pull_request_page(analyses: DataFrame, repository_id, status=None, risk=None
     return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
 
 
+def tags_of_node(tags: DataFrame, node) -> DataFrame:
+    """(project_id, tag_name, n): tags that a node carries in each project."""
+    return tags.filter(F.col("node_fqn") == node).groupBy("project_id", "tag_name").agg(F.count("*").alias("n"))
+
+
 def new_tags(tags: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming tags that do not repeat (project, node, tag), neither stored nor among themselves."""
     key = ["project_id", "node_fqn", "tag_name"]

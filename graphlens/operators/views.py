@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.scale import materialize, numbered
@@ -377,14 +377,19 @@ def trace_hashes(trace_nodes: DataFrame, size: int = RANGE) -> DataFrame:
 
 
 def compare_graphs(before: Graph, after: Graph, fields: Sequence[str] = ("name", "kind", "path", "line", "end_line", "loc")) -> DataFrame:
-    """(item, key, change): nodes and edges added, removed or changed between two builds."""
+    """(item, key, change): nodes and edges added, removed or changed between two builds.
+
+    An edge is a source, kind and target; it has changed when the set of weights,
+    confidences and evidences under which it is listed has.
+    """
     mark = F.xxhash64(*fields)
 
     def nodes(g, out):
         return g.nodes.select(F.col("fqn").alias("key"), mark.alias(out))
 
     def edges(g, out):
-        return g.edges.select(F.concat_ws(" ", "src", "kind", "dst").alias("key"), F.lit(1).cast("bigint").alias(out)).distinct()
+        listed = g.edges.select(F.concat_ws(" ", "src", "kind", "dst").alias("key"), F.xxhash64("weight", "confidence", "evidence").alias("_mark"))
+        return listed.distinct().groupBy("key").agg(F.bit_xor("_mark").alias(out))
 
     parts = []
     for item, rows in (("node", nodes), ("edge", edges)):
@@ -394,3 +399,30 @@ def compare_graphs(before: Graph, after: Graph, fields: Sequence[str] = ("name",
     return parts[0].unionByName(parts[1])
 
 
+# --- sets and short lists ----------------------------------------------------------------
+
+
+def capped_partners(graph: Graph, limit: int = 50, kind: str = "CALLS") -> DataFrame:
+    """(fqn, partner): the first ``limit`` callers of each node by name.
+
+    The rank filter is pushed below the shuffle, so at most ``limit`` rows per node and task move.
+    """
+    pairs = graph.edges_of(kind).select(F.col("dst").alias("fqn"), F.col("src").alias("partner")).distinct()
+    rank = F.row_number().over(Window.partitionBy("fqn").orderBy("partner"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank")
+
+
+def without_incoming(graph: Graph, kind: str, *links: str) -> DataFrame:
+    """(fqn): nodes of ``kind`` that no edge of the kinds ``links`` points at."""
+    targets = graph.edges_of(*links).select(F.col("dst").alias("fqn")).distinct()
+    return graph.of_kind(kind).select("fqn").join(targets, "fqn", "left_anti")
+
+
+def annotated(graph: Graph, names: Sequence[str]) -> DataFrame:
+    """(fqn): nodes that carry one of the annotations ``names``."""
+    return graph.nodes.filter(F.arrays_overlap("annotations", F.array(*[F.lit(n) for n in names]))).select("fqn")
+
+
+def distinct_edge_counts(graph: Graph) -> DataFrame:
+    """(kind, pairs): different (source, target) pairs of each edge kind."""
+    return graph.edges.select("src", "dst", "kind").distinct().groupBy("kind").agg(F.count("*").alias("pairs"))

@@ -294,3 +294,20 @@ def _(spark, d):
 def _(spark, d):
     rows = change.merged_batches(_batches(spark, d))
     return rows.groupBy("pr_id").agg(F.count("*").alias("batches"), F.count_distinct("merged").alias("merged"))
+
+
+CHANGED_BATCH = """f AS (SELECT DISTINCT pr_id, path FROM diff), m AS (SELECT pr_id, path, min(fqn) AS fqn FROM changed GROUP BY 1, 2),
+  h AS (SELECT f.pr_id, f.path, coalesce(m.fqn, CASE WHEN contains(f.path, '/') THEN split_part(f.path, '/', 1) ELSE 'root' END) AS module
+    FROM f LEFT JOIN m ON m.pr_id = f.pr_id AND m.path = f.path),
+  p AS (SELECT *, (row_number() OVER (PARTITION BY pr_id, module ORDER BY path) - 1) // 5 AS chunk FROM h),
+  b AS (SELECT pr_id, module, chunk, row_number() OVER (PARTITION BY pr_id ORDER BY module, chunk) - 1 AS batch FROM p GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "win7_batches_of_changes",
+    f"WITH {SHOP}, {DIFF}, {CHANGED_BATCH} SELECT p.pr_id, CAST(batch AS INTEGER) AS batch, p.module, path FROM p JOIN b ON b.pr_id = p.pr_id AND b.module = p.module AND b.chunk = p.chunk",
+)
+def _(spark, d):
+    """Files with changed nodes go to the module of the first one."""
+    files = pull_requests(spark, d).select("pr_id", "path").distinct().withColumn("seq", F.lit(0))
+    return change.triage_batches(files, _changed(spark, d)[0])

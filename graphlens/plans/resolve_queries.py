@@ -99,7 +99,8 @@ def _(spark, d):
     """SELECT p_name AS name, count(*) AS candidates FROM part GROUP BY 1""",
 )
 def _(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("candidates"))
+    parts = node_rows(table(spark, d, "part").selectExpr("concat('p:', p_partkey) AS fqn", "p_name AS name", "'CLASS' AS kind"))
+    return resolve.short_names(Graph(parts, edge_rows(parts.selectExpr("fqn AS src", "fqn AS dst", "'CONTAINS' AS kind").filter("false")))).select("name", "candidates")
 
 
 @query(

@@ -235,7 +235,8 @@ def _(spark, d):
 
 @query("flt18_tags_of_node", "SELECT l_orderkey AS project_id, l_returnflag AS tag_name, count(*) AS n FROM lineitem WHERE l_suppkey = 11 GROUP BY 1, 2")
 def _(spark, d):
-    return table(spark, d, "lineitem").filter("l_suppkey = 11").groupBy(F.col("l_orderkey").alias("project_id"), F.col("l_returnflag").alias("tag_name")).agg(F.count("*").alias("n"))
+    tags = table(spark, d, "lineitem").selectExpr("l_orderkey AS project_id", "l_suppkey AS node_fqn", "l_returnflag AS tag_name")
+    return usage.tags_of_node(tags, 11)
 
 
 @query(

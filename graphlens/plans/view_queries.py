@@ -407,12 +407,7 @@ def _(spark, d):
       FROM (SELECT DISTINCT src, dst FROM g_edges WHERE kind = 'CALLS')) WHERE r <= 50""",
 )
 def _(spark, d):
-    from pyspark.sql import Window
-
-    pairs = shop_graph(spark, d).edges_of("CALLS").select(F.col("dst").alias("fqn"), F.col("src").alias("partner")).distinct()
-    # A rank filter is pushed below the shuffle, so at most 50 rows per node and task move.
-    rank = F.row_number().over(Window.partitionBy("fqn").orderBy("partner"))
-    return pairs.withColumn("rank", rank).filter("rank <= 50").drop("rank")
+    return views.capped_partners(shop_graph(spark, d))
 
 
 @query(
@@ -420,18 +415,17 @@ def _(spark, d):
     f"WITH {SHOP} SELECT fqn FROM g_nodes WHERE kind = 'TABLE' EXCEPT SELECT dst FROM g_edges WHERE kind = 'WRITES'",
 )
 def _(spark, d):
-    g = shop_graph(spark, d)
-    return g.of_kind("TABLE").select("fqn").join(g.edges_of("WRITES").select(F.col("dst").alias("fqn")).distinct(), "fqn", "left_anti")
+    return views.without_incoming(shop_graph(spark, d), "TABLE", "WRITES")
 
 
 @query("set4_annotation_intersection", f"WITH {SHOP_NODES} SELECT fqn FROM g_nodes WHERE list_has_any(annotations, ['Service', 'Component'])")
 def _(spark, d):
-    return shop_graph(spark, d).nodes.filter(F.arrays_overlap("annotations", F.array(F.lit("Service"), F.lit("Component")))).select("fqn")
+    return views.annotated(shop_graph(spark, d), ["Service", "Component"])
 
 
 @query("set5_distinct_edges", f"WITH {SHOP_EDGES} SELECT kind, count(*) AS pairs FROM (SELECT DISTINCT src, dst, kind FROM g_edges) GROUP BY kind")
 def _(spark, d):
-    return shop_graph(spark, d).edges.select("src", "dst", "kind").distinct().groupBy("kind").agg(F.count("*").alias("pairs"))
+    return views.distinct_edge_counts(shop_graph(spark, d))
 
 
 @query(
@@ -454,3 +448,21 @@ def _(spark, d):
         return edge_rows(line.filter(condition).selectExpr("concat('s:', l_suppkey) AS src", "concat('p:', l_partkey) AS dst", "'READS' AS kind"))
 
     return views.compare_graphs(Graph(before, edges("l_linestatus = 'O'")), Graph(after, edges("l_linestatus <> 'O'")))
+
+
+@query(
+    "set6_changed_edges",
+    """WITH w AS (SELECT 's:' || l_suppkey || ' READS p:' || l_partkey AS key, l_linestatus AS side, CAST(max(l_linenumber) AS INTEGER) AS weight FROM lineitem GROUP BY ALL),
+    a AS (SELECT key, weight FROM w WHERE side = 'O'), b AS (SELECT key, weight FROM w WHERE side <> 'O')
+    SELECT key, CASE WHEN a.weight IS NULL THEN 'added' WHEN b.weight IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM a FULL JOIN b USING (key) WHERE a.weight IS DISTINCT FROM b.weight""",
+)
+def _(spark, d):
+    weights = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_linestatus").agg(F.max("l_linenumber").cast("int").alias("weight"))
+    part = node_rows(table(spark, d, "part").selectExpr("concat('p:', p_partkey) AS fqn"))
+
+    def build(condition):
+        rows = weights.filter(condition).selectExpr("concat('s:', l_suppkey) AS src", "concat('p:', l_partkey) AS dst", "'READS' AS kind", "weight")
+        return Graph(part, edge_rows(rows))
+
+    return views.compare_graphs(build("l_linestatus = 'O'"), build("l_linestatus <> 'O'")).filter("item = 'edge'").drop("item")

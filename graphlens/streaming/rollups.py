@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from graphlens.functions.scale import last_by, materialize
+from graphlens.operators.structure import union
 from graphlens.operators.usage import DEDUP_HOURS
 
 
@@ -138,7 +139,7 @@ def suppress_batch(events: DataFrame, slot_minutes: int = 10) -> DataFrame:
 
     accepted = [materialize(marked.filter("starts").select(*key, "at"), "accepted")]
     while True:
-        reached = _stack(accepted)
+        reached = union(accepted)
         step = _same(reached, jumps, [*key, "at"], "inner").select(*key, F.col("to").alias("at"))
         step = materialize(step, "accepted")
         if step.isEmpty():
@@ -147,14 +148,7 @@ def suppress_batch(events: DataFrame, slot_minutes: int = 10) -> DataFrame:
         second = jumps.select(*key, F.col("at").alias("to"), F.col("to").alias("end"))
         jumps = materialize(_same(jumps, second, [*key, "to"], "inner").select(*key, "at", F.col("end").alias("to")), "jumps")
     at = F.timestamp_micros("at").cast(kinds["sent_at"])
-    return _stack(accepted).select(*key, at.alias("sent_at"))
-
-
-def _stack(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union(accepted).select(*key, at.alias("sent_at"))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
