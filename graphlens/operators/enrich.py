@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlens.functions.scale import first_by, last_by, materialize
 from graphlens.graph import Graph, edge_rows, node_rows
+from graphlens.operators.structure import narrowed
 from graphlens.schema import HIGH, literal_map
 
 # Class annotation -> framework.
@@ -157,6 +158,9 @@ def _new_pairs(pairs: DataFrame, existing: DataFrame) -> DataFrame:
 
 def class_dependencies(graph: Graph) -> DataFrame:
     """New class-level DEPENDS_ON edges; pairs that already depend on each other are left alone."""
+    graph = narrowed(
+        graph, ["app_name", "fqn", "kind"], ["app_name", "src", "dst", "kind", "seq"], ["CLASS", "FUNCTION"], ["CONTAINS", "CALLS", "DEPENDS_ON"]
+    )
     weights = class_call_weights(graph).filter("src <> dst")
     fresh = _new_pairs(weights, graph.edges_of("DEPENDS_ON"))
     return edge_rows(fresh.withColumn("kind", F.lit("DEPENDS_ON")))
@@ -164,9 +168,13 @@ def class_dependencies(graph: Graph) -> DataFrame:
 
 def module_imports(graph: Graph) -> DataFrame:
     """New module-level IMPORTS edges; weight sums class dependencies (1 when unweighted)."""
+    graph = narrowed(
+        graph, ["app_name", "fqn", "kind", "props"], ["app_name", "src", "dst", "kind", "seq", "weight"],
+        ["CLASS", "MODULE"], ["CONTAINS", "DEPENDS_ON", "IMPORTS"],
+    )
     modules = class_modules(graph)
     known = graph.of_kind("MODULE").select("app_name", F.col("fqn").alias("module_fqn"))
-    modules = modules.join(known, ["app_name", "module_fqn"], "left_semi")
+    modules = materialize(modules.join(known, ["app_name", "module_fqn"], "left_semi"), "modules")
     sources = modules.select("app_name", F.col("class_fqn").alias("src"), F.col("module_fqn").alias("src_module"))
     targets = modules.select("app_name", F.col("class_fqn").alias("dst"), F.col("module_fqn").alias("dst_module"))
     weights = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.scale import first_by, last_by, materialize, overlap_join
 from graphlens.functions.text import bare_types, owner_name, scip_descriptor_kind, scip_symbol_to_fqn, short_name
 from graphlens.graph import Graph, edge_rows
-from graphlens.operators.structure import chains
+from graphlens.operators.structure import chains, narrowed
 from graphlens.schema import HIGH, LOW, MEDIUM
 
 # Node kinds a symbol hint may bind to by position.
@@ -148,7 +148,7 @@ def resolve_types(graph: Graph, wanted: DataFrame, unique_kinds: tuple[str, ...]
     The using directives of the class in order, then its own namespace, then a
     name that only one node has.
     """
-    wanted = wanted.select("class_fqn", "type_name").distinct()
+    wanted = materialize(wanted.select("class_fqn", "type_name").distinct(), "wanted")
     known = graph.nodes.select(F.col("fqn").alias("resolved"))
     usings = graph.of_kind("CLASS").filter(F.size("usings") > 0).select(
         F.col("fqn").alias("class_fqn"), F.posexplode("usings").alias("rung", "namespace")
@@ -178,6 +178,9 @@ def resolve_calls(graph: Graph) -> DataFrame:
     Every rung looks names up in a table with one row per key, so a name that a
     million nodes share costs one row, not a million candidates.
     """
+    graph = narrowed(
+        graph, ["fqn", "name", "kind", "seq", "type", "usings"], ["src", "dst", "kind", "seq", "confidence"], edge_kinds=["CALLS", "CONTAINS", "IMPORTS"]
+    )
     nodes = graph.nodes.select("fqn", "name", "kind", "seq")
     containers = materialize(_containers(graph), "containers")
     open_calls = graph.edges_of("CALLS").filter(F.col("confidence") == LOW).select("src", "dst").distinct().join(
@@ -234,7 +237,7 @@ def resolve_calls(graph: Graph) -> DataFrame:
     through = dotted.withColumn("type_name", F.col("receiver")).join(named, ["class_fqn", "type_name"])
     offer(member(through), 4)
     offer(through.filter("method = receiver").withColumn("resolved", F.col("type_fqn")), 5)
-    ladder = first_by(_union(found), ["src", "dst"], ["rung"], ["resolved", "rung"])
+    ladder = materialize(first_by(_union(found), ["src", "dst"], ["rung"], ["resolved", "rung"]), "ladder")
 
     # An import of the caller's class that owns the target beats every other rung.
     imports = graph.edges_of("IMPORTS").select(F.col("src").alias("class_fqn"), F.col("dst").alias("imported"), "seq").join(
@@ -305,6 +308,10 @@ def referenced_types(graph: Graph) -> DataFrame:
 
 def using_dependencies(graph: Graph) -> DataFrame:
     """DEPENDS_ON edges from the types a class names, where no dependency exists yet."""
+    graph = narrowed(
+        graph, ["fqn", "name", "kind", "type", "usings", "is_constructor", "params", "base_class", "implements"], ["src", "dst", "kind", "seq"],
+        edge_kinds=["CONTAINS", "DEPENDS_ON"],
+    )
     wanted = referenced_types(graph).join(
         graph.of_kind("CLASS").filter(F.size("usings") > 0).select(F.col("fqn").alias("class_fqn")), "class_fqn", "left_semi"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.functions.scale import materialize
+from graphlens.graph import Graph
 
 
 def union(layers: list[DataFrame]) -> DataFrame:
@@ -17,6 +18,18 @@ def union(layers: list[DataFrame]) -> DataFrame:
     return out
 
 
+def narrowed(graph: Graph, nodes: list[str], edges: list[str], node_kinds: list[str] | None = None, edge_kinds: list[str] | None = None) -> Graph:
+    """``graph`` with the named columns and kinds only, each side written once.
+
+    For operators that look at the same nodes and edges from several sides: the
+    graph, which may be a long plan itself, is computed once, and every later look
+    is a scan of a few columns with the kind pushed down.
+    """
+    chosen = graph.nodes if node_kinds is None else graph.of_kind(*node_kinds)
+    links = graph.edges if edge_kinds is None else graph.edges_of(*edge_kinds)
+    return Graph(materialize(chosen.select(*nodes), "nodes"), materialize(links.select(*edges), "edges"))
+
+
 # --- chains ------------------------------------------------------------------------------
 
 
@@ -125,7 +138,7 @@ def edges_within(members: DataFrame, edges: DataFrame, group: str, src: str = "s
     of the end that fewer groups hold and looks the other end up there, so it
     costs the smaller of the two numbers, whichever end is the hub.
     """
-    members = members.select(group, "node").distinct()
+    members = materialize(members.select(group, "node").distinct(), "members")
     sizes = members.groupBy("node").agg(F.count("*").alias("n"))
     sized = edges.join(sizes.select(F.col("node").alias(src), F.col("n").alias("_src_groups")), src).join(
         sizes.select(F.col("node").alias(dst), F.col("n").alias("_dst_groups")), dst

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphlens.functions.scale import materialize, numbered
 from graphlens.graph import Graph
 from graphlens.operators.enrich import class_modules, first_known, method_owners
-from graphlens.operators.structure import edges_within
+from graphlens.operators.structure import edges_within, narrowed
 from graphlens.schema import NODE_SCHEMA, node_label
 
 # Annotations that keep a function alive, link kinds of the architecture view.
@@ -205,7 +205,11 @@ def aggregated_class_edges(graph: Graph, parents: DataFrame | None = None) -> Da
     """(source, target, kind, weight): calls and dependencies between classes of known modules."""
     from graphlens.operators.enrich import class_call_weights
 
-    owners = method_owners(graph, ("CLASS", "INTERFACE"))
+    graph = narrowed(
+        graph, ["app_name", "fqn", "name", "kind"], ["app_name", "src", "dst", "kind", "seq"],
+        ["MODULE", "CLASS", "INTERFACE", "FUNCTION"], ["CONTAINS", "CALLS", "DEPENDS_ON"],
+    )
+    owners = materialize(method_owners(graph, ("CLASS", "INTERFACE")), "owners")
     calls = class_call_weights(graph, owners).select("src", "dst", "weight", F.lit("CALLS").alias("kind"))
     typed = graph.of_kind("CLASS", "INTERFACE").select("fqn")
     deps = graph.edges_of("DEPENDS_ON").groupBy("src", "dst").agg(F.count("*").alias("weight")).withColumn("kind", F.lit("DEPENDS_ON"))
@@ -255,10 +259,12 @@ def architecture_layers(graph: Graph) -> DataFrame:
 
 def component_links(graph: Graph) -> DataFrame:
     """(source, target, weight, kinds): edges between members of two components."""
+    graph = narrowed(graph, ["fqn", "kind"], ["src", "dst", "kind"], ["COMPONENT"], ["CONTAINS", *COMPONENT_LINKS])
     components = graph.of_kind("COMPONENT").select(F.col("fqn").alias("src"))
     members = graph.edges_of("CONTAINS").join(components, "src", "left_semi").select(
         F.col("src").alias("component"), F.col("dst").alias("fqn")
     ).distinct()
+    members = materialize(members, "members")
     pairs = graph.edges_of(*COMPONENT_LINKS).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
     return (
         pairs.join(members.select(F.col("fqn").alias("src"), F.col("component").alias("source")), "src")
@@ -300,6 +306,7 @@ def application_list(graph: Graph, projects: DataFrame) -> DataFrame:
 
 def transaction_edges(graph: Graph, transactions: DataFrame) -> DataFrame:
     """(transaction, src, dst, kind): edges with both ends inside a transaction."""
+    graph = narrowed(graph, ["fqn", "kind"], ["src", "dst", "kind"], ["TRANSACTION"], ["INCLUDES", *FLOW_EDGES])
     members = graph.edges_of("INCLUDES").join(transactions.select(F.col("fqn").alias("src")), "src", "left_semi").select(
         F.col("src").alias("transaction"), F.col("dst").alias("member")
     ).distinct()

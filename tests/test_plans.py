@@ -43,3 +43,9 @@ def test_a_kind_filter_drops_whole_branches(spark):
 def test_first_wins_combines_before_the_shuffle(spark):
     text = plan(catalog.QUERIES["win2_latest_run"](spark, FOLDER))
     assert "partial_max_by" in text and "Window" not in text
+
+
+@pytest.mark.parametrize("name", ["jn15_call_resolution", "jn17_using_dependencies", "agg3_module_imports", "agg7_class_edges", "agg18_component_links", "jn39_transaction_edges"])
+def test_shared_inputs_are_computed_once(spark, name):
+    tree = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("FileScan") < 20 and "NestedLoop" not in tree
