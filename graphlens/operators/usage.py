@@ -138,7 +138,8 @@ def quota_state(expires_at: Column, loc_limit: Column, used: Column, as_of: Colu
 def usage_report(quotas: DataFrame, as_of: str) -> DataFrame:
     """Percent used, days left and month label of ``quotas(subject, loc_limit, expires_at, used)``."""
     now = F.lit(as_of).cast("timestamp")
-    percent = F.when(F.col("loc_limit") > 0, F.round(F.col("used") / F.col("loc_limit") * 100, 1)).otherwise(F.lit(0.0))
+    # Tenths are rounded as whole numbers: rounding the percentage at one decimal sees 112.45 as the double just below it.
+    percent = F.when(F.col("loc_limit") > 0, F.round(F.col("used") / F.col("loc_limit") * 100 * 10) / 10).otherwise(F.lit(0.0))
     seconds = F.col("expires_at").cast("long") - now.cast("long")
     return quotas.select(
         "subject", percent.alias("percent"), F.coalesce(F.floor(seconds / 86400), F.lit(0)).alias("days_remaining"),
