@@ -70,14 +70,8 @@ def match_symbols(graph: Graph, definitions: DataFrame) -> DataFrame:
     return direct.unionByName(near)
 
 
-def merge_symbols(graph: Graph, occurrences: DataFrame, symbol_info: DataFrame) -> tuple[Graph, dict[str, DataFrame]]:
-    """Graph with precise names, documentation and confirmed calls, plus what changed.
-
-    ``occurrences(relative_path, symbol, roles, start_line, seq)`` and
-    ``symbol_info(symbol, documentation, relationships)``. All renames are worked
-    out first and applied to nodes and both edge ends once; a node claimed by
-    several symbols takes the longest name.
-    """
+def symbol_renames(graph: Graph, occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matches, renames) of the definitions in ``occurrences``; a node claimed by several symbols takes the longest name."""
     definitions = occurrences.filter(F.col("roles").bitwiseAND(1) != 0)
     matches = materialize(match_symbols(graph, definitions), "matches")
     renames = materialize(
@@ -87,6 +81,17 @@ def merge_symbols(graph: Graph, occurrences: DataFrame, symbol_info: DataFrame)
         ),
         "renames",
     )
+    return matches, renames
+
+
+def merge_symbols(graph: Graph, occurrences: DataFrame, symbol_info: DataFrame) -> tuple[Graph, dict[str, DataFrame]]:
+    """Graph with precise names, documentation and confirmed calls, plus what changed.
+
+    ``occurrences(relative_path, symbol, roles, start_line, seq)`` and
+    ``symbol_info(symbol, documentation, relationships)``. All renames are worked
+    out first (:func:`symbol_renames`) and applied to nodes and both edge ends once.
+    """
+    matches, renames = symbol_renames(graph, occurrences)
     docs = symbol_info.filter(F.size("documentation") > 0).select("symbol", F.array_join("documentation", "\n").alias("text"))
     documented = last_by(matches.join(docs, "symbol"), ["fqn"], ["def_seq"], ["text"])
     base = graph.nodes.join(renames, "fqn", "left").join(documented, "fqn", "left")
