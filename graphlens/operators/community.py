@@ -39,7 +39,9 @@ def louvain(graph: Graph, tolerance: float = 1e-6) -> DataFrame:
     """(fqn, community): communities of the classes by modularity gain, named by their smallest class.
 
     A sweep lets open nodes look at the communities of their neighbours and move
-    to the best gain, ties to the smallest name. Moves of one sweep are
+    to the best gain, ties to the smallest name. Nodes with a single neighbour
+    belong to it in some best division, so they follow it before the first sweep
+    and a star is one node from the start. Moves of one sweep are
     simultaneous, so only nodes of one hash half may move: two neighbours rarely
     swap places. Every node is open at first, afterwards only those next to one
     that moved, so a sweep reads the links of what may still change; the gain of
@@ -50,22 +52,42 @@ def louvain(graph: Graph, tolerance: float = 1e-6) -> DataFrame:
     """
     classes = graph.of_kind("CLASS").select(F.col("fqn").alias("node")).distinct()
     links = materialize(class_links(graph), "links")
-    mapping = materialize(classes.withColumn("community", F.col("node")), "level")
     m2 = links.agg(F.sum("w")).first()[0]
-    level_links = links
-    while m2:
+    followed = materialize(_followed(links), "followed")
+    mapping = materialize(
+        classes.join(followed, "node", "left").select("node", F.coalesce("community", "node").alias("community")), "level"
+    )
+    level_links = _coarse(links, followed)
+    # Without a link between two nodes of a level nothing can gain.
+    while m2 and not level_links.filter("a <> b").isEmpty():
         placed, gained = _level(level_links, m2, tolerance)
         if gained <= tolerance:
             break
         lifted = mapping.join(placed.select(F.col("node").alias("community"), F.col("community").alias("next")), "community", "left")
         mapping = materialize(lifted.select("node", F.coalesce("next", "community").alias("community")), "level")
-        coarse = level_links.join(placed.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(
-            placed.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b"
-        )
-        level_links = materialize(coarse.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
+        level_links = _coarse(level_links, placed)
     return connected_communities(links, mapping).withColumnRenamed("node", "fqn")
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """(node, community) of all linked nodes: one with a single neighbour and no loop goes with it, a pair of such with the smaller."""
+    other = F.when(F.col("a") != F.col("b"), F.col("b"))
+    ends = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min(other).alias("only"))
+    ends = materialize(ends.select("node", "only", F.expr("n = 1 AND only IS NOT NULL").alias("leaf")), "ends")
+    leaves = ends.filter("leaf").select("node", "only")
+    paired = leaves.join(ends.filter("leaf").select(F.col("node").alias("only"), F.lit(True).alias("paired")), "only", "left")
+    home = F.when(F.col("paired"), F.least("node", "only")).otherwise(F.col("only"))
+    return paired.select("node", home.alias("community")).unionByName(ends.filter("NOT leaf").select("node", F.col("node").alias("community")))
+
+
+def _coarse(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links between the communities of ``placed(node, community)``."""
+    coarse = links.join(placed.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(
+        placed.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b"
+    )
+    return materialize(coarse.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
+
+
 def _level(links: DataFrame, m2: float, tolerance: float) -> tuple[DataFrame, float]:
     """(node, community) after local moves and the modularity they gained."""
     degrees = materialize(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "degree")
