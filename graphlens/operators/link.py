@@ -107,7 +107,7 @@ def http_links(graph: Graph) -> DataFrame:
 # --- topics ------------------------------------------------------------------------------
 
 _ANCHOR = 8
-_GRAM = 3
+_GRAMS = (3, 6, 12)
 _SALTS = 32
 
 
@@ -115,15 +115,23 @@ def glob_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """(name, pattern) for ``names(name)`` that fit the shell ``patterns(pattern)``.
 
     A pattern is looked up by one literal piece of it: its head, its tail or a
-    three-character piece of any literal run, whichever the fewest names share. A
+    piece of any literal run, as long as ``_GRAMS`` has for the run, whichever the
+    fewest names share. Runs of digits need the longer pieces: in a large table
+    many names share any three characters. A
     pattern with a piece that no name has is dropped at once. Patterns without any
     literal meet every name, spread over salts. No side is broadcast and nothing
     is cross-joined.
     """
-    def grams(text):
-        starts = F.when(F.length(text) >= _GRAM, F.sequence(F.lit(1), F.length(text) - (_GRAM - 1)))
+    def grams(text, size):
+        starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
         starts = F.coalesce(starts, F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(F.lit("g:"), F.substring(text, i, F.lit(_GRAM))))
+        return F.transform(starts, lambda i: F.concat(F.lit("g:"), F.substring(text, i, F.lit(size))))
+
+    def longest_grams(run):
+        out = grams(run, _GRAMS[0])
+        for size in _GRAMS[1:]:
+            out = F.when(F.length(run) >= size, grams(run, size)).otherwise(out)
+        return out
 
     head = F.substring(F.regexp_extract("pattern", r"^[^*?\[\]]+", 0), 1, _ANCHOR)
     tail = F.regexp_extract(F.regexp_replace("pattern", GLOB_CLASS, "*"), rf"[^*?\[\]]{{1,{_ANCHOR}}}$", 0)
@@ -131,16 +139,18 @@ def glob_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     pieces = F.concat(
         F.when(head != "", F.array(F.concat(F.lit("h:"), head))).otherwise(F.array().cast("array<string>")),
         F.when(tail != "", F.array(F.concat(F.lit("t:"), tail))).otherwise(F.array().cast("array<string>")),
-        F.flatten(F.transform(runs, grams)),
+        F.flatten(F.transform(runs, longest_grams)),
     )
     wanted = materialize(patterns.select("pattern").distinct().withColumn("pieces", F.array_distinct(pieces)), "patterns")
     pieces = wanted.select("pattern", F.explode("pieces").alias("key"))
+    # One number per entry of _GRAMS at most: the lengths that some pattern asks for.
+    used = pieces.filter(F.startswith("key", F.lit("g:"))).select((F.length("key") - 2).alias("size")).distinct().collect()
     longest = F.least(F.length("name"), F.lit(_ANCHOR))
     sizes = F.coalesce(F.when(longest > 0, F.sequence(F.lit(1), longest)), F.array().cast("array<int>"))
     anchors = F.concat(
         F.transform(sizes, lambda n: F.concat(F.lit("h:"), F.substring(F.col("name"), F.lit(1), n))),
         F.transform(sizes, lambda n: F.concat(F.lit("t:"), F.right(F.col("name"), n))),
-        F.array_distinct(grams(F.col("name"))),
+        *[F.array_distinct(grams(F.col("name"), r["size"])) for r in used],
     )
     names = names.select("name").distinct()
     # Only keys that some pattern asks for leave the names' side.
