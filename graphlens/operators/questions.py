@@ -14,6 +14,7 @@ stored graph), and the levels of a walk beyond the wanted depth fold away. Walks
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.graph import Graph
@@ -96,9 +97,11 @@ QUESTIONS = {
 }
 
 
-def register_questions(graph: Graph) -> list[str]:
+def register_questions(graph: Graph, edges: DataFrame | None = None) -> list[str]:
     """Registers the views without arguments and the table functions over ``graph``; a stored graph is asked in place.
 
+    ``edges(src, dst, kind)`` are what the functions follow instead of the graph's own, if the kinds of a question are at hand.
+
     Impact follows the tool's rule: ``upstream`` gives dependents of the node and of all it contains at depth 1, any other direction
     what the node reaches at its shortest depth. Walks end at ``DEEPEST`` hops. Unknown names give no rows.
     """
@@ -107,8 +110,8 @@ def register_questions(graph: Graph) -> list[str]:
     graph.nodes.withColumn("type", node_label(F.col("kind"))).select("fqn", "name", "type", "language", "path", "loc").createOrReplaceTempView("graph_labelled")
     stored = isinstance(graph, StoredGraph)
     for view, table in (("graph_out", graph.by_src if stored else None), ("graph_in", graph.by_dst if stored else None)):
-        edges = spark.table(table) if table else graph.edges
-        edges.select("src", "dst", "kind").createOrReplaceTempView(view)
+        followed = edges if edges is not None else spark.table(table) if table else graph.edges
+        followed.select("src", "dst", "kind").createOrReplaceTempView(view)
     for name, (arguments, columns, body) in QUESTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE({columns}) RETURN {body}")
     return list(QUESTIONS)
