@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.functions.scale import first_by, last_by, materialize
+from graphlens.functions.scale import first_by, last_by, materialize, tiled_join
 from graphlens.functions.text import (
     camel_to_snake, default_database, derived_query_access, entity_table_name, field_constraints, owner_name, quoted_strings,
     short_name, snake_each_capital, unquote,
@@ -273,19 +273,18 @@ def field_columns(graph: Graph) -> DataFrame:
     """MAPS_TO edges from model fields to columns of the same name and a compatible type.
 
     One compatible column is MEDIUM, several are LOW each. Columns are counted per
-    (name, type) first, which decides the confidence before any field is paired.
+    (name, type) first, which decides the confidence before any field is paired; the pairs are the answer and are not shuffled.
     """
     fields = children_of(graph, model_classes(graph).withColumnRenamed("fqn", "owner"), "FIELD", "name", "type")
     plain = F.trim(F.substring_index(F.substring_index(F.trim("type"), "[", 1), "|", 1))
     kinds = F.create_map(*[x for k, v in COLUMN_TYPES.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])[plain]
-    wanted = fields.select("fqn", "name", F.explode(kinds).alias("column_type"))
-    columns = graph.of_kind("COLUMN").select(F.col("fqn").alias("dst"), "name", F.trim(F.substring_index(F.upper(F.trim("type")), "(", 1)).alias("column_type"))
+    wanted = materialize(fields.select("fqn", "name", F.explode(kinds).alias("column_type")), "wanted")
+    columns = materialize(graph.of_kind("COLUMN").select(F.col("fqn").alias("dst"), "name", F.trim(F.substring_index(F.upper(F.trim("type")), "(", 1)).alias("column_type")), "columns")
     counts = columns.groupBy("name", "column_type").agg(F.count("*").alias("n"))
     totals = wanted.join(counts, ["name", "column_type"]).groupBy("fqn").agg(F.sum("n").alias("candidates"))
-    pairs = wanted.join(columns, ["name", "column_type"]).join(totals, "fqn")
-    return edge_rows(pairs.select(
-        F.col("fqn").alias("src"), "dst", F.lit("MAPS_TO").alias("kind"), F.when(F.col("candidates") == 1, MEDIUM).otherwise(LOW).alias("confidence"), F.lit("pydantic-orm").alias("evidence")
-    ))
+    rated = wanted.join(totals, "fqn").withColumn("confidence", F.when(F.col("candidates") == 1, MEDIUM).otherwise(LOW)).drop("candidates")
+    pairs = tiled_join(materialize(rated, "fields"), columns, ["name", "column_type"], "fqn", "dst")
+    return edge_rows(pairs.select(F.col("fqn").alias("src"), "dst", F.lit("MAPS_TO").alias("kind"), "confidence", F.lit("pydantic-orm").alias("evidence")))
 
 
 def model_constraints(graph: Graph) -> DataFrame:
