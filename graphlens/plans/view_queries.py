@@ -361,9 +361,9 @@ def _(spark, d):
     return views.neighbourhood_hashes(shop_graph(spark, d))
 
 
-def _supplier_trace(spark, d):
+def _supplier_trace(spark, d, part):
     g = shop_graph(spark, d)
-    return traverse.trace_route(g, g.of_kind("FUNCTION").filter("language = 'sql'").select("fqn"))
+    return part(g, g.of_kind("FUNCTION").filter("language = 'sql'").select("fqn"))
 
 
 @query(
@@ -373,12 +373,12 @@ def _supplier_trace(spark, d):
     FROM texts GROUP BY key""",
 )
 def _(spark, d):
-    return views.trace_hashes(_supplier_trace(spark, d)[0])
+    return views.trace_hashes(_supplier_trace(spark, d, traverse.trace_nodes))
 
 
 @query("agg29_tables_touched", "SELECT DISTINCT 's:' || l_suppkey AS seed, CAST(l_partkey AS VARCHAR) AS table_name, CASE WHEN l_linestatus = 'O' THEN 'READS' ELSE 'WRITES' END AS access_type FROM lineitem")
 def _(spark, d):
-    return views.tables_touched(_supplier_trace(spark, d)[1])
+    return views.tables_touched(_supplier_trace(spark, d, traverse.trace_access))
 
 
 @query("top1_stable_page", f"WITH {SHOP_NODES} SELECT fqn FROM g_nodes ORDER BY fqn LIMIT 200 OFFSET 1000")
