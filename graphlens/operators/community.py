@@ -185,31 +185,39 @@ def community_summary(graph: Graph, members: DataFrame) -> DataFrame:
 def pagerank(graph: Graph, kinds: list[str], iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """(fqn, pagerank) over distinct edges of ``kinds``; dangling rank is spread evenly.
 
-    Ranks sum to 1. Weights per edge are fixed up front, so an iteration is one
-    join on the source and one aggregate with a map-side combine on the target.
+    Ranks sum to 1. What differs between iterations is one number, the rank that all nodes get alike; the rest are sums over walks:
+    a round finds how much of one unit on every node arrives after one more edge, and ranks are these rounds weighted by those
+    numbers. A round is one join on the source and one aggregate with a map-side combine on the target; where all walks end,
+    there are no more rounds.
     """
     nodes = materialize(graph.nodes.select("fqn").distinct(), "rank_nodes")
-    edges = graph.edges_of(*kinds).select("src", "dst").distinct()
-    for end in ("src", "dst"):
+    edges = graph.edges_of(*kinds).select("src", "dst")
+    for end in ("dst", "src"):
         edges = edges.join(nodes.withColumnRenamed("fqn", end), end, "left_semi")
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    shares = materialize(edges.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "shares")
-    sources = materialize(degree.select(F.col("src").alias("fqn")), "sources")
+    # Partitioned by source already, so this takes no shuffle of its own.
+    edges = materialize(edges.select("src", "dst").distinct(), "rank_edges")
+    degree = materialize(edges.groupBy("src").agg(F.count("*").alias("degree")), "degree")
     total = nodes.count()
     if total == 0:
         return nodes.withColumn("pagerank", F.lit(0.0))
-    ranks = materialize(nodes.withColumn("pagerank", F.lit(1.0 / total)), "ranks")
+    arrived = [nodes.withColumn("amount", F.lit(1.0))]
+    stuck: list[float] = []  # what arrives at nodes without a way out, by round
+    while True:
+        sent = arrived[-1].withColumnRenamed("fqn", "src").join(degree, "src", "left")
+        stuck.append(sent.filter("degree IS NULL").agg(F.coalesce(F.sum("amount"), F.lit(0.0))).first()[0])
+        if len(arrived) > iterations:
+            break
+        passed = sent.filter("degree IS NOT NULL").select("src", (F.col("amount") / F.col("degree")).alias("amount"))
+        layer = materialize(edges.join(passed, "src").groupBy(F.col("dst").alias("fqn")).agg(F.sum("amount").alias("amount")), "arrived")
+        if layer.isEmpty():
+            break
+        arrived.append(layer)
+    given = [1.0 / total]  # what every node gets, the latest iteration first
     for _ in range(iterations):
-        dangling = ranks.join(sources, "fqn", "left_anti").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
-        base = (1.0 - damping) / total + damping * dangling / total
-        flow = (
-            shares.join(ranks.withColumnRenamed("fqn", "src"), "src")
-            .groupBy(F.col("dst").alias("fqn")).agg(F.sum(F.col("share") * F.col("pagerank")).alias("inflow"))
-        )
-        ranks = materialize(
-            nodes.join(flow, "fqn", "left").select("fqn", (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("pagerank")), "ranks"
-        )
-    return ranks
+        dangling = sum(g * damping**k * x for k, (g, x) in enumerate(zip(given, stuck)))
+        given.insert(0, (1.0 - damping) / total + damping * dangling / total)
+    ranks = [layer.select("fqn", (F.col("amount") * F.lit(g * damping**k)).alias("amount")) for k, (g, layer) in enumerate(zip(given, arrived))]
+    return materialize(union(ranks).groupBy("fqn").agg(F.sum("amount").alias("pagerank")), "ranks")
 
 
 def pagerank_within(graph: Graph, kinds: list[str], bound: float = 1e-6, damping: float = 0.85) -> DataFrame:
