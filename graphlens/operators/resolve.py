@@ -148,27 +148,46 @@ def short_names(graph: Graph, kinds: tuple[str, ...] | None = None) -> DataFrame
 
 
 def resolve_types(graph: Graph, wanted: DataFrame, unique_kinds: tuple[str, ...] | None = ("CLASS", "INTERFACE")) -> DataFrame:
-    """(class_fqn, type_name, resolved) of ``wanted(class_fqn, type_name)``.
+    """(class_fqn, type_name, resolved) of ``wanted(class_fqn, type_name)``; a missing type name resolves to nothing.
 
     The using directives of the class in order, then its own namespace, then a
     name that only one node has.
     """
-    wanted = materialize(wanted.select("class_fqn", "type_name").distinct(), "wanted")
-    known = graph.nodes.select(F.col("fqn").alias("resolved"))
-    usings = graph.of_kind("CLASS").filter(F.size("usings") > 0).select(
-        F.col("fqn").alias("class_fqn"), F.posexplode("usings").alias("rung", "namespace")
-    )
-    by_using = wanted.join(usings, "class_fqn").select(
-        "class_fqn", "type_name", "rung", F.concat_ws(".", "namespace", "type_name").alias("resolved")
-    )
+    return _resolved_types(graph, wanted, unique_kinds).drop("is_type")
+
+
+def _resolved_types(graph: Graph, wanted: DataFrame, unique_kinds: tuple[str, ...] | None) -> DataFrame:
+    """What :func:`resolve_types` gives, and whether ``resolved`` is a class or an interface (of use with the default kinds only).
+
+    Only nodes that end on a wanted name are looked at: names are far fewer than nodes.
+    """
+    wanted = materialize(wanted.select("class_fqn", "type_name").filter("type_name IS NOT NULL").distinct(), "wanted")
+    words = materialize(wanted.select("type_name").distinct().select("type_name", short_name(F.col("type_name")).alias("last")), "words")
+    known = graph.nodes.join(words.select("last"), short_name(F.col("fqn")) == F.col("last"), "left_semi")
+    known = known.groupBy(F.col("fqn").alias("resolved")).agg(F.max(F.col("kind").isin("CLASS", "INTERFACE")).alias("is_type"))
+    known = materialize(known.withColumn("last", short_name(F.col("resolved"))), "known")
+    named = graph.nodes.join(words.select("type_name"), F.col("name") == F.col("type_name"), "left_semi")
+    unique = short_names(Graph(named, graph.edges), unique_kinds).filter("candidates = 1").select(F.col("name").alias("type_name"), F.col("first").alias("unique"))
+    ending = known.groupBy("last").agg(F.count("*").alias("n"), F.min("resolved").alias("only"), F.max("is_type").alias("only_is_type"))
+    words = materialize(words.join(ending, "last", "left").join(unique, "type_name", "left").drop("last"), "words")
+
+    usings = graph.of_kind("CLASS").filter(F.size("usings") > 0).select(F.col("fqn").alias("class_fqn"), F.posexplode("usings").alias("rung", "namespace"))
+    usings = usings.groupBy("class_fqn").agg(F.array_sort(F.collect_list(F.struct("rung", "namespace"))).alias("usings"))
     namespace = owner_name(F.col("class_fqn"))
-    by_namespace = wanted.filter(namespace != "").select(
-        "class_fqn", "type_name", F.lit(1 << 20).alias("rung"), F.concat_ws(".", namespace, "type_name").alias("resolved")
+    spaces = F.concat(F.coalesce(F.col("usings.namespace"), F.array().cast("array<string>")), F.when(namespace != "", F.array(namespace)).otherwise(F.array().cast("array<string>")))
+    asked = wanted.join(usings, "class_fqn", "left").withColumn("tried", F.transform(spaces, lambda s: F.concat_ws(".", s, "type_name"))).drop("usings").join(words, "type_name")
+    keys = ["class_fqn", "type_name"]
+
+    # One node ends on the name: it is the answer if it is among what the class would try.
+    hit = F.coalesce((F.col("n") == 1) & F.array_contains("tried", F.col("only")), F.lit(False))
+    is_type = F.when(hit, F.col("only_is_type")).otherwise(F.lit(unique_kinds is not None))
+    found = asked.filter("coalesce(n, 0) <= 1").select(*keys, F.when(hit, F.col("only")).otherwise(F.col("unique")).alias("resolved"), is_type.alias("is_type"))
+    # Several do: what the class would try is looked up in order.
+    several = asked.filter("n > 1").select(*keys, F.posexplode("tried").alias("rung", "resolved")).join(known.drop("last"), "resolved")
+    several = several.unionByName(
+        asked.filter("n > 1 AND unique IS NOT NULL").select(*keys, F.lit(1 << 21).alias("rung"), F.col("unique").alias("resolved"), F.lit(unique_kinds is not None).alias("is_type"))
     )
-    unique = short_names(graph, unique_kinds).filter("candidates = 1").select(F.col("name").alias("type_name"), F.col("first").alias("resolved"))
-    by_name = wanted.join(unique, "type_name").select("class_fqn", "type_name", F.lit(1 << 21).alias("rung"), "resolved")
-    found = by_using.unionByName(by_namespace).join(known, "resolved", "left_semi").select("class_fqn", "type_name", "rung", "resolved")
-    return first_by(found.unionByName(by_name), ["class_fqn", "type_name"], ["rung"], ["resolved"])
+    return found.filter("resolved IS NOT NULL").unionByName(first_by(several, keys, ["rung"], ["resolved", "is_type"]))
 
 
 def _containers(graph: Graph) -> DataFrame:
@@ -177,96 +196,134 @@ def _containers(graph: Graph) -> DataFrame:
     return last_by(contains, ["fqn"], ["seq", "parent"], ["parent"])
 
 
+def _field_types(fields: DataFrame, contains: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(class_fqn, first_receiver, ...)`` with the ``type_name`` of the last field of that name in the class, if there is one.
+
+    A field that is named after its class is looked up by its full name. The ``odd`` rest, fields with another name or
+    container than their full name says, is sorted by container first.
+    """
+    fields = fields.select("fqn", "name", F.trim(F.substring_index("type", "<", 1)).alias("type_name"), "seq")
+    plain = F.col("name").eqNullSafe(short_name(F.col("fqn"))) & F.contains(F.col("fqn"), F.lit("."))
+    held = F.col("src").eqNullSafe(owner_name(F.col("dst")))
+    odd = materialize(fields.filter(~plain).select("fqn").unionByName(contains.filter(~held).select(F.col("dst").alias("fqn"))).distinct(), "odd")
+    some = not odd.isEmpty()
+
+    usual = fields.filter(plain)
+    if some:
+        usual = usual.join(odd, "fqn", "left_anti")
+    usual = usual.join(contains.filter(held).select(F.col("dst").alias("fqn")), "fqn", "left_semi")
+    usual = last_by(usual, ["fqn"], ["seq"], ["type_name", "seq"])
+    found = asked.withColumn("fqn", F.concat_ws(".", "class_fqn", "first_receiver")).join(usual, "fqn", "left")
+    if not some:
+        return found.drop("fqn", "seq")
+    rest = contains.join(odd.withColumnRenamed("fqn", "dst"), "dst", "left_semi")
+    rest = last_by(rest.withColumnRenamed("src", "class_fqn").withColumnRenamed("dst", "fqn"), ["fqn"], ["seq", "class_fqn"], ["class_fqn"])
+    rest = fields.withColumnRenamed("name", "first_receiver").join(odd, "fqn", "left_semi").join(rest, "fqn")
+    rest = last_by(rest.withColumn("at", F.struct("seq", "fqn")), ["class_fqn", "first_receiver"], ["seq", "fqn"], ["at", "type_name"])
+    both = found.join(rest.withColumnRenamed("type_name", "other"), ["class_fqn", "first_receiver"], "left")
+    later = F.col("at").isNotNull() & (F.col("type_name").isNull() | (F.col("at") > F.struct("seq", "fqn")))
+    return both.withColumn("type_name", F.when(later, F.col("other")).otherwise(F.col("type_name"))).drop("fqn", "seq", "at", "other")
+
+
 def resolve_calls(graph: Graph) -> DataFrame:
     """(src, dst, resolved, rung): targets found for LOW calls to unknown names.
 
     Every rung looks names up in a table with one row per key, so a name that a
-    million nodes share costs one row, not a million candidates.
+    million nodes share costs one row, not a million candidates. What depends on
+    the called name alone is found once per name; a call goes down the ladder
+    only as far as it is open, and no rung is a second row of it.
     """
-    graph = narrowed(
-        graph, ["fqn", "name", "kind", "seq", "type", "usings"], ["src", "dst", "kind", "seq", "confidence"], edge_kinds=["CALLS", "CONTAINS", "IMPORTS"]
-    )
     nodes = graph.nodes.select("fqn", "name", "kind", "seq")
-    containers = materialize(_containers(graph), "containers")
-    open_calls = graph.edges_of("CALLS").filter(F.col("confidence") == LOW).select("src", "dst").distinct().join(
-        nodes.select(F.col("fqn").alias("dst")), "dst", "left_anti"
-    )
-    asked = materialize(
-        open_calls.join(containers.select(F.col("fqn").alias("src"), "parent"), "src", "left")
-        .select(
-            "src", "dst", F.col("parent").alias("class_fqn"), F.contains(F.col("dst"), F.lit(".")).alias("dotted"),
-            owner_name(F.col("dst")).alias("receiver"), short_name(F.col("dst")).alias("method"),
-        )
-        .withColumn("first_receiver", F.substring_index("receiver", ".", 1)),
-        "asked",
+    low = graph.edges_of("CALLS").filter(F.col("confidence") == LOW).select("src", "dst")
+    names = materialize(
+        low.select("dst").distinct().select(
+            "dst", F.contains(F.col("dst"), F.lit(".")).alias("dotted"), owner_name(F.col("dst")).alias("receiver"), short_name(F.col("dst")).alias("method")
+        ),
+        "names",
     )
-    dotted, plain = asked.filter("dotted"), asked.filter("NOT dotted")
-    classes = nodes.filter(F.col("kind").isin("CLASS", "INTERFACE"))
-    found = []
-
-    def offer(rows, rung):
-        found.append(rows.select("src", "dst", "resolved", F.lit(rung).alias("rung")))
-
-    # A class known by its short name owns the method.
-    owned = nodes.select(F.col("fqn").alias("resolved"), owner_name(F.col("fqn")).alias("owner"), short_name(F.col("fqn")).alias("method"))
-    by_class = owned.join(classes.select(F.col("fqn").alias("owner"), F.col("name").alias("receiver"), "seq"), "owner")
-    by_class = first_by(by_class, ["receiver", "method"], ["seq", "owner"], ["resolved"])
-    offer(dotted.join(by_class, ["receiver", "method"]), 1)
+    first_receiver = F.substring_index("receiver", ".", 1)
+    ends = materialize(names.select("method").distinct(), "ends")
+    known = nodes.select("fqn").join(ends, short_name(F.col("fqn")) == F.col("method"), "left_semi").distinct()
+    known = materialize(known.select("fqn", owner_name(F.col("fqn")).alias("owner"), short_name(F.col("fqn")).alias("method")), "known")
+    open_names = materialize(names.join(known.select(F.col("fqn").alias("dst")), "dst", "left_anti"), "open")
+    dotted, plain = open_names.filter("dotted"), open_names.filter("NOT dotted")
+
+    # A class known by its short name owns the method; ``new Foo()`` without a declared constructor binds to the class.
+    receivers = materialize(dotted.select("receiver").distinct(), "receivers")
+    classes = nodes.filter(F.col("kind").isin("CLASS", "INTERFACE")).join(receivers, F.col("name") == F.col("receiver"), "left_semi")
+    classes = materialize(classes.select(F.col("fqn").alias("owner"), F.col("name").alias("receiver"), "seq"), "classes")
+    by_class = known.filter(F.contains(F.col("fqn"), F.lit("."))).join(classes.filter("owner <> ''"), "owner")
+    by_class = first_by(by_class, ["receiver", "method"], ["seq", "owner"], ["fqn"]).withColumnRenamed("fqn", "owned")
+    first_class = first_by(classes, ["receiver"], ["seq", "owner"], ["owner"]).select("receiver", F.col("receiver").alias("method"), F.col("owner").alias("built"))
+    typed_fields = graph.of_kind("FIELD").filter(F.coalesce("type", F.lit("")) != "")
+    field_names = typed_fields.select(F.col("name").alias("first_receiver"), F.lit(True).alias("fielded")).distinct()
+    plain = materialize(plain.select("dst", "dotted"), "plain")
+    named = materialize(nodes.select(F.col("name").alias("dst"), "fqn").join(plain.select("dst"), "dst", "left_semi"), "named")
+    unique = named.groupBy("dst").agg(F.count("*").alias("n"), F.min("fqn").alias("only")).filter("n = 1").drop("n")
+    info = dotted.withColumn("first_receiver", first_receiver).join(by_class, ["receiver", "method"], "left").join(first_class, ["receiver", "method"], "left")
+    info = info.join(field_names, "first_receiver", "left").select("dst", "dotted", "owned", "built", F.coalesce("fielded", F.lit(False)).alias("fielded"))
+    info = materialize(info.unionByName(plain.join(unique, "dst", "left").select("dst", "dotted", "only"), allowMissingColumns=True), "info")
+
+    # Every call with what is known of its name, and the class of its caller.
+    caller_ends = materialize(low.select(short_name(F.col("src")).alias("end")).distinct(), "caller_ends")
+    contains = graph.edges_of("CONTAINS").join(caller_ends, short_name(F.col("dst")) == F.col("end"), "left_semi")
+    callers = _containers(Graph(graph.nodes, contains)).select(F.col("fqn").alias("src"), F.col("parent").alias("class_fqn"))
+    imports = materialize(graph.edges_of("IMPORTS").select(F.col("src").alias("class_fqn"), F.col("dst").alias("imported"), "seq"), "imports")
+    imported = not imports.isEmpty()
+    asked = low.distinct().join(info, "dst")
+    if imported:
+        asked = asked.join(callers, "src", "left")
+    else:  # the class is of no use where the name alone decides
+        asked = asked.filter("owned IS NULL").join(callers, "src", "left").unionByName(asked.filter("owned IS NOT NULL").withColumn("class_fqn", F.lit(None).cast("string")))
+    asked = materialize(asked, "asked")
+    rows = asked.filter("dotted AND owned IS NULL").withColumn("receiver", owner_name(F.col("dst"))).withColumn("method", short_name(F.col("dst")))
+    by_field = "fielded AND class_fqn IS NOT NULL"
 
     # The receiver is a field of the caller's class; its type owns the method.
-    fields = (
-        graph.of_kind("FIELD").filter(F.coalesce("type", F.lit("")) != "")
-        .select("fqn", F.col("name").alias("first_receiver"), F.trim(F.substring_index("type", "<", 1)).alias("type_name"), "seq")
-        .join(containers, "fqn").withColumnRenamed("parent", "class_fqn")
-    )
-    fields = last_by(fields, ["class_fqn", "first_receiver"], ["seq", "fqn"], ["type_name"])
-    typed = dotted.join(fields, ["class_fqn", "first_receiver"])
-    untyped = dotted.filter("class_fqn IS NOT NULL").select("class_fqn", F.col("receiver").alias("type_name"))
-    types = materialize(
-        resolve_types(graph, typed.select("class_fqn", "type_name").unionByName(untyped), unique_kinds=None), "types"
-    )
-    known = nodes.select(F.col("fqn").alias("resolved"))
-
-    def member(rows):
-        return rows.withColumn("resolved", F.concat_ws(".", "type_fqn", "method")).join(known, "resolved", "left_semi")
-
-    named = types.withColumnRenamed("resolved", "type_fqn")
-    offer(member(typed.join(named, ["class_fqn", "type_name"])), 2)
-
-    # ``new Foo()`` without a declared constructor binds to the class.
-    first_class = first_by(classes.select(F.col("name").alias("receiver"), "fqn", "seq"), ["receiver"], ["seq", "fqn"], ["fqn"])
-    built = dotted.filter("method = receiver")
-    offer(built.join(first_class, "receiver").withColumnRenamed("fqn", "resolved"), 3)
+    typed = _field_types(typed_fields, graph.edges_of("CONTAINS").select("src", "dst", "seq"), rows.filter(by_field).withColumn("first_receiver", first_receiver))
+    typed = materialize(typed.select("src", "dst", "class_fqn", "built", "type_name"), "typed")
+    types = resolve_types(graph, typed, unique_kinds=None).withColumnRenamed("resolved", "type_fqn")
+    members = known.filter(F.contains(F.col("fqn"), F.lit("."))).select(F.col("owner").alias("type_fqn"), "method", F.col("fqn").alias("member"))
+    tried = typed.join(types, ["class_fqn", "type_name"], "left").withColumn("method", short_name(F.col("dst"))).join(members, ["type_fqn", "method"], "left")
+    tried = materialize(tried.select("src", "dst", "class_fqn", "built", "member"), "tried")
+
+    def step(found, resolved, rung):
+        return found.select("src", "dst", "class_fqn", F.col(resolved).alias("resolved"), F.lit(rung).alias("rung"))
+
+    others = rows.filter(f"NOT ({by_field})").select("src", "dst", "class_fqn", "built", F.lit(None).cast("string").alias("member")).unionByName(tried)
+    left = others.filter("member IS NULL AND built IS NULL AND class_fqn IS NOT NULL")
+    ladder = [
+        step(asked.filter("dotted AND owned IS NOT NULL"), "owned", 1), step(tried.filter("member IS NOT NULL"), "member", 2),
+        step(others.filter("member IS NULL AND built IS NOT NULL"), "built", 3),
+    ]
 
     # The receiver is a type reachable through the using directives.
-    through = dotted.withColumn("type_name", F.col("receiver")).join(named, ["class_fqn", "type_name"])
-    offer(member(through), 4)
-    offer(through.filter("method = receiver").withColumn("resolved", F.col("type_fqn")), 5)
-    ladder = materialize(first_by(_union(found), ["src", "dst"], ["rung"], ["resolved", "rung"]), "ladder")
-
-    # An import of the caller's class that owns the target beats every other rung.
-    imports = graph.edges_of("IMPORTS").select(F.col("src").alias("class_fqn"), F.col("dst").alias("imported"), "seq").join(
-        known.withColumnRenamed("resolved", "imported"), "imported", "left_semi"
-    )
-    importable = plain.unionByName(dotted.join(ladder.select("src", "dst"), ["src", "dst"], "left_semi").select(*plain.columns))
-    imported = importable.join(imports, "class_fqn").withColumn("resolved", F.concat_ws(".", "imported", "dst")).join(known, "resolved", "left_semi")
-    imported = first_by(imported, ["src", "dst"], ["seq", "imported"], ["resolved"]).withColumn("rung", F.lit(0))
-
-    # Same package: one row per (name, package prefix) tells whether the name is unique there.
+    if not left.isEmpty():
+        through = left.select("src", "dst", "class_fqn", owner_name(F.col("dst")).alias("type_name"), short_name(F.col("dst")).alias("method"))
+        through = through.join(resolve_types(graph, through, unique_kinds=None).withColumnRenamed("resolved", "type_fqn"), ["class_fqn", "type_name"])
+        through = through.join(members, ["type_fqn", "method"], "left").withColumn("built", F.when(F.col("method") == F.col("type_name"), F.col("type_fqn")))
+        through = materialize(through.select("src", "dst", "class_fqn", "member", "built"), "through")
+        ladder += [step(through.filter("member IS NOT NULL"), "member", 4), step(through.filter("member IS NULL AND built IS NOT NULL"), "built", 5)]
+
+    # Same package: one row per (name, package prefix) tells whether the name is unique there. Else the name is unique as a whole.
     package = owner_name(F.col("fqn"))
     parts = F.split(package, r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
     prefixes = F.when(F.contains(package, F.lit(".")) | (package == ""), prefixes).otherwise(F.array_append(prefixes, F.lit("")))
-    local = nodes.select(F.col("name").alias("dst"), "fqn", F.explode(F.array_distinct(prefixes)).alias("package"))
-    local = local.groupBy("dst", "package").agg(F.count("*").alias("n"), F.min("fqn").alias("resolved")).filter("n = 1")
-    nearby = plain.filter("class_fqn IS NOT NULL").withColumn("package", owner_name(F.col("class_fqn"))).join(local, ["dst", "package"])
-    unique = short_names(graph).filter("candidates = 1").select(F.col("name").alias("dst"), F.col("first").alias("resolved"))
-    rest = [
-        ladder.select("src", "dst", "resolved", "rung"), imported.select("src", "dst", "resolved", "rung"),
-        nearby.select("src", "dst", "resolved", F.lit(6).alias("rung")),
-        plain.join(unique, "dst").select("src", "dst", "resolved", F.lit(7).alias("rung")),
-    ]
-    return first_by(_union(rest), ["src", "dst"], ["rung"], ["resolved", "rung"])
+    local = named.select("dst", "fqn", F.explode(F.array_distinct(prefixes)).alias("package"))
+    local = local.groupBy("dst", "package").agg(F.count("*").alias("n"), F.min("fqn").alias("near")).filter("n = 1").drop("n")
+    unqualified = asked.filter("NOT dotted").withColumn("package", owner_name(F.col("class_fqn"))).join(local, ["dst", "package"], "left")
+    nearest = [step(unqualified.filter("near IS NOT NULL"), "near", 6), step(unqualified.filter("near IS NULL AND only IS NOT NULL"), "only", 7)]
+
+    # An import of the caller's class that owns the target beats every other rung.
+    found = _union(ladder + nearest).select("src", "dst", "resolved", "rung")
+    if not imported:
+        return found
+    imports = imports.join(nodes.select(F.col("fqn").alias("imported")), "imported", "left_semi")
+    importable = asked.filter("NOT dotted").select("src", "dst", "class_fqn").unionByName(_union(ladder).select("src", "dst", "class_fqn"))
+    imported = importable.join(imports, "class_fqn").withColumn("fqn", F.concat_ws(".", "imported", "dst")).join(known.select("fqn"), "fqn", "left_semi")
+    imported = first_by(imported, ["src", "dst"], ["seq", "imported"], ["fqn"]).withColumnRenamed("fqn", "resolved").withColumn("rung", F.lit(0))
+    return first_by(found.unionByName(imported.select(*found.columns)), ["src", "dst"], ["rung"], ["resolved", "rung"])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -289,19 +346,25 @@ def with_resolved_calls(graph: Graph) -> Graph:
 
 def referenced_types(graph: Graph) -> DataFrame:
     """(class_fqn, type_name): types a class names in constructors, fields, its base and its interfaces."""
+    return _referenced(graph, with_usings=False)
+
+
+def _referenced(graph: Graph, with_usings: bool) -> DataFrame:
+    """What :func:`referenced_types` gives, or what it gives of classes ``with_usings``."""
     classes = graph.of_kind("CLASS").filter(F.size("usings") > 0)
-    contains = graph.edges_of("CONTAINS").select(F.col("src").alias("class_fqn"), F.col("dst").alias("fqn")).join(
-        classes.select(F.col("fqn").alias("class_fqn")), "class_fqn", "left_semi"
-    )
-    owners = last_by(
-        graph.edges_of("CONTAINS").select(F.col("src").alias("class_fqn"), F.col("dst").alias("fqn"), "seq").join(
-            graph.of_kind("CLASS").select(F.col("fqn").alias("class_fqn")), "class_fqn", "left_semi"
-        ),
-        ["fqn"], ["seq", "class_fqn"], ["class_fqn"],
-    )
-    built = graph.of_kind("FUNCTION").filter("is_constructor").select("fqn", F.explode("params.type").alias("text"))
+    links = graph.edges_of("CONTAINS").select(F.col("src").alias("class_fqn"), F.col("dst").alias("fqn"), "seq")
+    # Constructors have few names, so most of what classes contain is left out before it is compared.
+    built = graph.of_kind("FUNCTION").filter("is_constructor").select("fqn", "params")
+    ends = materialize(built.select(short_name(F.col("fqn")).alias("end")).distinct(), "ends")
+    holders = graph.of_kind("CLASS").select(F.col("fqn").alias("class_fqn"))
+    owners = links.join(ends, short_name(F.col("fqn")) == F.col("end"), "left_semi").join(holders, "class_fqn", "left_semi")
+    owners = last_by(owners, ["fqn"], ["seq", "class_fqn"], ["class_fqn"])
+    named = owners.join(built.select("fqn", F.explode("params.type").alias("text")), "fqn").select("class_fqn", "text")
+    if with_usings:
+        named = named.join(classes.select(F.col("fqn").alias("class_fqn")), "class_fqn", "left_semi")
     held = graph.of_kind("FIELD").select("fqn", F.col("type").alias("text"))
-    nested = owners.join(built, "fqn").select("class_fqn", "text").unionByName(contains.join(held, "fqn").select("class_fqn", "text"))
+    contained = links.drop("seq").join(held, "fqn").select("class_fqn", "text").join(classes.select(F.col("fqn").alias("class_fqn")), "class_fqn", "left_semi")
+    nested = named.unionByName(contained)
     nested = nested.select("class_fqn", F.explode(bare_types(F.col("text"))).alias("type_name"))
     parents = classes.select(
         F.col("fqn").alias("class_fqn"),
@@ -313,16 +376,9 @@ def referenced_types(graph: Graph) -> DataFrame:
 
 def using_dependencies(graph: Graph) -> DataFrame:
     """DEPENDS_ON edges from the types a class names, where no dependency exists yet."""
-    graph = narrowed(
-        graph, ["fqn", "name", "kind", "type", "usings", "is_constructor", "params", "base_class", "implements"], ["src", "dst", "kind", "seq"],
-        edge_kinds=["CONTAINS", "DEPENDS_ON"],
-    )
-    wanted = referenced_types(graph).join(
-        graph.of_kind("CLASS").filter(F.size("usings") > 0).select(F.col("fqn").alias("class_fqn")), "class_fqn", "left_semi"
-    )
-    targets = graph.of_kind("CLASS", "INTERFACE").select(F.col("fqn").alias("dst"))
-    pairs = resolve_types(graph, wanted).select(F.col("class_fqn").alias("src"), F.col("resolved").alias("dst")).filter("src <> dst").distinct()
-    fresh = pairs.join(targets, "dst", "left_semi").join(graph.edges_of("DEPENDS_ON").select("src", "dst"), ["src", "dst"], "left_anti")
+    pairs = _resolved_types(graph, _referenced(graph, with_usings=True), ("CLASS", "INTERFACE")).filter("is_type")
+    pairs = pairs.select(F.col("class_fqn").alias("src"), F.col("resolved").alias("dst")).filter("src <> dst").distinct()
+    fresh = pairs.join(graph.edges_of("DEPENDS_ON").select("src", "dst"), ["src", "dst"], "left_anti")
     return edge_rows(
         fresh.select("src", "dst", F.lit("DEPENDS_ON").alias("kind"), F.lit(MEDIUM).alias("confidence"), F.lit("using-resolution").alias("evidence"), F.lit(1).alias("weight"))
     )
