@@ -4,8 +4,10 @@ The library needs microseconds per word, and most words of a corpus repeat. A
 text is therefore cut before every space that a non-space follows, which is
 where the pre-tokenizer of a byte-level BPE always starts a new token, and each
 worker remembers the ids of the pieces it has met. Only new pieces reach the
-library. The memory of a worker holds two generations of ``MEMORY`` pieces and
-forgets the older one; it changes the speed and never the ids.
+library; those with line ends inside are put together from their lines, as a
+line end between two visible characters is a token of its own. The memory of a
+worker holds two generations of ``MEMORY`` pieces and forgets the older one; it
+changes the speed and never the ids.
 """
 
 from __future__ import annotations
@@ -67,6 +69,11 @@ class Encoder:
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         for token, number in self.library.get_vocab().items():
             self.opens[number] = token.startswith("Ġ")
+        #: The token of a line end, and ids of words that follow one.
+        self.line = self.library.token_to_id("Ċ")
+        self.lines: dict[str, bytes] = {}
+        #: Pieces of the texts at hand that were put together; they seldom repeat and are not kept.
+        self.joined: list[str] = []
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -84,21 +91,45 @@ class Encoder:
         """
         known = {p: self.old[p] for p in pieces if p in self.old}
         fresh = [p for p in pieces if p not in known]
-        plain = [p for p in fresh if p and " " not in p and not p[0].isspace()]
-        for start in range(0, len(plain), 4096):
-            part = plain[start : start + 4096]
-            ids = self._ids(" " + " ".join(part))
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) != len(part):
-                known |= {p: self._direct(" " + p) for p in part}
-                continue
-            data, bounds = ids.tobytes(), (np.append(first, len(ids)) * ID_BYTES).tolist()
-            known |= {p: data[a:b] for p, a, b in zip(part, bounds, bounds[1:])}
+        parts = {}
+        if self.line is not None:
+            for p in fresh:
+                if "\n" in p and len(p) <= LONGEST_KEPT:
+                    words = p.split("\n")
+                    if words == p.split():
+                        parts[p] = words
+        self.joined = [*parts]
+        heads = {words[0] for words in parts.values()} - known.keys()
+        for p in heads:
+            ids = self.young.get(p) or self.old.get(p)
+            if ids:
+                known[p] = ids
+        fresh = [p for p in {*fresh, *heads} if p not in known and p not in parts]
+        self._follow([p for p in fresh if p and " " not in p and not p[0].isspace()], " ", self.opens, known)
         for p in fresh:
             if p not in known:
                 known[p] = self._direct(" " + p)
+        if parts:
+            if len(self.lines) > MEMORY:
+                self.lines = {}
+            wanted = {w for words in parts.values() for w in words[1:]} - self.lines.keys()
+            self._follow([*wanted], "\n", self.line, self.lines)
+            for p, words in parts.items():
+                known[p] = b"".join((known[words[0]], *(self.lines[w] for w in words[1:])))
         return known
 
+    def _follow(self, words: list[str], before: str, opens, known: dict[str, bytes]) -> None:
+        """Put the ids of ``words``, each with the character ``before`` it, into ``known``; ``opens`` tells or is the token that begins one."""
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            ids = self._ids(before + before.join(part))
+            first = np.flatnonzero(opens[ids] if isinstance(opens, np.ndarray) else ids == opens)
+            if len(first) != len(part):
+                known |= {p: self._direct(before + p) for p in part}
+                continue
+            data, bounds = ids.tobytes(), (np.append(first, len(ids)) * ID_BYTES).tolist()
+            known |= {p: data[a:b] for p, a, b in zip(part, bounds, bounds[1:])}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object per text; a missing text counts as empty. A long text is encoded in parts."""
         if any(len(t or "") > SEGMENT for t in texts):
@@ -121,14 +152,18 @@ class Encoder:
                 cut.append((self._direct(first), rest))
         met: set[str] = set().union(*(pieces for _, pieces in cut))
         learnt = self._learn(met - self.young.keys())
-        if len(self.young) + len(learnt) > MEMORY:
+        if len(self.young) + len(learnt) - len(self.joined) > MEMORY:
             self.old, self.young = self.young, {p: self.young[p] for p in met if p in self.young}
         large = {p: ids for p, ids in learnt.items() if len(p) > LONGEST_KEPT}
         self.young.update((p, ids) for p, ids in learnt.items() if p not in large)
         if large:
-            return [b"".join((first, *(large[p] if p in large else self.young[p] for p in pieces))) for first, pieces in cut]
-        get = self.young.__getitem__
-        return [b"".join((first, *map(get, pieces))) for first, pieces in cut]
+            found = [b"".join((first, *(large[p] if p in large else self.young[p] for p in pieces))) for first, pieces in cut]
+        else:
+            get = self.young.__getitem__
+            found = [b"".join((first, *map(get, pieces))) for first, pieces in cut]
+        for p in self.joined:
+            self.young.pop(p, None)
+        return found
 
 
 @lru_cache(maxsize=2)
