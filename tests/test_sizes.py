@@ -26,3 +26,13 @@ def test_renames_alone_read_no_edges(spark, make_graph):
 
     rows = spark.createDataFrame([("semanticdb maven . . com/n/F#", "a.java", 2, 1, 1)], "symbol string, relative_path string, start_line int, roles int, seq long")
     assert [tuple(r) for r in resolve.symbol_renames(Unread(), rows)[1].select("fqn", "scip_fqn").collect()] == [("F", "com.n.F")]
+
+
+def test_a_union_of_tables_spread_alike_is_spread_anew(spark):
+    """Spark joined the partitions of such a union end to end: "Can't zip RDDs with unequal numbers of partitions: List(48, 16)"."""
+    table = materialize(spark.range(100).select((F.col("id") % 7).alias("k"), "id"))
+    sides = [table.filter(f"id % 3 = {i}").groupBy("k").agg(F.max("id").alias("id")) for i in range(3)]
+    union = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    plan = union.groupBy("k").agg(F.max("id"))._jdf.queryExecution().executedPlan().toString()
+    above, _ = plan.split("Union", 1)
+    assert "Exchange" in above
