@@ -3,6 +3,7 @@
 import random
 
 from graphlens.operators import change, traverse
+from graphlens.operators import seed_sets as seed_sets_module
 from graphlens.operators.seed_sets import seed_sets, walk
 
 
@@ -55,3 +56,22 @@ def test_requests_are_walked_together(spark, make_graph):
         unique = {(r["pr_id"], r["fqn"]): r["depth"] for r in change.unique_affected(sets).spread("pr_id").collect()}
         plain = {(r["pr_id"], r["fqn"]): r["depth"] for r in change.unique_affected(sets.spread("pr_id")).collect()}
         assert unique == plain and len(unique) == len({r[:2] for r in rows})
+
+
+def test_a_walk_stops_at_nodes_that_no_hop_leaves(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(seed_sets_module, "materialize", lambda df, label="step", real=seed_sets_module.materialize: written.append(label) or real(df, label))
+    hops = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "a string, b string")
+    sets = seed_sets(spark.createDataFrame([("a", "a"), ("b", "b")], "seed string, node string"))
+    found = walk(hops, sets, 5).spread().select("seed", "node", "depth").collect()
+    assert sorted(map(tuple, found)) == [("a", "x", 1), ("b", "x", 1), ("b", "y", 1)]
+    assert written.count("reach") == 1
+
+
+def test_sets_of_any_size_name_their_seeds(spark):
+    rng = random.Random(4)
+    starts = seed_sets(spark.createDataFrame([(f"s{i:02}", "n") for i in range(64)], "seed string, node string"))
+    chosen = [sorted(rng.sample(range(64), k)) for k in (1, 2, 3, 4, 9, 64)] + [[63], [0], [0, 63], [0, 31, 63], [61, 62, 63]]
+    bits = [(0, i, sum(1 << b for b in c) - (1 << 64 if 63 in c else 0)) for i, c in enumerate(chosen)]
+    rows = starts.with_rows(spark.createDataFrame(bits, "block long, i int, bits long")).spread().collect()
+    assert sorted((r["i"], r["seed"]) for r in rows) == [(i, f"s{b:02}") for i, c in enumerate(chosen) for b in c]

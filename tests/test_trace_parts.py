@@ -26,3 +26,23 @@ def test_nodes_and_access_alone_equal_the_whole_trace(make_graph, spark, monkeyp
     assert got(traverse.trace_access(graph, seeds, 3), "seed", "source", "target", "type") == access
     # Calls inside the trace say nothing about its nodes and are not sought.
     assert all(e.filter("type = 'CALLS'").isEmpty() for e in written)
+
+
+def test_traces_are_stored_as_sets(make_graph, spark, monkeypatch):
+    starts = [f"s{i}" for i in range(40)]
+    nodes = [{"fqn": n, "kind": "FUNCTION"} for n in [*starts, *"abcde"]] + [{"fqn": "t", "kind": "TABLE"}]
+    edges = [(s, n, "CALLS") for s in starts for n in "abcde"] + [("a", "t", "READS"), ("b", "c", "IMPLEMENTS")]
+    rows = {}
+
+    def watched(df, label="step", write=traverse.materialize):
+        table = write(df, label)
+        rows[label] = max(rows.get(label, 0), table.count())
+        return table
+
+    monkeypatch.setattr(traverse, "materialize", watched)
+    graph, seeds = make_graph(nodes, edges), spark.createDataFrame([(s,) for s in starts], "fqn string")
+    shown, links = traverse.trace_route(graph, seeds, 3)
+    # b is hidden behind c; a reads.
+    assert got(shown.filter("seed = 's7'"), "node", "layer", "sequence") == [("a", "repository", "1"), ("c", "other", "2"), ("d", "other", "3"), ("e", "other", "4"), ("t", "database", "5")]
+    assert links.count() == 40 * 5 and shown.count() == 40 * 5
+    assert rows["trace"] == 6 and rows["inner"] <= len(edges)
