@@ -15,13 +15,17 @@ from graphlens.operators.structure import union
 def class_links(graph: Graph) -> DataFrame:
     """(a, b, w): undirected CALLS and DEPENDS_ON links between classes, both directions listed."""
     classes = graph.of_kind("CLASS").select("fqn")
-    links = graph.edges_of("CALLS", "DEPENDS_ON").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    for end in ("src", "dst"):
+    links = graph.edges_of("CALLS", "DEPENDS_ON").filter("src IS NOT NULL AND dst IS NOT NULL")
+    links = links.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w"))
+    for end in ("a", "b"):
         links = links.join(classes.withColumnRenamed("fqn", end), end, "left_semi")
-    both = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionByName(
-        links.select(F.col("dst").alias("a"), F.col("src").alias("b"), "w")
-    )
-    return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
+    return _mirrored(links.select("a", "b", F.expr("CASE WHEN a = b THEN 2 * w ELSE w END").alias("w")))
+
+
+def _mirrored(links: DataFrame) -> DataFrame:
+    """``links(a, b, w)`` and the same from b to a; loops stay single. No link is shuffled for it."""
+    both = F.expr("CASE WHEN a = b THEN array(struct(a, b, w)) ELSE array(struct(a, b, w), struct(b AS a, a AS b, w)) END")
+    return links.select(F.explode(both).alias("link")).select("link.*")
 
 
 def modularity(links: DataFrame, members: DataFrame) -> float:
@@ -48,16 +52,18 @@ def louvain(graph: Graph, tolerance: float = 1e-6) -> DataFrame:
     its moves is summed over the links of the movers. When two sweeps in a row gain
     nothing, communities become the nodes of the next level, until a level gains
     nothing. At last every community is split into its connected parts, which
-    never lowers modularity. Only scalars reach the driver.
+    never lowers modularity; followers are connected to whom they follow, so only
+    the others are looked at there and on the levels. Only scalars reach the driver.
     """
     classes = graph.of_kind("CLASS").select(F.col("fqn").alias("node")).distinct()
     links = materialize(class_links(graph), "links")
     m2 = links.agg(F.sum("w")).first()[0]
     followed = materialize(_followed(links), "followed")
-    mapping = materialize(
-        classes.join(followed, "node", "left").select("node", F.coalesce("community", "node").alias("community")), "level"
+    homes = materialize(
+        classes.join(followed, "node", "left").select("node", F.coalesce("community", "node").alias("home")), "homes"
     )
-    level_links = _coarse(links, followed)
+    first = level_links = _coarse(links, followed)
+    mapping = materialize(homes.select(F.col("home").alias("node")).distinct().withColumn("community", F.col("node")), "level")
     # Without a link between two nodes of a level nothing can gain.
     while m2 and not level_links.filter("a <> b").isEmpty():
         placed, gained = _level(level_links, m2, tolerance)
@@ -66,7 +72,10 @@ def louvain(graph: Graph, tolerance: float = 1e-6) -> DataFrame:
         lifted = mapping.join(placed.select(F.col("node").alias("community"), F.col("community").alias("next")), "community", "left")
         mapping = materialize(lifted.select("node", F.coalesce("next", "community").alias("community")), "level")
         level_links = _coarse(level_links, placed)
-    return connected_communities(links, mapping).withColumnRenamed("node", "fqn")
+    parts = connected_communities(first, mapping).select(F.col("node").alias("home"), F.col("community").alias("part"))
+    members = materialize(homes.join(parts, "home").select("node", "part"), "members")
+    named = members.groupBy("part").agg(F.min("node").alias("community"))
+    return members.join(named, "part").select(F.col("node").alias("fqn"), "community")
 
 
 def _followed(links: DataFrame) -> DataFrame:
@@ -81,11 +90,13 @@ def _followed(links: DataFrame) -> DataFrame:
 
 
 def _coarse(links: DataFrame, placed: DataFrame) -> DataFrame:
-    """Links between the communities of ``placed(node, community)``."""
-    coarse = links.join(placed.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(
+    """Links between the communities of ``placed(node, community)``; a link is followed from one of its ends."""
+    coarse = links.filter("a <= b").join(placed.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(
         placed.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b"
     )
-    return materialize(coarse.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
+    weight = F.expr("CASE WHEN a <> b AND ca = cb THEN 2 * w ELSE w END")
+    folded = coarse.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum(weight).alias("w"))
+    return materialize(_mirrored(folded), "links")
 
 
 def _level(links: DataFrame, m2: float, tolerance: float) -> tuple[DataFrame, float]:

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from graphlens.operators.community import connected_communities, louvain, modularity, pagerank_within
+from graphlens.operators import community
+from graphlens.operators.community import class_links, connected_communities, louvain, modularity, pagerank_within
 
 
 def score(edges, member):
@@ -62,6 +63,30 @@ def test_random_graph_beats_singletons(spark, make_graph):
     assert modularity(links, rows) == pytest.approx(score(edges, member))
 
 
+def test_followers_are_not_looked_at_again(make_graph, monkeypatch):
+    rows = {}
+
+    def watched(df, label="step", write=community.materialize):
+        table = write(df, label)
+        rows[label] = max(rows.get(label, 0), table.count())
+        return table
+
+    monkeypatch.setattr(community, "materialize", watched)
+    names = [f"h{i}" for i in range(3)] + [f"h{i}.{j}" for i in range(3) for j in range(12)] + ["a0", "a1", "lonely"]
+    edges = [(f"h{i}.{j}", f"h{i}") for i in range(3) for j in range(12)] + [("h0", "h1"), ("a0", "a1")]
+    graph = make_graph([{"fqn": n, "kind": "CLASS"} for n in names], [(a, b, "DEPENDS_ON") for a, b in edges])
+    member = check(graph, names, edges)
+    assert {member[f"h{i}"] for i in range(3)} == {"h0", "h1", "h2"} and member["a1"] == "a0"
+    # Three hubs, a pair and a lonely class stand for all 42.
+    assert rows["labels"] == rows["hooked"] == rows["level"] == 5
+
+
+def test_links_count_from_both_ends(make_graph):
+    edges = [("a", "b", "CALLS"), ("b", "a", "DEPENDS_ON"), ("a", "b", "CALLS"), ("c", "c", "CALLS"), (None, "c", "CALLS"), ("c", "x", "CALLS")]
+    graph = make_graph([{"fqn": n, "kind": "CLASS"} for n in "abc"], edges)
+    assert sorted(map(tuple, class_links(graph).collect())) == [("a", "b", 3.0), ("b", "a", 3.0), ("c", "c", 2.0)]
+
+
 def test_communities_of_graphs_without_links(make_graph):
     graph = make_graph([{"fqn": n, "kind": "CLASS"} for n in "ab"], [])
     assert sorted(map(tuple, louvain(graph).collect())) == [("a", "a"), ("b", "b")]
