@@ -84,6 +84,46 @@ def symbol_renames(graph: Graph, occurrences: DataFrame) -> tuple[DataFrame, Dat
     return matches, renames
 
 
+def _confirmations(nodes: DataFrame, occurrences: DataFrame, symbol_info: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and implementations (src, dst) that the index knows of, between renamed ``nodes``; a callee may be unknown."""
+    # The places of the references and their callees are two looks at one table; what an index repeats is dropped with the calls.
+    references = materialize(occurrences.filter(F.col("roles").bitwiseAND(1) == 0).select(
+        bare_path(F.col("relative_path")).alias("file"), F.col("start_line").alias("at"), scip_symbol_to_fqn(F.col("symbol")).alias("callee")
+    ).filter("callee <> ''"), "references")
+    callers = enclosing_functions(Graph(nodes, nodes), references)
+    calls = references.join(callers, ["file", "at"]).select(F.col("fqn").alias("src"), F.col("callee").alias("dst")).distinct()
+    known = nodes.select("fqn")
+    implemented = (
+        symbol_info.select(scip_symbol_to_fqn(F.col("symbol")).alias("src"), F.explode("relationships").alias("r"))
+        .filter("r.is_implementation").select("src", scip_symbol_to_fqn(F.col("r.symbol")).alias("dst")).distinct()
+        .join(known.select(F.col("fqn").alias("src")), "src", "left_semi").join(known.select(F.col("fqn").alias("dst")), "dst", "left_semi")
+    )
+    return calls, implemented
+
+
+def confirmed_edges(graph: Graph, occurrences: DataFrame, symbol_info: DataFrame) -> DataFrame:
+    """(src, dst, kind): the distinct edges that :func:`merge_symbols` confirms or adds, without the rest of the merged graph.
+
+    A call to a known function is confirmed or added, whichever it is, so edges are looked up for other calls only.
+    """
+    _, renames = symbol_renames(graph, occurrences)
+    named = graph.nodes.select("fqn", "kind", "path", "line", "end_line", "seq").join(renames, "fqn", "left")
+    nodes = materialize(named.withColumn("fqn", F.coalesce("scip_fqn", "fqn")).drop("scip_fqn"), "nodes")
+    calls, implemented = _confirmations(nodes, occurrences, symbol_info)
+    calls = materialize(calls, "calls")
+    functions = nodes.filter("kind = 'FUNCTION'").select(F.col("fqn").alias("dst"))
+    functions = materialize(calls.select("dst").distinct().join(functions, "dst", "left_semi"), "callees")
+    other = materialize(calls.join(functions, "dst", "left_anti").select("src", "dst"), "other")
+    parts = [calls.join(functions, "dst", "left_semi").select("src", "dst", F.lit("CALLS").alias("kind")), implemented.select("src", "dst", F.lit("IMPLEMENTS").alias("kind"))]
+    if not other.isEmpty():
+        edges = graph.edges_of("CALLS").select("src", "dst")
+        for end in ("src", "dst"):
+            new = renames.select(F.col("fqn").alias(end), F.col("scip_fqn").alias("new"))
+            edges = edges.join(new, end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        parts.append(other.join(edges.select("src", "dst"), ["src", "dst"], "left_semi").withColumn("kind", F.lit("CALLS")))
+    return _union(parts)
+
+
 def merge_symbols(graph: Graph, occurrences: DataFrame, symbol_info: DataFrame) -> tuple[Graph, dict[str, DataFrame]]:
     """Graph with precise names, documentation and confirmed calls, plus what changed.
 
@@ -109,17 +149,8 @@ def merge_symbols(graph: Graph, occurrences: DataFrame, symbol_info: DataFrame)
         edges = edges.join(new, end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
     renamed = Graph(materialize(nodes, "nodes"), materialize(edges.select(*graph.edges.columns), "edges"))
 
-    references = occurrences.filter(F.col("roles").bitwiseAND(1) == 0).select(
-        bare_path(F.col("relative_path")).alias("file"), F.col("start_line").alias("at"), scip_symbol_to_fqn(F.col("symbol")).alias("callee")
-    ).filter("callee <> ''").distinct()
-    callers = enclosing_functions(renamed, references)
-    calls = references.join(callers, ["file", "at"]).select(F.col("fqn").alias("src"), F.col("callee").alias("dst")).distinct()
+    calls, implemented = _confirmations(renamed.nodes, occurrences, symbol_info)
     known = renamed.nodes.select("fqn", "kind")
-    implemented = (
-        symbol_info.select(scip_symbol_to_fqn(F.col("symbol")).alias("src"), F.explode("relationships").alias("r"))
-        .filter("r.is_implementation").select("src", scip_symbol_to_fqn(F.col("r.symbol")).alias("dst")).distinct()
-        .join(known.select(F.col("fqn").alias("src")), "src", "left_semi").join(known.select(F.col("fqn").alias("dst")), "dst", "left_semi")
-    )
     confirmed = materialize(
         calls.withColumn("kind", F.lit("CALLS")).unionByName(implemented.withColumn("kind", F.lit("IMPLEMENTS"))), "confirmed"
     )
