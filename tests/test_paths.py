@@ -51,3 +51,21 @@ def test_lengths_and_smallest_steps(spark, make_graph):
             else:
                 way = paths[a, b]
                 assert len(way) == far[b] + 1 and way[0] == a and way[-1] == b and all(y in links[x] for x, y in zip(way, way[1:]))
+
+
+def test_goals_that_no_open_pair_can_reach_open_no_hops(spark, make_graph, monkeypatch):
+    """One pair meets at its first goal; the other is in two parts of the graph that share nothing."""
+    stored = {}
+
+    def watched(df, label="step", write=traverse.materialize):
+        table = write(df, label)
+        stored.setdefault(label, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(traverse, "materialize", watched)
+    edges = [("a", f"x{i}", "CALLS") for i in range(9)] + [(f"x{i}", f"g{j}", "CALLS") for i in range(9) for j in range(9)] + [(f"g{j}", "t", "CALLS") for j in range(9)]
+    edges += [("b", f"y{i}", "CALLS") for i in range(9)]
+    graph = make_graph([{"fqn": n, "kind": "FUNCTION"} for n in {e[i] for e in edges for i in (0, 1)}], edges)
+    rows = traverse.shortest_paths(graph, spark.createDataFrame([("a", "t"), ("b", "t")], "from_fqn string, to_fqn string"), 3).collect()
+    assert [(r["from_fqn"], r["node"]) for r in sorted(rows, key=lambda r: r["position"])] == [("a", "a"), ("a", "x0"), ("a", "g0"), ("a", "t")]
+    assert stored["beyond"] and set(stored["beyond"]) == {0}
